@@ -26,24 +26,26 @@ Scorer = Callable[[Sequence[str]], Sequence[str]]
 
 @dataclass(frozen=True)
 class KeywordScorer:
-    """Factory of a rule scorer: the answer of the first rule whose word the prompt holds.
+    """Factory of a rule scorer: the answer of the first rule whose word the code holds.
 
-    ``rules`` is a tuple of (word, label). Text up to ``after`` is not looked at.
-    Prompts that match no rule get an answer without a digit.
+    ``rules`` is a tuple of (word, label). The code is what stands between the
+    prompt's ``before`` and ``after``. Without a match the answer has no digit.
     """
 
     rules: tuple[tuple[str, int], ...]
-    after: str = ""
+    before: str = LONG.before.rsplit("{labels}")[-1]
+    after: str = LONG.after
 
     def __call__(self) -> Scorer:
         return self.answers
 
     def answers(self, prompts: Sequence[str]) -> list[str]:
-        return [self.answer(one.partition(self.after)[2] if self.after else one) for one in prompts]
+        return [self.answer(one) for one in prompts]
 
     def answer(self, text: str) -> str:
+        code = text.partition(self.before)[2].rpartition(self.after)[0]
         for word, label in self.rules:
-            if word in text:
+            if word in code:
                 return f" {label}"
         return ""
 
@@ -62,8 +64,7 @@ CONTRACT_RULES = KeywordScorer(
         ("payable", 2),
         ("+=", 4),
         ("contract", 8),
-    ),
-    after=LONG.before.rsplit("\n", 2)[-2],
+    )
 )
 
 

@@ -65,14 +65,18 @@ def evaluate(
     df: DataFrame, label: str = "label_encoded", prediction: str = "prediction"
 ) -> DataFrame:
     """Per class and overall (label NULL), with and without unanswered rows, in one pass."""
-    correct = _correct(label, prediction)
+    answers = df.select(
+        F.col(label).alias("label"),
+        F.col(prediction).alias("prediction"),
+        _correct(label, prediction).alias("is_correct"),
+    )
     return (
-        df.rollup(F.col(label).alias("label"))
+        answers.rollup("label")
         .agg(
             F.grouping("label").alias("overall"),
             F.count("*").alias("total"),
-            F.count_if(F.col(prediction) != NO_ANSWER).alias("answered"),
-            F.count_if(correct).alias("correct"),
+            F.count_if(F.col("prediction") != NO_ANSWER).alias("answered"),
+            F.count_if("is_correct").alias("correct"),
         )
         .where("overall = 1 OR label IS NOT NULL")
         .select(

@@ -279,7 +279,8 @@ counted AS (
     count(*) FILTER (WHERE prediction <> -1) AS answered,
     count(*) FILTER (WHERE prediction = label_encoded) AS correct
   FROM ruled GROUP BY ROLLUP (label_encoded))
-SELECT *, CAST(100 AS DOUBLE) * correct / total AS percent_all,
+SELECT coalesce(CAST(label AS VARCHAR), 'all') AS label, total, answered, correct,
+  CAST(100 AS DOUBLE) * correct / total AS percent_all,
   CAST(100 AS DOUBLE) * correct / nullif(answered, 0) AS percent_answered
 FROM counted""",
     "classify_stream": f"""WITH {_NAMES}, codes AS (SELECT doc_id, text AS code FROM documents),

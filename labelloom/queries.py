@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from labelloom.functions import prompts as pr
 from labelloom.functions import text as tx
-from labelloom.functions.wording import LONG, SHORT
+from labelloom.functions.wording import SHORT
 from labelloom.operators import clean as cl
 from labelloom.operators import evaluate as ev
 from labelloom.operators import profile as pf
@@ -45,8 +45,7 @@ DOCUMENT_SCORER = KeywordScorer(
         ("ß", 5),
         ("the", 6),
         ("a", 8),
-    ),
-    after=LONG.before.rsplit("\n", 2)[-2],
+    )
 )
 
 
@@ -455,7 +454,8 @@ def accuracy_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = classify_table(cleaned(spark, sf_dir), DOCUMENT_SCORER, output="prediction")
-    return ev.evaluate(rows)
+    shown = F.coalesce(F.col("label").cast("string"), F.lit("all"))
+    return ev.evaluate(rows).withColumn("label", shown)
 
 
 def classify_arriving(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,12 @@ the quotes of all lines before it, but a line can only do four things to the
 state "inside a quoted cell": keep it, turn it over, set it, clear it. So the
 state after any run of lines follows from the last line that set or cleared it
 and the number of turns since. That is worked out per split on the lines with
-quotes, then over the splits, one row each; with its start state known, each
-split numbers its own records. Lines are shuffled once, by split, so no task
-holds more than one split however large the file is. A record that runs over a
-split's end gets the head lines of the splits that follow.
+quotes, then over the splits, one row each.
+
+With the state at each split's start known, the lines before the first record
+that starts in a split are sent to the split where their record started. So the
+lines are shuffled once, each group begins with a record, and no task holds more
+than one split and the end of its last record, however large the file is.
 """
 
 from __future__ import annotations
@@ -49,13 +51,13 @@ def _with_effect(lines: DataFrame) -> DataFrame:
     )
 
 
-def _with_state(rows: DataFrame, group: Sequence[str], order: str) -> DataFrame:
+def _with_state(rows: DataFrame, group: Sequence[str], *order: str) -> DataFrame:
     """Adds the state after each row: ``_fixed`` if it is the same for both starts, ``_turns``.
 
     State after a row = (``_fixed``, or the group's start state if that is NULL)
     turned over ``_turns`` times.
     """
-    through = Window.partitionBy(*group).orderBy(order)
+    through = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     fixes = F.col("_from_out") == F.col("_from_in")
     turned = F.sum((F.col("_from_out") > F.col("_from_in")).cast("int")).over(through)
     last_fix = F.last(
@@ -76,80 +78,69 @@ def _state(start: Column) -> Column:
 
 
 def _splits(lines: DataFrame) -> DataFrame:
-    """One row per split: state at its start, split whose last record its head lines end, encoding.
+    """One row per split: which lines belong to an earlier record, where that started, encoding.
 
-    A head line is one before the first record that starts in the split.
+    ``_head_end`` is the last line that belongs to an earlier record, NULL if
+    there is none; ``_home`` is the split where that record started.
     """
     every = lines.groupBy(*_SPLIT).agg(
         F.max("_pos").alias("_last"), F.bool_and(F.is_valid_utf8("_line")).alias("_valid")
     )
     quotes = _with_state(lines.where(F.col("_line").contains('"')).drop("_line"), _SPLIT, "_pos")
-    outside_when_in = F.when(_state(F.lit(1)) == 0, F.col("_pos"))
+    closes = F.when(_state(F.lit(1)) == 0, F.col("_pos"))
     effects = quotes.groupBy(*_SPLIT).agg(
-        F.max_by("_fixed", "_pos").alias("_fixed"),
-        F.max_by("_turns", "_pos").alias("_turns"),
-        F.min(outside_when_in).alias("_first_end"),
+        F.max_by(_state(F.lit(0)), "_pos").cast("int").alias("_from_out"),
+        F.max_by(_state(F.lit(1)), "_pos").cast("int").alias("_from_in"),
+        F.min(closes).alias("_closed"),
     )
     splits = every.join(effects, list(_SPLIT), "left").withColumns(
-        {"_turns": F.coalesce("_turns", F.lit(0))}
+        {
+            "_from_out": F.coalesce("_from_out", F.lit(0)),
+            "_from_in": F.coalesce("_from_in", F.lit(1)),
+        }
     )
-    as_rows = splits.withColumns(
-        {"_from_out": _state(F.lit(0)).cast("int"), "_from_in": _state(F.lit(1)).cast("int")}
-    ).drop("_fixed", "_turns")
     by_block = Window.partitionBy("_file").orderBy("_block")
     earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        _with_state(as_rows, ("_file",), "_block")
-        .withColumn("_start", F.coalesce(F.lag(_state(F.lit(0))).over(by_block), F.lit(0)))
-        .withColumn(
-            "_has_record",
-            (F.col("_start") == 0) | F.coalesce(F.col("_first_end") < F.col("_last"), F.lit(False)),
-        )
+    starts = _with_state(splits, ("_file",), "_block").withColumn(
+        "_inside", F.coalesce(F.lag(_state(F.lit(0))).over(by_block), F.lit(0)) == 1
+    )
+    heads = starts.withColumn(
+        "_head_end", F.when(F.col("_inside"), F.coalesce("_closed", "_last"))
     )
-    return starts.select(
+    has_record = F.coalesce(F.col("_head_end") < F.col("_last"), F.lit(True))
+    return heads.select(
         *_SPLIT,
-        "_start",
-        F.last(F.when(F.col("_has_record"), F.col("_block")), ignorenulls=True).over(earlier).alias("_home"),
+        "_head_end",
+        F.last(F.when(has_record, F.col("_block")), ignorenulls=True).over(earlier).alias("_home"),
         F.min("_valid").over(Window.partitionBy("_file")).alias("_utf8"),
+        F.lit(True).alias("_known"),
     )
 
 
-def _text(lines: Column) -> Column:
-    """Collected (_pos, _line) pairs as one text."""
-    in_order = F.transform(F.sort_array(lines), lambda one: one["_line"])
-    return F.array_join(in_order, "\n")
-
-
 def _records(lines: DataFrame, splits: DataFrame) -> DataFrame:
-    """(_file, _block, _record, _text): each record under the split in which it starts."""
-    by_pos = Window.partitionBy(*_SPLIT).orderBy("_pos")
-    # The split table is stored and small; hash partitioning by split serves the
-    # join, the windows and the grouping, so the lines move once.
-    placed = lines.join(splits.hint("shuffle_hash"), list(_SPLIT), "left")
-    known = F.when(F.col("_start").isNotNull(), F.col("_start")).otherwise(
-        F.raise_error(F.lit("splits changed between two reads of a file")).cast("int")
+    """(_file, _start, _record, _utf8, _text): each record under the split in which it starts."""
+    # No hint: the split table is stored, so Spark compares its real size with
+    # the broadcast threshold.
+    placed = lines.join(splits, list(_SPLIT), "left")
+    is_head = F.coalesce(F.col("_pos") <= F.col("_head_end"), F.lit(False))
+    start = (
+        F.when(F.col("_known").isNull(), F.raise_error(F.lit("the file changed between two reads")).cast("bigint"))
+        .when(is_head, F.col("_home"))
+        .otherwise(F.col("_block"))
     )
-    stated = _with_state(placed.withColumn("_start", known), _SPLIT, "_pos")
-    before = F.coalesce(F.lag(_state(F.col("_start"))).over(by_pos), F.col("_start"))
-    numbered = stated.withColumn("_starts", (before == 0).cast("int")).withColumn(
-        "_record", F.sum("_starts").over(by_pos)
+    group, order = ("_file", "_start"), ("_block", "_pos")
+    in_order = Window.partitionBy(*group).orderBy(*order)
+    stated = _with_state(placed.withColumn("_start", start), group, *order)
+    before = F.coalesce(F.lag(_state(F.lit(0))).over(in_order), F.lit(0))
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    numbered = stated.withColumn("_begins", (before == 0).cast("int")).withColumn(
+        "_record", F.sum("_begins").over(so_far)
     )
-    grouped = numbered.groupBy(*_SPLIT, "_record").agg(
-        _text(F.collect_list(F.struct("_pos", "_line"))).alias("_text"),
-        F.first("_home").alias("_home"),
+    lines_in_order = F.sort_array(F.collect_list(F.struct(*order, "_line")))
+    return numbered.groupBy(*group, "_record").agg(
         F.first("_utf8").alias("_utf8"),
+        F.array_join(F.transform(lines_in_order, lambda one: one["_line"]), "\n").alias("_text"),
     )
-    whole_split = Window.partitionBy(*_SPLIT)
-    own = grouped.where("_record > 0").withColumn("_is_last", F.col("_record") == F.max("_record").over(whole_split))
-    tails = (
-        grouped.where("_record = 0")
-        .groupBy("_file", F.col("_home").alias("_block"))
-        .agg(F.sort_array(F.collect_list(F.struct(F.col("_block").alias("at"), "_text"))).alias("_heads"))
-        .select(*_SPLIT, F.array_join(F.transform("_heads", lambda one: one["_text"]), "\n").alias("_tail"))
-    )
-    joined = own.join(tails, list(_SPLIT), "left")
-    text = F.when(F.col("_is_last"), F.concat_ws("\n", "_text", "_tail")).otherwise(F.col("_text"))
-    return joined.select(*_SPLIT, "_record", "_utf8", text.alias("_text"))
 
 
 def read_records(
@@ -158,7 +149,7 @@ def read_records(
     """The columns of all records as text, and the corrupt-record text Spark's CSV reader would set."""
     lines = _with_effect(_lines(spark, path))
     splits = stored(_splits(lines), "splits")
-    is_header = (F.col("_block") == 0) & (F.col("_record") == 1)
+    is_header = (F.col("_start") == 0) & (F.col("_record") == 1)
     records = _records(lines, splits).where(~is_header & is_not_blank(F.col("_text")))
     raw = F.col("_text").cast("binary")
     if encoding == "auto":
