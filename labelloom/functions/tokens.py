@@ -2,14 +2,14 @@
 
 The built-in tokenizer gives one token per code point and never leaves the JVM.
 Any other tokenizer is a factory, sent to the workers and called there; the
-object it returns maps a list of texts to a list of integer lists.
+object it returns maps a list of texts to a list of integer lists or arrays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,28 +20,50 @@ EncodeBatch = Callable[[Sequence[str]], Sequence[Sequence[int]]]
 IGNORED_LABEL = -100
 
 
-def code_points(text: Column) -> Column:
-    return F.transform(F.split(text, ""), lambda char: F.ascii(char))
+def code_points(text: Column, max_length: int) -> Column:
+    """One token per code point, so the text can be cut before it is taken apart."""
+    return F.transform(F.split(F.substring(text, 1, max_length), ""), lambda char: F.ascii(char))
 
 
-def encoded(text: Column, factory: Callable[[], EncodeBatch]) -> Column:
-    """Token ids from a tokenizer built by ``factory`` in the Python workers."""
+def _with_nulls(texts: pa.Array, values: Sequence, arrow_type: pa.DataType) -> pa.Array:
+    """Values of the texts that are there, with NULL for the others."""
+    following = iter(values)
+    filled = (next(following) if there else None for there in texts.is_valid().to_pylist())
+    return pa.array(filled, arrow_type)
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+def encoded(text: Column, factory: Callable[[], EncodeBatch], max_length: int) -> Column:
+    """(input_ids, n_tokens) from a tokenizer built by ``factory`` in the Python workers.
+
+    Ids are cut in the worker, so only those that are kept travel back. The
+    function counts as non-deterministic, which keeps Spark from calling it again
+    for every use of its result.
+    """
+
+    @F.arrow_udf("input_ids array<int>, n_tokens int")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode_batch = built(factory)
         for texts in batches:
-            present = texts.notna()
-            ids = pd.Series([None] * len(texts), index=texts.index, dtype=object)
-            found = encode_batch(texts[present].tolist())
-            ids[present] = pd.Series([list(one) for one in found], index=texts.index[present], dtype=object)
-            yield ids
+            ids = encode_batch(texts.drop_null().to_pylist())
+            kept = _with_nulls(texts, [one[:max_length] for one in ids], pa.list_(pa.int32()))
+            counts = _with_nulls(texts, [len(one) for one in ids], pa.int32())
+            yield pa.StructArray.from_arrays([kept, counts], ["input_ids", "n_tokens"])
 
-    return encode(text)
+    return encode.asNondeterministic()(text)
 
 
-def cut(ids: Column, max_length: int) -> Column:
-    return F.slice(ids, 1, max_length)
+def token_count(text: Column, factory: Callable[[], EncodeBatch] | None = None) -> Column:
+    if factory is None:
+        return F.length(text)
+
+    @F.arrow_udf("int")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encode_batch = built(factory)
+        for texts in batches:
+            ids = encode_batch(texts.drop_null().to_pylist())
+            yield _with_nulls(texts, [len(one) for one in ids], pa.int32())
+
+    return count.asNondeterministic()(text)
 
 
 def padded(ids: Column, max_length: int, pad: int) -> Column:

@@ -69,7 +69,11 @@ CONTRACT_RULES = KeywordScorer(
 
 
 def responses(prompts: Column, scorer: Callable[[], Scorer]) -> Column:
-    """Response text for each prompt; NULL for a NULL prompt."""
+    """Response text for each prompt; NULL for a NULL prompt.
+
+    The function counts as non-deterministic, which keeps Spark from calling the
+    scorer again for every use of its answer, as in a filter on the prediction.
+    """
 
     @F.pandas_udf("string")
     def respond(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -80,7 +84,7 @@ def responses(prompts: Column, scorer: Callable[[], Scorer]) -> Column:
             answers[present] = list(score(batch[present].tolist()))
             yield answers
 
-    return respond(prompts)
+    return respond.asNondeterministic()(prompts)
 
 
 def classify_table(

@@ -1,4 +1,9 @@
-"""A text classifier trained by Spark ML on the training part."""
+"""A text classifier trained by Spark ML on the training part.
+
+Training passes over the rows many times, so the word counts are made once and
+stored; all passes read those. Their width is fixed, and with it the model's
+size, whatever the data's.
+"""
 
 from __future__ import annotations
 
@@ -11,23 +16,30 @@ from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.sql import DataFrame
 
 from labelloom.operators.sampling import part, stratified_split
+from labelloom.shared import stored
 
+NUM_FEATURES = 1 << 16
 
-def classifier(
-    text: str = "code",
-    label: str = "label_encoded",
-    num_features: int = 1 << 16,
-    max_iter: int = 50,
-    reg_param: float = 0.01,
-) -> Pipeline:
-    """Words, hashed counts, inverse document frequency, multinomial logistic regression.
 
-    The feature count is fixed, so the model's size does not grow with the data.
-    """
-    return Pipeline(
+def _word_counts(text: str, num_features: int) -> PipelineModel:
+    return PipelineModel(
         stages=[
             RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"\W+"),
             HashingTF(inputCol="_words", outputCol="_counts", numFeatures=num_features),
+        ]
+    )
+
+
+def _counted(
+    rows: DataFrame, counter: PipelineModel, label: str, partitions: int | None
+) -> DataFrame:
+    counts = counter.transform(rows).select(label, "_counts")
+    return stored(counts.repartition(partitions) if partitions else counts, "word-counts")
+
+
+def _weighted_regression(label: str, max_iter: int = 50, reg_param: float = 0.01) -> Pipeline:
+    return Pipeline(
+        stages=[
             IDF(inputCol="_counts", outputCol="_features"),
             LogisticRegression(
                 featuresCol="_features",
@@ -41,8 +53,23 @@ def classifier(
     )
 
 
-def fit_classifier(train: DataFrame, **settings: object) -> PipelineModel:
-    return classifier(**settings).fit(train)
+def fit_classifier(
+    train: DataFrame,
+    text: str = "code",
+    label: str = "label_encoded",
+    num_features: int = NUM_FEATURES,
+    partitions: int | None = None,
+    **settings: object,
+) -> PipelineModel:
+    """Hashed word counts, weighted by rarity, and multinomial logistic regression.
+
+    ``settings`` are ``max_iter`` and ``reg_param``. ``partitions`` spreads the
+    word counts evenly, for a table with fewer splits than there are cores.
+    """
+    counter = _word_counts(text, num_features)
+    counts = _counted(train, counter, label, partitions)
+    fitted = _weighted_regression(label, **settings).fit(counts)
+    return PipelineModel(stages=[*counter.stages, *fitted.stages])
 
 
 def select_model(
@@ -53,19 +80,22 @@ def select_model(
     validation_size: float = 0.2,
     text: str = "code",
     label: str = "label_encoded",
+    num_features: int = NUM_FEATURES,
+    partitions: int | None = None,
 ) -> tuple[PipelineModel, list[float]]:
-    """The candidate with the least log-loss on rows cut from ``train``, and all losses.
+    """The candidate settings with the least log-loss on rows cut from ``train``, and all losses.
 
     The test part is never seen, so its accuracy stays an honest figure.
     """
     rows = stratified_split(train, validation_size, seed, label, key)
-    fitting, validation = part(rows, "train"), part(rows, "test")
+    counter = _word_counts(text, num_features)
+    fitting = _counted(part(rows, "train"), counter, label, partitions)
+    validation = _counted(part(rows, "test"), counter, label, partitions)
     log_loss = MulticlassClassificationEvaluator(metricName="logLoss", labelCol=label)
-    models = [
-        fit_classifier(fitting, text=text, label=label, **settings) for settings in candidates
-    ]
+    models = [_weighted_regression(label, **settings).fit(fitting) for settings in candidates]
     losses = [log_loss.evaluate(model.transform(validation)) for model in models]
-    return models[losses.index(min(losses))], losses
+    best = models[losses.index(min(losses))]
+    return PipelineModel(stages=[*counter.stages, *best.stages]), losses
 
 
 def save_model(model: PipelineModel, path: str) -> None:

@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelloom.shared import BROADCAST_BYTES, stored, with_group_values
+from labelloom.shared import BROADCAST_BYTES, measured, stored, with_group_values
 
 # Four hex digits: 65,536 buckets, so 10 billion rows in one group leave about
 # 150,000 keys to rank for it.
@@ -35,40 +35,55 @@ def _keys(df: DataFrame, group: Column, key: str) -> DataFrame:
     return stored(df.select(group.alias("_group"), F.col(key).alias("_key")), "keys")
 
 
-def _cuts(keys: DataFrame, takes: DataFrame, seed: int) -> DataFrame:
-    """Per group of ``takes`` (_group, _rows, _take): hash and key of its last row taken."""
+def _group_counts(keys: DataFrame) -> DataFrame:
+    return keys.groupBy("_group").agg(F.count("*").alias("_rows"))
+
+
+def _cuts(
+    keys: DataFrame,
+    takes: DataFrame,
+    seed: int,
+    measure: tuple[int, int],
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """Per group of ``takes`` (_group, _rows, _take): hash and key of its last row taken.
+
+    Groups of which no row is taken are left out. ``measure`` is that of the
+    stored table of groups.
+    """
     hashed = keys.withColumn("_hash", seeded_hash(F.col("_key"), seed)).withColumn(
         "_bucket", F.substring("_hash", 1, _BUCKET_DIGITS)
     )
-    up_to = Window.partitionBy("_group").orderBy("_bucket")
+    up_to = Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     histogram = (
         hashed.groupBy("_group", "_bucket")
         .agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.sum("_n").over(up_to) - F.col("_n"))
+        .withColumn("_up_to", F.sum("_n").over(up_to))
     )
+    before = F.col("_up_to") - F.col("_n")
     boundary = (
-        histogram.alias("h")
-        .join(takes.alias("t"), F.col("h._group").eqNullSafe(F.col("t._group")))
-        .where((F.col("_before") < F.col("_take")) & (F.col("_take") <= F.col("_before") + F.col("_n")))
+        with_group_values(histogram, "_group", takes, measure, broadcast_bytes)
+        .where((before < F.col("_take")) & (F.col("_take") <= F.col("_up_to")))
         .select(
-            "h._group",
-            "t._rows",
-            F.col("h._bucket").alias("_cut_bucket"),
-            (F.col("_take") - F.col("_before")).alias("_need"),
+            "_group",
+            "_rows",
+            F.col("_bucket").alias("_cut_bucket"),
+            (F.col("_take") - before).alias("_need"),
         )
     )
-    in_bucket = with_group_values(hashed, "_group", stored(boundary, "boundaries")).where(F.col("_bucket") == F.col("_cut_bucket"))
+    in_bucket = with_group_values(hashed, "_group", boundary, measure, broadcast_bytes).where(
+        F.col("_bucket") == F.col("_cut_bucket")
+    )
     rank = F.row_number().over(Window.partitionBy("_group").orderBy("_hash", "_key"))
     cuts = (
         in_bucket.withColumn("_rank", rank)
         .where(F.col("_rank") == F.col("_need"))
-        .select("_group", F.col("_hash").alias("_cut_hash"), F.col("_key").alias("_cut_key"))
-    )
-    rows = takes.select("_group", "_rows")
-    cuts = (
-        rows.alias("r")
-        .join(cuts.alias("c"), F.col("r._group").eqNullSafe(F.col("c._group")), "left")
-        .select("r._group", "r._rows", "_cut_hash", "_cut_key")
+        .select(
+            "_group",
+            "_rows",
+            F.col("_hash").alias("_cut_hash"),
+            F.col("_key").alias("_cut_key"),
+        )
     )
     return stored(cuts, "cuts")
 
@@ -77,7 +92,7 @@ def _with_taken(
     df: DataFrame, group: str, key: str, seed: int, cuts: DataFrame, broadcast_bytes: int
 ) -> DataFrame:
     """``df`` plus BOOLEAN ``_taken``: the row comes no later than its group's cut."""
-    joined = with_group_values(df, group, cuts, broadcast_bytes)
+    joined = with_group_values(df, group, cuts, broadcast_bytes=broadcast_bytes)
     own = seeded_hash(F.col(key), seed)
     taken = (own < F.col("_cut_hash")) | (
         (own == F.col("_cut_hash")) & (F.col(key) <= F.col("_cut_key"))
@@ -96,9 +111,9 @@ def sample_exact(df: DataFrame, n: int | None, seed: int, key: str) -> DataFrame
     if not n:
         return df
     keys = _keys(df, F.lit(0), key)
-    counts = keys.groupBy("_group").agg(F.count("*").alias("_rows"))
-    takes = counts.withColumn("_take", F.least(F.col("_rows"), F.lit(n).cast("bigint")))
-    cuts = _cuts(keys, takes, seed)
+    takes = _group_counts(keys).withColumn("_take", F.least("_rows", F.lit(n).cast("bigint")))
+    one_group = (0, 0)
+    cuts = _cuts(keys, takes, seed, one_group)
     cut = cuts.select(F.struct("_cut_hash", "_cut_key")).scalar()
     own = F.struct(
         seeded_hash(F.col(key), seed).alias("_cut_hash"), F.col(key).alias("_cut_key")
@@ -117,13 +132,14 @@ def cap_per_class(
 ) -> DataFrame:
     """At most ``total // classes`` rows of each class, and only if there are more than ``total`` rows."""
     keys = _keys(df, F.col(label), key)
-    if keys.count() <= total:
+    counts = stored(_group_counts(keys), "class-counts")
+    size, rows = measured(counts)
+    if rows <= total:
         return df
-    counts = keys.groupBy("_group").agg(F.count("*").alias("_rows"))
-    takes = counts.withColumn(
-        "_take", F.least(F.col("_rows"), F.lit(total // classes).cast("bigint"))
-    )
-    cuts = _cuts(keys, takes, seed)
+    if total < classes:
+        return df.where(F.lit(False))
+    takes = counts.withColumn("_take", F.least("_rows", F.lit(total // classes).cast("bigint")))
+    cuts = _cuts(keys, takes, seed, (size, rows), broadcast_bytes)
     return _with_taken(df, label, key, seed, cuts, broadcast_bytes).where("_taken").drop("_taken")
 
 
@@ -150,12 +166,12 @@ def train_quotas(counts: DataFrame, n_train: int, n: int) -> DataFrame:
 
 
 def _check_classes(counts: DataFrame, n: int, n_train: int, label: str) -> None:
-    single = [row[0] for row in counts.where("_rows < 2").select("_group").limit(10).collect()]
-    if single:
-        raise ValueError(f"classes of {label!r} with fewer than 2 rows: {single}")
-    classes = counts.count()
+    classes, smallest = counts.agg(F.count("*"), F.min("_rows")).first()
+    if smallest is not None and smallest < 2:
+        some = [row[0] for row in counts.where("_rows < 2").select("_group").limit(10).collect()]
+        raise ValueError(f"classes of {label!r} with fewer than 2 rows, among them: {some}")
     for name, rows in (("test", n - n_train), ("train", n_train)):
-        if rows < classes:
+        if rows < max(classes, 1):
             raise ValueError(f"{rows} {name} rows cannot hold {classes} classes of {label!r}")
 
 
@@ -174,12 +190,12 @@ def stratified_split(
     rows than there are classes.
     """
     keys = _keys(df, F.col(label), key)
-    counts = stored(keys.groupBy("_group").agg(F.count("*").alias("_rows")), "class-counts")
-    n = counts.agg(F.sum("_rows")).first()[0] or 0
+    counts = stored(_group_counts(keys), "class-counts")
+    size, n = measured(counts)
     n_test = test_size if isinstance(test_size, int) else math.ceil(test_size * n)
     n_train = n - n_test
     _check_classes(counts, n, n_train, label)
-    cuts = _cuts(keys, train_quotas(counts, n_train, n), seed)
+    cuts = _cuts(keys, train_quotas(counts, n_train, n), seed, (size, n), broadcast_bytes)
     split = F.when(F.col("_taken"), F.lit("train")).otherwise(F.lit("test"))
     marked = _with_taken(df, label, key, seed, cuts, broadcast_bytes)
     return marked.select(*df.columns, split.alias("split"))

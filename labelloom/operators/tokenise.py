@@ -2,38 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions import tokens as tk
 
 
-def _ids(text: str, tokenizer: Callable[[], tk.EncodeBatch] | None) -> Column:
-    return tk.code_points(F.col(text)) if tokenizer is None else tk.encoded(F.col(text), tokenizer)
-
-
-def _length(text: str, tokenizer: Callable[[], tk.EncodeBatch] | None) -> Column:
-    return F.length(text) if tokenizer is None else F.size(tk.encoded(F.col(text), tokenizer))
-
-
 def tokenise(
     df: DataFrame,
     text: str,
     max_length: int,
     tokenizer: Callable[[], tk.EncodeBatch] | None = None,
-    keep: tuple[str, ...] = (),
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """``input_ids`` of at most ``max_length`` and ``n_tokens`` of the whole text.
 
     Input columns not in ``keep`` are removed. Without a ``tokenizer`` each code
     point is a token.
     """
-    ids = df.select(*keep, _ids(text, tokenizer).alias("_ids"))
-    return ids.select(
-        *keep, tk.cut(F.col("_ids"), max_length).alias("input_ids"), F.size("_ids").alias("n_tokens")
-    )
+    if tokenizer is None:
+        ids = tk.code_points(F.col(text), max_length).alias("input_ids")
+        return df.select(*keep, ids, tk.token_count(F.col(text)).alias("n_tokens"))
+    tokens = df.select(*keep, tk.encoded(F.col(text), tokenizer, max_length).alias("_tokens"))
+    return tokens.select(*keep, "_tokens.*")
 
 
 def pad_mask(df: DataFrame, max_length: int, pad: int) -> DataFrame:
@@ -55,9 +48,12 @@ def truncation_report(
     tokenizer: Callable[[], tk.EncodeBatch] | None = None,
 ) -> DataFrame:
     """One row: rows, rows longer than ``max_length`` (which lose their answer cue), tokens cut off."""
-    return df.select(_length(text, tokenizer).cast("bigint").alias("n")).agg(
+    n = tk.token_count(F.col(text), tokenizer).cast("bigint")
+    return df.select(n.alias("n")).agg(
         F.count("*").alias("total"),
         F.count_if(F.col("n") > max_length).alias("cut_rows"),
-        F.coalesce(F.sum(F.greatest(F.col("n") - max_length, F.lit(0).cast("bigint"))), F.lit(0)).alias("cut_tokens"),
+        F.coalesce(
+            F.sum(F.greatest(F.col("n") - max_length, F.lit(0).cast("bigint"))), F.lit(0)
+        ).alias("cut_tokens"),
         F.max("n").alias("longest"),
     )

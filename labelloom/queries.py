@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,14 +53,11 @@ DOCUMENT_SCORER = KeywordScorer(
 class Utf8Bytes:
     """Tokenizer factory: one token per UTF-8 byte."""
 
-    def __eq__(self, other: object) -> bool:
-        return isinstance(other, Utf8Bytes)
+    def __call__(self) -> Callable:
+        return lambda texts: [np.frombuffer(one.encode(), np.uint8) for one in texts]
 
-    def __hash__(self) -> int:
-        return hash(Utf8Bytes.__name__)
 
-    def __call__(self) -> Callable:
-        return lambda texts: [list(one.encode()) for one in texts]
+UTF8_BYTES = Utf8Bytes()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -392,7 +390,7 @@ def tokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tokenise_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tokenizer of the user's own, called in batches in the Python workers."""
     rows = tk.tokenise(
-        table(spark, sf_dir, "documents"), "text", MAX_LENGTH, Utf8Bytes(), keep=("doc_id",)
+        table(spark, sf_dir, "documents"), "text", MAX_LENGTH, UTF8_BYTES, keep=("doc_id",)
     )
     return rows.select("doc_id", "n_tokens", joined_ids("input_ids"))
 
@@ -486,7 +484,13 @@ def fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit on the training part, save, load, and classify the test part."""
     rows = _languages(spark, sf_dir)
     path = new_path(spark, "model")
-    save_model(fit_classifier(sm.part(rows, "train"), num_features=1 << 12, max_iter=20), path)
+    model = fit_classifier(
+        sm.part(rows, "train"),
+        num_features=1 << 12,
+        partitions=spark.sparkContext.defaultParallelism,
+        max_iter=20,
+    )
+    save_model(model, path)
     predicted = classify_with_model(sm.part(rows, "test"), load_model(path))
     return predicted.select("doc_id", "label_encoded", "prediction")
 
@@ -498,8 +502,14 @@ def model_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two candidates compared on rows cut from the training part; the better one on the test part."""
     rows = _languages(spark, sf_dir)
-    candidates = [{"num_features": 1 << 10, "max_iter": steps} for steps in (5, 20)]
-    model, _ = select_model(sm.part(rows, "train"), candidates, SEED, "doc_id")
+    model, _ = select_model(
+        sm.part(rows, "train"),
+        [{"max_iter": 5}, {"max_iter": 20}],
+        SEED,
+        "doc_id",
+        num_features=1 << 12,
+        partitions=spark.sparkContext.defaultParallelism,
+    )
     predicted = classify_with_model(sm.part(rows, "test"), model)
     return ev.accuracy_all(predicted)
 

@@ -34,27 +34,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def measured(table: DataFrame) -> tuple[int, int]:
+    """Bytes of a stored table once in memory, and the rows its groups hold (``_rows``)."""
+    widths = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in table.columns]
+    size, rows = table.agg(F.sum(sum(widths, F.lit(0))), F.sum("_rows")).first()
+    return size or 0, rows or 0
+
+
 def with_group_values(
     df: DataFrame,
     group: str,
     table: DataFrame,
+    measure: tuple[int, int] | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """``df`` with the values of its rows' groups, from a stored table with one row per group.
+    """``df`` with the columns of its rows' groups, from a table with one row per group.
 
-    ``table`` has ``_group``, ``_rows`` (how many rows the group has) and values.
-
-    A table within ``broadcast_bytes`` is broadcast. Of a larger one only the
-    groups holding at least 1/10,000 of all rows are, and there cannot be more
-    than 10,000 of those. The other groups are small by the same bound, so an
+    ``table`` has ``_group``, ``_rows`` (how many rows the group has) and others;
+    it is stored, or comes with the ``measure`` of a stored table of its size.
+    Within ``broadcast_bytes`` it is broadcast. Of a larger one only the groups
+    holding at least 1/10,000 of all rows are, and there cannot be more than
+    10,000 of those. The other groups are small by the same bound, so an
     ordinary shuffle on the group spreads them evenly.
     """
-    values = [name for name in table.columns if name not in ("_group", "_rows")]
+    values = [name for name in table.columns if name != "_group"]
+    size, rows = measure or measured(table)
     table = table.withColumnRenamed("_group", "_its_group")
     same = F.col(group).eqNullSafe(F.col("_its_group"))
-    widths = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in table.columns]
-    size, rows = table.agg(F.sum(sum(widths, F.lit(0))), F.sum("_rows")).first()
-    if (size or 0) <= broadcast_bytes:
+    if size <= broadcast_bytes:
         joined = df.join(F.broadcast(table), same, "left")
     else:
         is_hot = F.col("_rows") >= F.lit(rows / HOT_SHARES)

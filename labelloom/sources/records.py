@@ -163,4 +163,6 @@ def read_records(
         text_schema(columns),
         {**CSV_OPTIONS, "columnNameOfCorruptRecord": CORRUPT},
     )
-    return records.select(parsed.alias("_row")).select("_row.*")
+    # As a generator's output the parsed row is made once; filters on its fields
+    # would otherwise be pushed below the parsing and repeat it.
+    return records.select(F.inline(F.array(parsed)))
