@@ -236,21 +236,21 @@ WHERE q.role = 'user' AND a.role = 'assistant'""",
     "first_label_orders": """
 SELECT o_orderkey, CAST(substr(o_orderpriority, 1, 1) AS INT) AS label FROM orders""",
     "tokenise": f"""WITH {_TOKENS}
-SELECT doc_id, CAST(n AS INT) AS n_tokens, array_to_string(ids, ',') AS input_ids FROM tokens""",
+SELECT doc_id, CAST(n AS INT) AS n_tokens, CAST(ids AS VARCHAR) AS input_ids FROM tokens""",
     "tokenise_batched": """WITH raw AS (
   SELECT doc_id, octet_length(encode(text)) AS n, hex(encode(text)) AS h FROM documents)
 SELECT doc_id, CAST(n AS INT) AS n_tokens,
-  array_to_string(list_transform(range(0, least(n, 2048)),
-    lambda i: CAST(concat('0x', substr(h, 2 * i + 1, 2)) AS INT)), ',') AS input_ids
+  CAST(list_transform(range(0, least(n, 2048)),
+    lambda i: CAST(concat('0x', substr(h, 2 * i + 1, 2)) AS INT)) AS VARCHAR) AS input_ids
 FROM raw""",
     "pad_mask": f"""WITH {_TOKENS}
 SELECT doc_id,
-  array_to_string(list_resize(ids, 2048, 0), ',') AS input_ids,
-  array_to_string(list_transform(range(1, 2049), lambda i: CASE WHEN i <= n THEN 1 ELSE 0 END), ',') AS attention_mask
+  CAST(list_resize(ids, 2048, 0) AS VARCHAR) AS input_ids,
+  CAST(list_transform(range(1, 2049), lambda i: CASE WHEN i <= n THEN 1 ELSE 0 END) AS VARCHAR) AS attention_mask
 FROM tokens""",
     "lm_labels": f"""WITH {_TOKENS}
-SELECT doc_id, array_to_string(list_transform(list_resize(ids, 2048, 0),
-  lambda x: CASE WHEN x = 0 THEN -100 ELSE x END), ',') AS labels
+SELECT doc_id, CAST(list_transform(list_resize(ids, 2048, 0),
+  lambda x: CASE WHEN x = 0 THEN -100 ELSE x END) AS VARCHAR) AS labels
 FROM tokens""",
     "truncation_report": f"""WITH {_CLEANED}, {_LINES}, sized AS (
   SELECT length(concat({_LONG_BEFORE}, code, {_text(LONG.after)}, ' ', CAST(label_encoded AS VARCHAR))) AS n

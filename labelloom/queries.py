@@ -90,9 +90,9 @@ def split_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sm.stratified_split(cleaned(spark, sf_dir), 0.2, SEED, "label_encoded", "doc_id")
 
 
-def joined_ids(ids: str) -> Column:
-    """An integer array as text, so that any two engines print it alike."""
-    return F.array_join(F.col(ids).cast("array<string>"), ",").alias(ids)
+def as_text(ids: str) -> Column:
+    """An integer array as text such as ``[1, 2]``, so that any two engines show it alike."""
+    return F.col(ids).cast("string").alias(ids)
 
 
 # Sources and sinks
@@ -384,7 +384,7 @@ def first_label_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tk.tokenise(table(spark, sf_dir, "documents"), "text", MAX_LENGTH, keep=("doc_id",))
-    return rows.select("doc_id", "n_tokens", joined_ids("input_ids"))
+    return rows.select("doc_id", "n_tokens", as_text("input_ids"))
 
 
 def tokenise_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -392,7 +392,7 @@ def tokenise_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tk.tokenise(
         table(spark, sf_dir, "documents"), "text", MAX_LENGTH, UTF8_BYTES, keep=("doc_id",)
     )
-    return rows.select("doc_id", "n_tokens", joined_ids("input_ids"))
+    return rows.select("doc_id", "n_tokens", as_text("input_ids"))
 
 
 def _padded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -402,12 +402,12 @@ def _padded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pad_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _padded(spark, sf_dir).select(
-        "doc_id", joined_ids("input_ids"), joined_ids("attention_mask")
+        "doc_id", as_text("input_ids"), as_text("attention_mask")
     )
 
 
 def lm_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tk.lm_labels(_padded(spark, sf_dir), PAD).select("doc_id", joined_ids("labels"))
+    return tk.lm_labels(_padded(spark, sf_dir), PAD).select("doc_id", as_text("labels"))
 
 
 def truncation_report(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Everything is read as text; casts are the cleaning step's work. Spark reads such
 a file in one task, so files above ``split_above`` bytes go through
-``sources.records`` instead, which splits them.
+``sources.records`` instead, which splits them. So do files with CRLF line ends,
+whose CRLFs inside cells Spark's reader would turn into LFs.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ SPLIT_ABOVE = 512 * 1024 * 1024
 def csv_columns(spark: SparkSession, path: str) -> list[str]:
     """Column names of the header; reads one line."""
     names = spark.read.options(**CSV_OPTIONS).option("header", True).csv(path).columns
-    return [name.lstrip("﻿") for name in names]
+    return [name.strip("\ufeff\r") for name in names]
 
 
 def _keep(columns: Sequence[str], on_bad_lines: str) -> Column:
@@ -101,10 +102,17 @@ def _read_mixed(spark: SparkSession, path: str, columns: Sequence[str]) -> DataF
 
 
 def _largest_file(spark: SparkSession, path: str) -> int:
+    """Bytes of the largest file; reads the listing only."""
     sizes = spark.read.format("binaryFile").load(path).agg(F.max("length"))
     return sizes.first()[0] or 0
 
 
+def _ends_in_crlf(spark: SparkSession, path: str) -> bool:
+    """Whether the first line does; reads that line only."""
+    line = spark.read.text(path, lineSep="\n").first()
+    return line is not None and line["value"].endswith("\r")
+
+
 def read_contracts(
     spark: SparkSession,
     path: str,
@@ -125,7 +133,7 @@ def read_contracts(
         columns = csv_columns(spark, path)
         if not columns:
             raise ValueError(f"no columns to read from {path}")
-        if _largest_file(spark, path) > split_above:
+        if _largest_file(spark, path) > split_above or _ends_in_crlf(spark, path):
             rows = read_records(spark, path, columns, encoding)
         elif encoding == "auto":
             rows = _read_mixed(spark, path, columns)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 CORRUPT = "_corrupt"
 
 # Spark's own default escape is the backslash, which breaks cells holding "".
-CSV_OPTIONS = {"quote": '"', "escape": '"', "multiLine": "true"}
+CSV_OPTIONS = {"quote": '"', "escape": '"', "multiLine": "true", "lineSep": "\n"}
 
 # The inside of a quoted cell, and one whole field: quoted (with anything up to
 # the next comma after it), plain, or empty. The quantifiers are possessive, so
