@@ -22,7 +22,10 @@ IGNORED_LABEL = -100
 
 def code_points(text: Column, max_length: int) -> Column:
     """One token per code point, so the text can be cut before it is taken apart."""
-    return F.transform(F.split(F.substring(text, 1, max_length), ""), lambda char: F.ascii(char))
+    kept = F.substring(text, 1, max_length)
+    ids = F.transform(F.split(kept, ""), lambda char: F.ascii(char))
+    # Splitting an empty text gives one empty piece, not none.
+    return F.slice(ids, F.lit(1), F.length(kept))
 
 
 def _with_nulls(texts: pa.Array, values: Sequence, arrow_type: pa.DataType) -> pa.Array:
