@@ -34,11 +34,23 @@ def prompt(
     label: Column | None = None,
     wording: Wording = LONG,
     names: Mapping[int, str] = LABEL_NAMES,
+    max_length: int | None = None,
 ) -> Column:
-    """Prompt for a code cell; with ``label`` the training form that ends in the answer."""
+    """Prompt for a code cell; with ``label`` the training form that ends in the answer.
+
+    The code is taken whole, unless the wording takes only its beginning or
+    ``max_length`` bounds the prompt's code points. It is the code that gives
+    way then, never the answer cue, without which a model has nothing to answer.
+    """
     before = wording.before.replace("{labels}", label_lines(names))
     if wording.max_code_chars is not None:
         code = F.substring(code, 1, wording.max_code_chars)
+    if max_length is not None:
+        answer = 0 if label is None else 1 + len(str(max(names)))
+        room = max_length - len(before) - len(wording.after) - answer
+        if room < 0:
+            raise ValueError(f"the wording alone is longer than {max_length}")
+        code = F.substring(code, 1, room)
     parts = [F.lit(before), code, F.lit(wording.after)]
     if label is not None:
         parts += [F.lit(" "), label.cast("string")]

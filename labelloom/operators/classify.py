@@ -94,12 +94,14 @@ def classify_table(
     output: str = "llm_prediction",
     wording: Wording = LONG,
     echoes_prompt: bool = False,
+    max_length: int | None = None,
 ) -> DataFrame:
     """``df`` plus an INT prediction, -1 where the scorer gave none or the code is NULL.
 
-    Set ``echoes_prompt`` for scorers whose response starts with the prompt.
+    Set ``echoes_prompt`` for scorers whose response starts with the prompt, and
+    ``max_length`` for those that take no longer prompts: the code is cut then.
     """
-    asked = prompt(F.col(code), wording=wording)
+    asked = prompt(F.col(code), wording=wording, max_length=max_length)
     answer = responses(asked, scorer)
     if echoes_prompt:
         answer = tx.generated_part(answer, asked)

@@ -296,6 +296,22 @@ SELECT doc_id, label_encoded, split, concat({_text(SHORT.before)}, substr(code,
   {_text(SHORT.after)}, ' ', CAST(label_encoded AS VARCHAR)) AS text
 FROM parted""",
 }
+_ORACLES["prepare_low_memory"] = f"""WITH {_LABELLED}, {_LINES},
+chosen AS (SELECT * FROM labelled ORDER BY {_hash('doc_id', 42)}, doc_id LIMIT 500),
+{_split('chosen', 'label_encoded', 'doc_id', '0.2', 42, 'parted')}
+SELECT doc_id, label_encoded, split,
+  concat({_LONG_BEFORE}, code, {_text(LONG.after)}, ' ', CAST(label_encoded AS VARCHAR)) AS text
+FROM parted"""
+_ORACLES["prepare_least_memory"] = f"""WITH {_LABELLED},
+known AS (SELECT * FROM labelled WHERE label_encoded BETWEEN 0 AND 8),
+chosen AS (
+  SELECT * FROM known
+  QUALIFY row_number() OVER (PARTITION BY label_encoded ORDER BY {_hash('doc_id', 42)}, doc_id) <= 800 // 9
+    OR count(*) OVER () <= 800),
+{_split('chosen', 'label_encoded', 'doc_id', '0.2', 42, 'parted')}
+SELECT doc_id, label_encoded, split, concat({_text(SHORT.before)}, substr(code, 1, 1000),
+  {_text(SHORT.after)}, ' ', CAST(label_encoded AS VARCHAR)) AS text
+FROM parted"""
 _ORACLES["csv_split_records"] = _ORACLES["csv_roundtrip"]
 
 

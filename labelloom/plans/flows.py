@@ -3,25 +3,33 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.functions.prompts import prompt
-from labelloom.functions.wording import LABEL_NAMES, LONG, Wording
-from labelloom.operators.classify import Scorer, classify_table
+from labelloom.functions.wording import LABEL_NAMES, LONG, SHORT, Wording
+from labelloom.operators.classify import Scorer, classify_table, classify_with_model
 from labelloom.operators.clean import clean, number_of
-from labelloom.operators.evaluate import accuracy_answered
-from labelloom.operators.sampling import cap_per_class, sample_exact, stratified_split
+from labelloom.operators.evaluate import accuracy_answered, evaluate
+from labelloom.operators.model import fit_classifier, save_model
+from labelloom.operators.profile import training_steps
+from labelloom.operators.sampling import (
+    cap_per_class,
+    eval_subset,
+    part,
+    sample_exact,
+    stratified_split,
+)
 from labelloom.sources.contracts import read_contracts
 from labelloom.sources.resolve import require_columns, resolve_source
-from labelloom.sources.write import land, write_csv
+from labelloom.sources.write import export_split_text, land, with_config, write_config, write_csv
 
 
 @dataclass(frozen=True)
 class Settings:
-    """How a table is prepared for training."""
+    """How a table is prepared, trained on and evaluated."""
 
     level: str = "tolerant"
     max_samples: int | None = None
@@ -29,6 +37,38 @@ class Settings:
     test_size: float = 0.2
     random_state: int = 42
     wording: Wording = LONG
+    max_length: int = 2048
+    num_train_epochs: int = 3
+    per_device_train_batch_size: int = 4
+    gradient_accumulation_steps: int = 4
+    eval_samples: int | None = None
+
+
+# The settings of the five usual runs, from all rows to small memory.
+PRESETS = {
+    "all_strict": Settings(level="strict"),
+    "low_memory": Settings(
+        level="strict",
+        max_samples=500,
+        max_length=1024,
+        num_train_epochs=2,
+        per_device_train_batch_size=1,
+        gradient_accumulation_steps=16,
+        eval_samples=100,
+    ),
+    "least_memory": Settings(
+        level="domain",
+        max_samples=800,
+        per_class=True,
+        wording=SHORT,
+        max_length=512,
+        per_device_train_batch_size=1,
+        gradient_accumulation_steps=16,
+        eval_samples=50,
+    ),
+    "notebook": Settings(max_samples=1000, max_length=1024),
+    "all_tolerant": Settings(eval_samples=50),
+}
 
 
 def prepare(
@@ -67,6 +107,41 @@ def read_and_land(
     return land(read_contracts(spark, source, on_bad_lines, encoding), landed, "row_id")
 
 
+def train_and_evaluate(
+    rows: DataFrame,
+    key: str,
+    output: str,
+    settings: Settings = Settings(),
+    code: str = "code",
+    label: str = "label_encoded",
+    names: Mapping[int, str] = LABEL_NAMES,
+    **model_settings: object,
+) -> DataFrame:
+    """Prepare, train, classify the test part; returns its accuracy per class and overall.
+
+    Leaves ``rows``, ``text``, ``model``, ``predictions`` and ``config`` in the
+    ``output`` folder. Each step reads what the one before it wrote.
+    """
+    prepared = land(prepare(rows, key, settings, code, label, names), f"{output}/rows")
+    export_split_text(prepared, f"{output}/text")
+    steps = training_steps(
+        prepared,
+        settings.num_train_epochs,
+        settings.per_device_train_batch_size,
+        settings.gradient_accumulation_steps,
+    )
+    plain = {name: value for name, value in asdict(settings).items() if name != "wording"}
+    write_config(with_config(steps.where("split = 'train'").drop("split"), plain), f"{output}/config")
+    model = fit_classifier(part(prepared, "train"), code, label, **model_settings)
+    save_model(model, f"{output}/model")
+    test = part(prepared, "test")
+    if settings.eval_samples:
+        test = eval_subset(test, settings.eval_samples, settings.random_state, key)
+    predictions = land(classify_with_model(test, model), f"{output}/predictions")
+    write_csv(predictions, f"{output}/predictions-csv")
+    return evaluate(predictions, label)
+
+
 def classify_file(
     spark: SparkSession,
     path: str,

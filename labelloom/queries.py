@@ -23,7 +23,7 @@ from labelloom.operators import sampling as sm
 from labelloom.operators import tokenise as tk
 from labelloom.operators.classify import KeywordScorer, classify_table, classify_with_model
 from labelloom.operators.model import fit_classifier, load_model, save_model, select_model
-from labelloom.plans.flows import Settings, prepare
+from labelloom.plans.flows import PRESETS, Settings, prepare, train_and_evaluate
 from labelloom.shared import new_path
 from labelloom.sources.contracts import read_contracts
 from labelloom.sources.resolve import require_columns
@@ -521,6 +521,29 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "label_encoded", "split", "text")
 
 
+def _prepared_preset(name: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = prepare(_labelled_documents(spark, sf_dir), "doc_id", PRESETS[name])
+        return rows.select("doc_id", "label_encoded", "split", "text")
+
+    return query
+
+
+def train_evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole training run on labelled documents, up to its accuracies."""
+    accuracies = train_and_evaluate(
+        _labelled_documents(spark, sf_dir),
+        "doc_id",
+        new_path(spark, "training"),
+        PRESETS["all_tolerant"],
+        num_features=1 << 12,
+        partitions=spark.sparkContext.defaultParallelism,
+        max_iter=10,
+    )
+    shown = F.coalesce(F.col("label").cast("string"), F.lit("all"))
+    return accuracies.withColumn("label", shown)
+
+
 QUERIES: dict[str, Query] = {
     "csv_roundtrip": csv_roundtrip,
     "csv_split_records": csv_split_records,
@@ -574,4 +597,7 @@ QUERIES: dict[str, Query] = {
     "model_accuracy": model_accuracy,
     "model_selection": model_selection,
     "prepare": prepared,
+    "prepare_low_memory": _prepared_preset("low_memory"),
+    "prepare_least_memory": _prepared_preset("least_memory"),
+    "train_and_evaluate": train_evaluated,
 }

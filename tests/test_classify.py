@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from labelloom.operators import evaluate as ev
 from labelloom.operators.classify import CONTRACT_RULES, classify_table, classify_with_model
 from labelloom.operators.model import fit_classifier, load_model, save_model, select_model
-from labelloom.plans.flows import Settings, classify_file, prepare, read_and_land
+from labelloom.plans.flows import Settings, classify_file, prepare, read_and_land, train_and_evaluate
 from labelloom.sources.contracts import read_contracts
 from labelloom.sources.write import write_csv
 from labelloom.streaming.classify import classify_stream, write_available
@@ -136,6 +136,19 @@ def test_model_learns_and_survives_saving(learnable, tmp_path):
     assert ev.accuracy_all(rows).first().percent == 100.0
 
 
+def test_train_and_evaluate(spark, learnable, tmp_path):
+    settings = Settings(eval_samples=10, test_size=0.2)
+    output = str(tmp_path / "run")
+    result = train_and_evaluate(learnable, "id", output, settings, num_features=256, max_iter=10)
+    overall = result.where("label IS NULL").first()
+    assert (overall.total, overall.percent_all) == (10, 100.0)
+    config = spark.read.json(f"{output}/config").first()
+    assert (config.n, config.steps, config.random_state, config.max_samples) == (120, 120 * 3 // 16, 42, None)
+    assert read_contracts(spark, f"{output}/predictions-csv").count() == 10
+    assert spark.read.parquet(f"{output}/text").columns == ["text", "split"]
+    assert classify_with_model(learnable, load_model(f"{output}/model")).count() == 150
+
+
 def test_selection_takes_the_least_loss(learnable):
     model, losses = select_model(learnable, [{"max_iter": 0}, {"max_iter": 10}], 1, "id", num_features=256)
     assert losses[1] < losses[0]

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from labelloom.functions import prompts as pr
@@ -40,6 +41,19 @@ def test_own_wording_and_names(spark):
     assert text.startswith("Pick:\n- 0 ") and '"zero"' in text and text.endswith("\n=>")
 
 
+def test_a_bounded_prompt_keeps_its_cue(spark):
+    rows = spark.createDataFrame([("x" * 5000, 5), ("short", 5)], "code string, label int")
+    texts = rows.select(
+        pr.prompt(F.col("code"), max_length=2000).alias("asked"),
+        pr.prompt(F.col("code"), F.col("label"), max_length=2000).alias("trained"),
+    ).collect()
+    assert len(texts[0].asked) == len(texts[0].trained) == 2000
+    assert texts[0].asked.endswith(LONG.after) and texts[0].trained.endswith(LONG.after + " 5")
+    assert texts[1].trained == texts[1].asked + " 5"
+    with pytest.raises(ValueError):
+        pr.prompt(F.col("code"), max_length=100)
+
+
 def test_null_code_gives_no_prompt(spark):
     rows = spark.createDataFrame([(None,)], "code string")
     assert rows.select(pr.prompt(F.col("code"))).first()[0] is None
