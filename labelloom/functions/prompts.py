@@ -7,28 +7,23 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from labelloom.functions.wording import (
-    CHAT,
-    FAULT_LINE,
-    LABEL_NAMES,
-    LONG,
-    NORMAL_LABEL,
-    NORMAL_LINE,
-    SYSTEM,
-    UNKNOWN_NAME,
-    Wording,
-)
-
-
-def label_lines(names: Mapping[int, str] = LABEL_NAMES, normal: int = NORMAL_LABEL) -> str:
-    """The class list of the long prompts, one line per class."""
+from labelloom.functions.wording import CHAT, LABEL_NAMES, LONG, SYSTEM, UNKNOWN_NAME, Wording
+
+
+def label_lines(names: Mapping[int, str] = LABEL_NAMES, wording: Wording = LONG) -> str:
+    """The class list of a prompt, one line per class."""
     lines = []
     for label in sorted(names):
-        line = NORMAL_LINE if label == normal else FAULT_LINE
+        line = wording.normal_line if label == wording.normal_label else wording.fault_line
         lines.append(line.format(label=label, name=names[label]))
     return "\n".join(lines)
 
 
+def opening(names: Mapping[int, str] = LABEL_NAMES, wording: Wording = LONG) -> str:
+    """The text before the code, with the class list in it."""
+    return wording.before.replace("{labels}", label_lines(names, wording))
+
+
 def prompt(
     code: Column,
     label: Column | None = None,
@@ -42,7 +37,7 @@ def prompt(
     ``max_length`` bounds the prompt's code points. It is the code that gives
     way then, never the answer cue, without which a model has nothing to answer.
     """
-    before = wording.before.replace("{labels}", label_lines(names))
+    before = opening(names, wording)
     if wording.max_code_chars is not None:
         code = F.substring(code, 1, wording.max_code_chars)
     if max_length is not None:
@@ -57,28 +52,24 @@ def prompt(
     return F.concat(*parts)
 
 
-def system_message(names: Mapping[int, str] = LABEL_NAMES, system: str = SYSTEM) -> str:
-    return system.replace("{labels}", label_lines(names))
-
-
 def chat_prompt(
     code: Column,
+    system: Wording = SYSTEM,
     wording: Wording = CHAT,
     names: Mapping[int, str] = LABEL_NAMES,
-    system: str = SYSTEM,
 ) -> Column:
     """System part, code and answer cue as one text."""
-    return F.concat(F.lit(system_message(names, system)), prompt(code, None, wording, names))
+    return F.concat(F.lit(opening(names, system)), prompt(code, None, wording, names))
 
 
 def chat_messages(
     code: Column,
     label: Column | None = None,
+    system: Wording = SYSTEM,
     names: Mapping[int, str] = LABEL_NAMES,
-    system: str = SYSTEM,
 ) -> Column:
     """The same conversation as an array of (role, content) for chat-format exports."""
-    turns = [("system", F.lit(system_message(names, system))), ("user", code)]
+    turns = [("system", F.lit(opening(names, system))), ("user", code)]
     if label is not None:
         turns.append(("assistant", label.cast("string")))
     return F.array(

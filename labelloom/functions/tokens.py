@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,11 +29,20 @@ def code_points(text: Column, max_length: int) -> Column:
     return F.slice(ids, F.lit(1), F.length(kept))
 
 
-def _with_nulls(texts: pa.Array, values: Sequence, arrow_type: pa.DataType) -> pa.Array:
-    """Values of the texts that are there, with NULL for the others."""
-    following = iter(values)
-    filled = (next(following) if there else None for there in texts.is_valid().to_pylist())
-    return pa.array(filled, arrow_type)
+def _counts(texts: pa.Array, ids: Sequence[Sequence[int]]) -> pa.Array:
+    """Tokens of each text; NULL for a missing text, which has no ``ids``."""
+    there = texts.is_valid().to_numpy(zero_copy_only=False)
+    counts = np.zeros(len(texts), np.int32)
+    counts[there] = [len(one) for one in ids]
+    return pa.array(counts, mask=~there)
+
+
+def _lists(texts: pa.Array, ids: Sequence[Sequence[int]]) -> pa.Array:
+    """The ids as one list array; NULL for a missing text, which has no ``ids``."""
+    counts = _counts(texts, ids)
+    offsets = np.concatenate([[0], np.cumsum(counts.fill_null(0).to_numpy())]).astype(np.int32)
+    flat = np.concatenate([np.empty(0, np.int32), *(np.asarray(one, np.int32) for one in ids)])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=counts.is_null())
 
 
 def encoded(text: Column, factory: Callable[[], EncodeBatch], max_length: int) -> Column:
@@ -48,9 +58,8 @@ def encoded(text: Column, factory: Callable[[], EncodeBatch], max_length: int) -
         encode_batch = built(factory)
         for texts in batches:
             ids = encode_batch(texts.drop_null().to_pylist())
-            kept = _with_nulls(texts, [one[:max_length] for one in ids], pa.list_(pa.int32()))
-            counts = _with_nulls(texts, [len(one) for one in ids], pa.int32())
-            yield pa.StructArray.from_arrays([kept, counts], ["input_ids", "n_tokens"])
+            kept = _lists(texts, [one[:max_length] for one in ids])
+            yield pa.StructArray.from_arrays([kept, _counts(texts, ids)], ["input_ids", "n_tokens"])
 
     return encode.asNondeterministic()(text)
 
@@ -63,8 +72,7 @@ def token_count(text: Column, factory: Callable[[], EncodeBatch] | None = None)
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode_batch = built(factory)
         for texts in batches:
-            ids = encode_batch(texts.drop_null().to_pylist())
-            yield _with_nulls(texts, [len(one) for one in ids], pa.int32())
+            yield _counts(texts, encode_batch(texts.drop_null().to_pylist()))
 
     return count.asNondeterministic()(text)
 

@@ -31,11 +31,14 @@ NORMAL_LINE = "- {label} si le contrat est normal (sans vulnérabilité)"
 
 @dataclass(frozen=True)
 class Wording:
-    """Text before and after the code; ``{labels}`` stands for the class lines."""
+    """Text before and after the code; ``{labels}`` stands for one line per class."""
 
     before: str
     after: str
     max_code_chars: int | None = None
+    fault_line: str = FAULT_LINE
+    normal_line: str = NORMAL_LINE
+    normal_label: int | None = NORMAL_LABEL
 
 
 # The prompt used for training and classification.
@@ -67,13 +70,16 @@ Réponse:""",
     max_code_chars=1000,
 )
 
-# The system part of the chat form, and the frame of its user part.
-SYSTEM = """Tu es un expert en sécurité des smart contracts Solidity. Ta tâche est d'analyser du code Solidity et d'identifier les vulnérabilités.
+# The chat form, whose system part ends before the user part's frame.
+SYSTEM = Wording(
+    before="""Tu es un expert en sécurité des smart contracts Solidity. Ta tâche est d'analyser du code Solidity et d'identifier les vulnérabilités.
 
 Pour chaque contrat, réponds UNIQUEMENT avec UN SEUL chiffre entre 0 et 8 :
 {labels}
 
-IMPORTANT : Réponds UNIQUEMENT avec le chiffre correspondant à la vulnérabilité détectée, rien d'autre."""
+IMPORTANT : Réponds UNIQUEMENT avec le chiffre correspondant à la vulnérabilité détectée, rien d'autre.""",
+    after="",
+)
 CHAT = Wording(
     before="""
 

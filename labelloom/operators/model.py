@@ -31,10 +31,11 @@ def _word_counts(text: str, num_features: int) -> PipelineModel:
 
 
 def _counted(
-    rows: DataFrame, counter: PipelineModel, label: str, partitions: int | None
+    rows: DataFrame, counter: PipelineModel, text: str, label: str, partitions: int | None
 ) -> DataFrame:
-    counts = counter.transform(rows).select(label, "_counts")
-    return stored(counts.repartition(partitions) if partitions else counts, "word-counts")
+    texts = rows.select(text, label)
+    spread = texts.repartition(partitions) if partitions else texts
+    return stored(counter.transform(spread).select(label, "_counts"), "word-counts")
 
 
 def _weighted_regression(label: str, max_iter: int = 50, reg_param: float = 0.01) -> Pipeline:
@@ -64,10 +65,10 @@ def fit_classifier(
     """Hashed word counts, weighted by rarity, and multinomial logistic regression.
 
     ``settings`` are ``max_iter`` and ``reg_param``. ``partitions`` spreads the
-    word counts evenly, for a table with fewer splits than there are cores.
+    texts evenly, for a table with fewer splits than there are cores.
     """
     counter = _word_counts(text, num_features)
-    counts = _counted(train, counter, label, partitions)
+    counts = _counted(train, counter, text, label, partitions)
     fitted = _weighted_regression(label, **settings).fit(counts)
     return PipelineModel(stages=[*counter.stages, *fitted.stages])
 
@@ -89,8 +90,8 @@ def select_model(
     """
     rows = stratified_split(train, validation_size, seed, label, key)
     counter = _word_counts(text, num_features)
-    fitting = _counted(part(rows, "train"), counter, label, partitions)
-    validation = _counted(part(rows, "test"), counter, label, partitions)
+    fitting = _counted(part(rows, "train"), counter, text, label, partitions)
+    validation = _counted(part(rows, "test"), counter, text, label, partitions)
     log_loss = MulticlassClassificationEvaluator(metricName="logLoss", labelCol=label)
     models = [_weighted_regression(label, **settings).fit(fitting) for settings in candidates]
     losses = [log_loss.evaluate(model.transform(validation)) for model in models]

@@ -66,7 +66,7 @@ lines AS (
   FROM names)"""
 
 _LONG_BEFORE = f"(SELECT replace({_text(LONG.before)}, '{{labels}}', body) FROM lines)"
-_SYSTEM = f"(SELECT replace({_text(SYSTEM)}, '{{labels}}', body) FROM lines)"
+_SYSTEM = f"(SELECT replace({_text(SYSTEM.before)}, '{{labels}}', body) FROM lines)"
 
 
 def _hash(key: str, seed: int) -> str:

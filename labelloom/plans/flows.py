@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, dataclass
 
@@ -120,7 +121,8 @@ def train_and_evaluate(
     """Prepare, train, classify the test part; returns its accuracy per class and overall.
 
     Leaves ``rows``, ``text``, ``model``, ``predictions`` and ``config`` in the
-    ``output`` folder. Each step reads what the one before it wrote.
+    ``output`` folder; the config holds the wording, which later classification
+    must share. Each step reads what the one before it wrote.
     """
     prepared = land(prepare(rows, key, settings, code, label, names), f"{output}/rows")
     export_split_text(prepared, f"{output}/text")
@@ -130,8 +132,8 @@ def train_and_evaluate(
         settings.per_device_train_batch_size,
         settings.gradient_accumulation_steps,
     )
-    plain = {name: value for name, value in asdict(settings).items() if name != "wording"}
-    write_config(with_config(steps.where("split = 'train'").drop("split"), plain), f"{output}/config")
+    config = asdict(settings) | {"wording": json.dumps(asdict(settings.wording), ensure_ascii=False)}
+    write_config(with_config(steps.where("split = 'train'").drop("split"), config), f"{output}/config")
     model = fit_classifier(part(prepared, "train"), code, label, **model_settings)
     save_model(model, f"{output}/model")
     test = part(prepared, "test")

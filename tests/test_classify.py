@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
+from labelloom.functions.wording import LONG, Wording
 from labelloom.operators import evaluate as ev
 from labelloom.operators.classify import CONTRACT_RULES, classify_table, classify_with_model
 from labelloom.operators.model import fit_classifier, load_model, save_model, select_model
@@ -144,6 +147,7 @@ def test_train_and_evaluate(spark, learnable, tmp_path):
     assert (overall.total, overall.percent_all) == (10, 100.0)
     config = spark.read.json(f"{output}/config").first()
     assert (config.n, config.steps, config.random_state, config.max_samples) == (120, 120 * 3 // 16, 42, None)
+    assert Wording(**json.loads(config.wording)) == LONG
     assert read_contracts(spark, f"{output}/predictions-csv").count() == 10
     assert spark.read.parquet(f"{output}/text").columns == ["text", "split"]
     assert classify_with_model(learnable, load_model(f"{output}/model")).count() == 150

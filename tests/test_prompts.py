@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelloom.functions import prompts as pr
-from labelloom.functions.wording import LONG, SHORT, Wording
+from labelloom.functions.wording import LONG, SHORT, SYSTEM, Wording
 from tests.conftest import plan
 
 CODE = 'contract A {\n  string s = "{x}";\n}'
@@ -25,8 +25,7 @@ def test_training_prompt_is_the_inference_prompt_with_the_answer(spark):
     asked = rendered(spark, pr.prompt(F.col("code")))
     trained = rendered(spark, pr.prompt(F.col("code"), F.col("label")))
     assert trained == asked + " 5"
-    before = LONG.before.replace("{labels}", pr.label_lines())
-    assert asked == before + CODE + LONG.after
+    assert asked == LONG.before.replace("{labels}", pr.label_lines()) + CODE + LONG.after
 
 
 def test_short_prompt_counts_code_points(spark):
@@ -36,9 +35,11 @@ def test_short_prompt_counts_code_points(spark):
 
 
 def test_own_wording_and_names(spark):
-    wording = Wording(before="Pick:\n{labels}\n", after="\n=>")
-    text = rendered(spark, pr.prompt(F.col("code"), wording=wording, names={0: "zero", 8: "fine"}))
-    assert text.startswith("Pick:\n- 0 ") and '"zero"' in text and text.endswith("\n=>")
+    wording = Wording(
+        before="Pick:\n{labels}\n\n", after="\n=>", fault_line="{label}: {name}", normal_line="{label}: none", normal_label=0
+    )
+    text = rendered(spark, pr.prompt(F.col("code"), wording=wording, names={0: "fine", 8: "broken"}))
+    assert text == "Pick:\n0: none\n8: broken\n\n" + CODE + "\n=>"
 
 
 def test_a_bounded_prompt_keeps_its_cue(spark):
@@ -61,9 +62,9 @@ def test_null_code_gives_no_prompt(spark):
 
 def test_chat(spark):
     text = rendered(spark, pr.chat_prompt(F.col("code")))
-    assert text.startswith(pr.system_message()) and CODE in text
+    assert text.startswith(pr.opening(wording=SYSTEM)) and CODE in text
     turns = rendered(spark, pr.chat_messages(F.col("code"), F.col("label")))
-    assert [(t.role, t.content) for t in turns] == [("system", pr.system_message()), ("user", CODE), ("assistant", "5")]
+    assert [(t.role, t.content) for t in turns] == [("system", pr.opening(wording=SYSTEM)), ("user", CODE), ("assistant", "5")]
 
 
 def test_prompts_stay_in_the_jvm(spark):
