@@ -211,6 +211,11 @@ SELECT * FROM documents
 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY {_hash('doc_id', 42)}, doc_id) <= 800 // 4
   OR count(*) OVER () <= 800""",
     "stratified_split": f"WITH {_SPLIT} SELECT doc_id, label_encoded, split FROM parted",
+    "stratified_split_languages": f"""WITH classed AS (
+  SELECT doc_id, CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 WHEN 'fr' THEN 3 END AS label_encoded
+  FROM documents),
+{_split('classed', 'label_encoded', 'doc_id', '0.2', 42, 'parted')}
+SELECT doc_id, label_encoded, split FROM parted""",
     "stratified_split_orders": f"""WITH {_split('orders', 'o_orderpriority', 'o_orderkey', '0.1', 7, 'parted')}
 SELECT o_orderkey, o_orderpriority, split FROM parted""",
     "prompt_train": f"""WITH {_CLEANED}, {_LINES}
@@ -227,6 +232,9 @@ SELECT doc_id, concat({_SYSTEM}, {_text(CHAT.before)}, code, {_text(CHAT.after)}
   concat('system: ', {_SYSTEM}, chr(10), 'user: ', code, chr(10), 'assistant: ',
     CAST(label_encoded AS VARCHAR)) AS messages
 FROM cleaned""",
+    "prompt_chat_turns": f"""WITH {_LINES}
+SELECT conv_id, turn, concat({_SYSTEM}, {_text(CHAT.before)}, text, {_text(CHAT.after)}) AS text
+FROM conversations WHERE role = 'user'""",
     "generated_part": r"""
 SELECT q.conv_id, q.turn,
   regexp_replace(regexp_replace(a.text, '^\s+', ''), '\s+$', '') AS response

@@ -307,6 +307,10 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_contracts(spark, sf_dir).select("doc_id", "label_encoded", "split")
 
 
+def stratified_split_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _languages(spark, sf_dir).select("doc_id", "label_encoded", "split")
+
+
 def stratified_split_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     return sm.stratified_split(rows, 0.1, 7, "o_orderpriority", "o_orderkey")
@@ -342,6 +346,12 @@ def prompt_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def prompt_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn of the conversations as the user part of a chat prompt."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return turns.select("conv_id", "turn", pr.chat_prompt(F.col("text")).alias("text"))
+
+
 def generated_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user turn as prompt; prompt and following answer together as decoded text."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -574,11 +584,13 @@ QUERIES: dict[str, Query] = {
     "cap_per_class": cap_per_class,
     "cap_per_language": cap_per_language,
     "stratified_split": stratified_split,
+    "stratified_split_languages": stratified_split_languages,
     "stratified_split_orders": stratified_split_orders,
     "prompt_train": prompt_train,
     "prompt_infer": prompt_infer,
     "prompt_short": prompt_short,
     "prompt_chat": prompt_chat,
+    "prompt_chat_turns": prompt_chat_turns,
     "generated_part": generated_part,
     "first_label": first_label,
     "first_label_orders": first_label_orders,

@@ -11,6 +11,11 @@ With the state at each split's start known, the lines before the first record
 that starts in a split are sent to the split where their record started. So the
 lines are shuffled once, each group begins with a record, and no task holds more
 than one split and the end of its last record, however large the file is.
+
+The file is read twice, and lines are known by their place in a split, so both
+reads must see the same splits. Files large enough to fill all cores with splits
+of full size always do; should the layout of a smaller one change in between,
+with the number of cores, the query ends with an error.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ from labelloom.shared import stored
 from labelloom.sources.csv_format import CORRUPT, CSV_OPTIONS, FIELD, QUOTED, text_schema
 
 _SPLIT = ("_file", "_block")
+_MOVED = "the file or its splits changed between two reads; spark.sql.files.minPartitionNum fixes the splits"
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -84,7 +90,9 @@ def _splits(lines: DataFrame) -> DataFrame:
     there is none; ``_home`` is the split where that record started.
     """
     every = lines.groupBy(*_SPLIT).agg(
-        F.max("_pos").alias("_last"), F.bool_and(F.is_valid_utf8("_line")).alias("_valid")
+        F.min("_pos").alias("_first"),
+        F.max("_pos").alias("_last"),
+        F.bool_and(F.is_valid_utf8("_line")).alias("_valid"),
     )
     quotes = _with_state(lines.where(F.col("_line").contains('"')).drop("_line"), _SPLIT, "_pos")
     closes = F.when(_state(F.lit(1)) == 0, F.col("_pos"))
@@ -110,10 +118,11 @@ def _splits(lines: DataFrame) -> DataFrame:
     has_record = F.coalesce(F.col("_head_end") < F.col("_last"), F.lit(True))
     return heads.select(
         *_SPLIT,
+        "_first",
+        "_last",
         "_head_end",
         F.last(F.when(has_record, F.col("_block")), ignorenulls=True).over(earlier).alias("_home"),
         F.min("_valid").over(Window.partitionBy("_file")).alias("_utf8"),
-        F.lit(True).alias("_known"),
     )
 
 
@@ -122,9 +131,10 @@ def _records(lines: DataFrame, splits: DataFrame) -> DataFrame:
     # No hint: the split table is stored, so Spark compares its real size with
     # the broadcast threshold.
     placed = lines.join(splits, list(_SPLIT), "left")
+    is_known = F.coalesce(F.col("_pos").between(F.col("_first"), F.col("_last")), F.lit(False))
     is_head = F.coalesce(F.col("_pos") <= F.col("_head_end"), F.lit(False))
     start = (
-        F.when(F.col("_known").isNull(), F.raise_error(F.lit("the file changed between two reads")).cast("bigint"))
+        F.when(~is_known, F.raise_error(F.lit(_MOVED)).cast("bigint"))
         .when(is_head, F.col("_home"))
         .otherwise(F.col("_block"))
     )

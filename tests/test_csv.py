@@ -109,6 +109,18 @@ def test_a_cell_larger_than_many_splits(spark, write, small_splits):
     assert got == {"a": (text, "1"), "b": ("x", "2"), "c": (text, "3")}
 
 
+@pytest.mark.parametrize("before, after", [(64, 100), (100, 64), (64, 128), (128, 64)])
+def test_changed_splits_end_the_query(spark, write, small_splits, before, after):
+    path = write(HEADER + "".join(f'{i},"text,\n{i}",1\n' for i in range(50)))
+    small_splits(before)
+    rows = read_contracts(spark, path, split_above=0)
+    small_splits(after)
+    with pytest.raises(PySparkException, match="splits changed"):
+        rows.collect()
+    small_splits(before)
+    assert rows.count() == 50
+
+
 def test_one_shuffle_for_split_files(spark, write):
     from tests.conftest import plan
 
