@@ -4,10 +4,10 @@ Rows have no position, so every operator orders them by ``md5(seed:key), key``
 for a unique ``key`` column: same seed and keys, same rows, however the table is
 partitioned.
 
-No operator sorts the rows. A first pass stores only (group, key). A histogram
-over the leading hash digits, small whatever the table holds, shows in which
-bucket the n-th row of each group lies; only that bucket is ranked, and its n-th
-row is the group's cut. The last pass compares each row with its group's cut, a
+No operator sorts the rows. A first pass stores only group, key and the leading
+hash digits. A histogram over those, small whatever the table holds, shows in
+which bucket the n-th row of each group lies; only that bucket is ranked, and its
+n-th row is the group's cut. The last pass compares each row with its group's cut, a
 filter next to the scan. A group holding a third of all rows is spread over all
 buckets like any other.
 """
@@ -22,17 +22,19 @@ from pyspark.sql import functions as F
 
 from labelloom.shared import BROADCAST_BYTES, measured, stored, with_group_values
 
-# Four hex digits: 65,536 buckets, so 10 billion rows in one group leave about
-# 150,000 keys to rank for it.
-_BUCKET_DIGITS = 4
+# Three hex digits: 4,096 buckets. A task's share of the histogram stays small,
+# and 10 billion rows in one group leave some 2.4 million keys to rank for it.
+_BUCKET_DIGITS = 3
 
 
 def seeded_hash(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
-def _keys(df: DataFrame, group: Column, key: str) -> DataFrame:
-    return stored(df.select(group.alias("_group"), F.col(key).alias("_key")), "keys")
+def _keys(df: DataFrame, group: Column, key: str, seed: int) -> DataFrame:
+    bucket = F.substring(seeded_hash(F.col(key), seed), 1, _BUCKET_DIGITS)
+    keys = df.select(group.alias("_group"), F.col(key).alias("_key"), bucket.alias("_bucket"))
+    return stored(keys, "keys")
 
 
 def _group_counts(keys: DataFrame) -> DataFrame:
@@ -51,12 +53,9 @@ def _cuts(
     Groups of which no row is taken are left out. ``measure`` is that of the
     stored table of groups.
     """
-    hashed = keys.withColumn("_hash", seeded_hash(F.col("_key"), seed)).withColumn(
-        "_bucket", F.substring("_hash", 1, _BUCKET_DIGITS)
-    )
     up_to = Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     histogram = (
-        hashed.groupBy("_group", "_bucket")
+        keys.groupBy("_group", "_bucket")
         .agg(F.count("*").alias("_n"))
         .withColumn("_up_to", F.sum("_n").over(up_to))
     )
@@ -71,8 +70,10 @@ def _cuts(
             (F.col("_take") - before).alias("_need"),
         )
     )
-    in_bucket = with_group_values(hashed, "_group", boundary, measure, broadcast_bytes).where(
-        F.col("_bucket") == F.col("_cut_bucket")
+    in_bucket = (
+        with_group_values(keys, "_group", boundary, measure, broadcast_bytes)
+        .where(F.col("_bucket") == F.col("_cut_bucket"))
+        .withColumn("_hash", seeded_hash(F.col("_key"), seed))
     )
     rank = F.row_number().over(Window.partitionBy("_group").orderBy("_hash", "_key"))
     cuts = (
@@ -110,7 +111,7 @@ def sample_exact(df: DataFrame, n: int | None, seed: int, key: str) -> DataFrame
     """Exactly ``n`` rows, uniform, without replacement; all rows if ``n`` is none, 0 or too large."""
     if not n:
         return df
-    keys = _keys(df, F.lit(0), key)
+    keys = _keys(df, F.lit(0), key, seed)
     takes = _group_counts(keys).withColumn("_take", F.least("_rows", F.lit(n).cast("bigint")))
     one_group = (0, 0)
     cuts = _cuts(keys, takes, seed, one_group)
@@ -131,7 +132,7 @@ def cap_per_class(
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """At most ``total // classes`` rows of each class, and only if there are more than ``total`` rows."""
-    keys = _keys(df, F.col(label), key)
+    keys = _keys(df, F.col(label), key, seed)
     counts = stored(_group_counts(keys), "class-counts")
     size, rows = measured(counts)
     if rows <= total:
@@ -189,7 +190,7 @@ def stratified_split(
     a whole number. Raises if a class has fewer than 2 rows or a part has fewer
     rows than there are classes.
     """
-    keys = _keys(df, F.col(label), key)
+    keys = _keys(df, F.col(label), key, seed)
     counts = stored(_group_counts(keys), "class-counts")
     size, n = measured(counts)
     n_test = test_size if isinstance(test_size, int) else math.ceil(test_size * n)
