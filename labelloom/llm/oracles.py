@@ -23,6 +23,14 @@ SELECT page_id, host, path, name AS rule, coalesce(rule_verdict, 'allow') AS ver
 FROM parts LEFT JOIN fitting USING (page_id)
 """
 
+_EXACT_DEDUP = """
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+    doc_id = max(doc_id) OVER same AS kept, sha256(text) AS text_sha256
+FROM texts WINDOW same AS (PARTITION BY text)
+"""
+
 ORACLES: dict[str, str] = {
     "op3_url_filter": _URL_FILTER,
+    "op5_exact_dedup": _EXACT_DEDUP,
 }

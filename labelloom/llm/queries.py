@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import table
+from labelloom.llm.exact_dedup import exact_groups
+from labelloom.llm.simhash import near_duplicates
 from labelloom.llm.token_blocks import read_token_files, write_token_files
 from labelloom.llm.token_counts import fit_budget, token_prefixes
 from labelloom.llm.url_filter import Rule, filter_urls
@@ -33,6 +35,14 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(table(spark, sf_dir, "documents"))
+
+
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     prefixes = token_prefixes(table(spark, sf_dir, "documents"), WORD_TOKENS)
     return fit_budget(prefixes, TOKEN_LIMIT).select(
@@ -48,5 +58,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_blocks": op2_token_blocks,
     "op3_url_filter": op3_url_filter,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op7_simhash_dedup": op7_simhash_dedup,
     "op10_token_counts": op10_token_counts,
 }
