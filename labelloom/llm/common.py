@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from labelloom.shared import new_path, stored
 
@@ -131,7 +132,7 @@ def running_totals(
     group and task says what lay before it. Rows equal in group and order follow
     each other in no defined order. ``value`` must not be NULL.
     """
-    schema = df.schema.add("_before", "bigint").add("_at", "int")
+    schema = StructType([*df.schema.fields, StructField("_before", LongType()), StructField("_at", IntegerType())])
     keys = [F.col(group), *[F.col(c) for c in order]]
     ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     placed = ranged.withColumn("_at", F.spark_partition_id())

@@ -30,7 +30,42 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM texts WINDOW same AS (PARTITION BY text)
 """
 
+_SOURCE_MIX = r"""
+WITH texts AS (
+    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+        md5('42:' || coalesce(doc_id::VARCHAR, '')) AS drawn
+    FROM documents
+), sources AS (
+    SELECT source, sum(size)::BIGINT AS source_size,
+        [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::BIGINT AS weight
+    FROM texts GROUP BY source
+), limited AS (
+    SELECT source, source_size, weight, 3 * source_size AS most,
+        row_number() OVER (ORDER BY 3 * source_size / weight, source NULLS LAST) AS place
+    FROM sources
+), units AS (
+    SELECT place, weight, most,
+        (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+        / (sum(weight) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS unit
+    FROM limited
+), targets AS (
+    SELECT source, source_size, least(most::DOUBLE,
+        weight * (SELECT arg_min(unit, place) FROM units WHERE weight * unit <= most)) AS target
+    FROM limited
+), placed AS (
+    SELECT doc_id, size, texts.source AS source, source_size, target,
+        sum(size) OVER (PARTITION BY texts.source ORDER BY drawn, doc_id ROWS UNBOUNDED PRECEDING) - size AS start
+    FROM texts JOIN targets ON texts.source IS NOT DISTINCT FROM targets.source
+)
+SELECT doc_id, size, source, source_size, target,
+    (greatest(0, least(size, floor(target)::BIGINT - start))
+    + greatest(0, least(size, floor(target)::BIGINT - source_size - start))
+    + greatest(0, least(size, floor(target)::BIGINT - 2 * source_size - start)))::BIGINT AS taken
+FROM placed
+"""
+
 ORACLES: dict[str, str] = {
     "op3_url_filter": _URL_FILTER,
+    "op9_source_mix": _SOURCE_MIX,
     "op5_exact_dedup": _EXACT_DEDUP,
 }

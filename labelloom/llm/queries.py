@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from labelloom.llm.common import table
 from labelloom.llm.exact_dedup import exact_groups
+from labelloom.llm.mixing import mix_plan
+from labelloom.llm.packing import pack
 from labelloom.llm.simhash import near_duplicates
 from labelloom.llm.token_blocks import read_token_files, write_token_files
 from labelloom.llm.token_counts import fit_budget, token_prefixes
@@ -39,10 +41,18 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_plan(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     prefixes = token_prefixes(table(spark, sf_dir, "documents"), WORD_TOKENS)
     return fit_budget(prefixes, TOKEN_LIMIT).select(
@@ -59,6 +69,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_blocks": op2_token_blocks,
     "op3_url_filter": op3_url_filter,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_packing": op6_packing,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op9_source_mix": op9_source_mix,
     "op10_token_counts": op10_token_counts,
 }
