@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from labelloom.llm.common import table
 from labelloom.llm.exact_dedup import exact_groups
+from labelloom.llm.language import identify_languages
 from labelloom.llm.mixing import mix_plan
 from labelloom.llm.packing import pack
 from labelloom.llm.simhash import near_duplicates
 from labelloom.llm.token_blocks import read_token_files, write_token_files
 from labelloom.llm.token_counts import fit_budget, token_prefixes
+from labelloom.llm.topk import top_k
+from labelloom.llm.toxicity import score_toxicity
 from labelloom.llm.url_filter import Rule, filter_urls
 
 BYTE_TOKENS = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,6 +31,10 @@ URL_RULES = (
 )
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_token_files(table(spark, sf_dir, "documents"), BYTE_TOKENS)
     return read_token_files(manifest)
@@ -37,6 +44,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -49,6 +60,10 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents"))
 
@@ -66,11 +81,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_token_blocks": op2_token_blocks,
     "op3_url_filter": op3_url_filter,
+    "op4_language_id": op4_language_id,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_packing": op6_packing,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op8_top_k": op8_top_k,
     "op9_source_mix": op9_source_mix,
     "op10_token_counts": op10_token_counts,
 }
