@@ -12,9 +12,9 @@ or reported insult counts for what the labels say it does.
 Harmful words are learned as whole words and as beginnings of 3 to 6 letters, so
 that endings never seen before are known. A feature's weight comes from the lower
 confidence bound of the share of toxic documents among those that have it. Copies
-of a document count as one: each is weighted by the size of its largest MinHash
-bucket. The weights of the kinds are fitted on documents that the lexicon was not
-learned from, in two folds.
+of a document count as one: each is weighted by the size of its largest bucket
+of MinHashes over five-word shingles. The weights of the kinds are fitted on
+documents that the lexicon was not learned from, in two folds.
 
 The fit uses a sample of at most ``sample`` labelled rows, the first in hash
 order; every row is scored.
@@ -257,11 +257,12 @@ def _read_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         found, hashes = [], []
         for text in batch.column(0).to_pylist():
-            words = {token for token in _TOKENS.findall(text.lower()) if token[0].isalpha()}
-            found.append(list({one for word in words for one in features(word)}))
-            prints = np.array([xxhash.xxh64_intdigest(word) for word in words], np.uint64)
+            words = [token for token in _TOKENS.findall(text.lower()) if token[0].isalpha()]
+            found.append(list({one for word in set(words) for one in features(word)}))
+            shingles = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+            prints = np.array([xxhash.xxh64_intdigest(one) for one in shingles], np.uint64)
             odd = (np.arange(_MINHASHES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-            least = [int((prints * one).min()) >> 1 if len(prints) else 0 for one in odd]
+            least = [int((prints * one).min()) >> 1 for one in odd]
             hashes.append([i << 60 ^ value for i, value in enumerate(least)])
         columns = [
             batch.column(1),
