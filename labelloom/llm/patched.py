@@ -36,20 +36,18 @@ def _widths(residuals: np.ndarray, percentile: float) -> np.ndarray:
 
 
 def _packed(values: np.ndarray, width: int) -> np.ndarray:
-    """Rows of values below 2**width as rows of bytes."""
-    if not width:
-        return np.zeros((len(values), 0), np.uint8)
-    bits = (values[:, :, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)
-    return np.packbits(bits.astype(np.uint8).reshape(len(values), -1), axis=1, bitorder="little")
+    """Rows of values below 2**width as rows of bytes, the highest bit of each value first."""
+    bits = np.unpackbits(values.astype(">u4").view(np.uint8), axis=1)
+    own = bits.reshape(*values.shape, 32)[:, :, 32 - width :]
+    return np.packbits(own.reshape(len(values), -1), axis=1)
 
 
 def _unpacked(data: np.ndarray, count: int, width: int) -> np.ndarray:
     """The inverse of ``_packed``."""
-    if not width:
-        return np.zeros((len(data), count), np.uint32)
-    bits = np.unpackbits(data, axis=1, count=count * width, bitorder="little")
-    powers = np.uint32(1) << np.arange(width, dtype=np.uint32)
-    return bits.reshape(len(data), count, width) @ powers
+    bits = np.zeros((len(data), count, 32), np.uint8)
+    own = np.unpackbits(data, axis=1, count=count * width)
+    bits[:, :, 32 - width :] = own.reshape(len(data), count, width)
+    return np.packbits(bits.reshape(len(data), -1), axis=1).view(">u4").astype(np.uint32)
 
 
 def encode_blocks(ids: np.ndarray, block: int, percentile: float) -> list[bytes]:

@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from uuid import uuid4
 
 import numpy as np
@@ -29,8 +30,21 @@ from labelloom.llm.patched import Reader, Writer
 from labelloom.shared import new_path, stored
 
 MANIFEST = "part int, path string, n_docs bigint, n_ids bigint, n_bytes bigint"
-_LOOSE_SPACE = re.compile(r" \s|\s ")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 _BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
+_JOINED = 2_000
+
+
+class _Numbers(dict):
+    """Numbers things as they are asked for; ``new`` holds those not asked for before."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self.new.append(key)
+        number = self[key] = len(self)
+        return number
 
 
 class CachedEncoder:
@@ -38,24 +52,32 @@ class CachedEncoder:
 
     A byte-level tokenizer never joins characters across a single space between
     two others: the space begins a new piece there. So a text is cut at such
-    spaces, and the tokenizer is asked once for each piece it has not seen. The
-    memory is emptied when it holds ``max_pieces``.
+    spaces, and the tokenizer is asked once for each piece it has not seen. It is
+    given many of them as one text; as the bytes of its tokens are those of the
+    text, their lengths tell where a piece ends. The memory is emptied when it
+    holds ``max_pieces``.
     """
 
-    def __init__(self, path: str, max_pieces: int = 600_000) -> None:
+    def __init__(self, path: str, max_pieces: int = 1_000_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # A symbol of the byte alphabet is one byte; special tokens are as they are.
+        special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        vocabulary = self.tokenizer.get_vocab()
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.lengths[i] = len(special[i].encode()) if i in special else len(token)
         self.max_pieces = max_pieces
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.offsets = np.zeros(1, np.int64)
+        self.known = _Numbers()
+        self.firsts = self.sizes = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
     def pieces(self, text: str) -> list[str]:
-        if _LOOSE_SPACE.search(text):
+        if "  " in text or " \n" in text or "\n " in text or _OTHER_SPACE.search(text):
             cut = _BETWEEN_WORDS.split(text)
         else:
             cut = text.split(" ")
@@ -66,18 +88,14 @@ class CachedEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids (u32) of each text."""
-        cut = [self.pieces(text) for text in texts]
-        new = {piece for pieces in cut for piece in pieces if piece not in self.known}
-        if len(self.known) + len(new) > self.max_pieces:
+        if len(self.known) > self.max_pieces:
             self._forget()
-            new = {piece for pieces in cut for piece in pieces}
-        if new:
-            # Sorted, so that the same texts are always asked for alike.
-            names = sorted(new)
-            self._learn(names, [one[1:] if one[:1] == " " else " " + one for one in names])
-        known = self.known.__getitem__
-        numbers = np.fromiter((known(piece) for pieces in cut for piece in pieces), np.int64)
-        firsts, sizes = self.offsets[numbers], self.offsets[numbers + 1] - self.offsets[numbers]
+        cut = [self.pieces(text) for text in texts]
+        numbers = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64)
+        if self.known.new:
+            self._learn(self.known.new)
+            self.known.new = []
+        firsts, sizes = self.firsts[numbers], self.sizes[numbers]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         places = np.repeat(firsts - (ends - sizes), sizes) + np.arange(total)
@@ -86,12 +104,32 @@ class CachedEncoder:
         stops = ends[bounds - 1] if len(bounds) else np.zeros(0, np.int64)
         return np.split(ids, stops[:-1])
 
-    def _learn(self, names: list[str], pieces: list[str]) -> None:
-        encoded = [one.ids for one in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        self.known.update(zip(names, range(len(self.known), len(self.known) + len(names))))
-        ends = np.cumsum([len(one) for one in encoded]) + self.offsets[-1]
-        self.offsets = np.concatenate([self.offsets, ends])
-        self.ids = np.concatenate([self.ids, np.array([i for one in encoded for i in one], np.uint32)])
+    def _learn(self, pieces: list[str]) -> None:
+        """Store the ids of new pieces, in their order."""
+        # A piece with white space at an end, or without a space before it, is asked for alone.
+        single = np.array([piece == "" or piece[0].isspace() or piece[-1].isspace() for piece in pieces])
+        alone, joined = np.flatnonzero(single), np.flatnonzero(~single)
+        texts = [piece[1:] if piece[:1] == " " else " " + piece for piece in pieces]
+        sizes = np.zeros(len(pieces), np.int64)
+        flat = self._asked([texts[i] for i in alone])
+        sizes[alone] = [len(one) for one in flat]
+        for at in range(0, len(joined), _JOINED):
+            group = joined[at : at + _JOINED]
+            some = [texts[i] for i in group]
+            flat += self._asked(["".join(some)])
+            ends = np.cumsum([len(one.encode()) for one in some])
+            stops = np.searchsorted(np.cumsum(self.lengths[flat[-1]]), ends, side="left") + 1
+            sizes[group] = np.diff(stops, prepend=0)
+        firsts = np.zeros(len(pieces), np.int64)
+        order = np.concatenate([alone, joined])
+        firsts[order] = len(self.ids) + np.cumsum(sizes[order]) - sizes[order]
+        self.firsts = np.concatenate([self.firsts, firsts])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, *flat])
+
+    def _asked(self, texts: list[str]) -> list[np.ndarray]:
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(one.ids, np.uint32) for one in encoded]
 
 
 def _qualified(spark: SparkSession, folder: str) -> str:
