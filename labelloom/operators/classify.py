@@ -8,8 +8,9 @@ matched up by position.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.ml import Model
@@ -28,13 +29,36 @@ Scorer = Callable[[Sequence[str]], Sequence[str]]
 class KeywordScorer:
     """Factory of a rule scorer: the answer of the first rule whose word the code holds.
 
-    ``rules`` is a tuple of (word, label). The code is what stands between the
-    prompt's ``before`` and ``after``. Without a match the answer has no digit.
+    ``rules`` is a tuple of (word, label); with ``whole_words``, a letter or digit
+    at a word's end must end there in the code too. The code is what stands
+    between the prompt's ``before`` and ``after``, those of the wording that
+    ``classify_table`` asks with. Without a match the answer has no digit.
     """
 
     rules: tuple[tuple[str, int], ...]
     before: str = LONG.before.rsplit("{labels}")[-1]
     after: str = LONG.after
+    whole_words: bool = False
+
+    def with_wording(self, wording: Wording) -> KeywordScorer:
+        return replace(self, before=wording.before.rsplit("{labels}")[-1], after=wording.after)
+
+    def pattern(self, word: str) -> str:
+        """A regular expression that Python and Spark read alike."""
+        quoted = re.sub(r"([^\w\s])", r"\\\1", word)
+        if not self.whole_words:
+            return quoted
+        start = r"(?<![A-Za-z0-9_])" if re.match(r"[A-Za-z0-9_]", word) else ""
+        end = r"(?![A-Za-z0-9_])" if re.search(r"[A-Za-z0-9_]$", word) else ""
+        return start + quoted + end
+
+    def label(self, code: Column) -> Column:
+        """The same answer as an expression of Spark's own: the label, -1 without a match or code."""
+        found = F.when(code.isNull(), F.lit(-1))
+        for word, label in self.rules:
+            matches = code.rlike(self.pattern(word)) if self.whole_words else F.contains(code, F.lit(word))
+            found = found.when(matches, F.lit(label))
+        return found.otherwise(F.lit(-1)).cast("int")
 
     def __call__(self) -> Scorer:
         return self.answers
@@ -45,7 +69,7 @@ class KeywordScorer:
     def answer(self, text: str) -> str:
         code = text.partition(self.before)[2].rpartition(self.after)[0]
         for word, label in self.rules:
-            if word in code:
+            if re.search(self.pattern(word), code) if self.whole_words else word in code:
                 return f" {label}"
         return ""
 
@@ -64,7 +88,8 @@ CONTRACT_RULES = KeywordScorer(
         ("payable", 2),
         ("+=", 4),
         ("contract", 8),
-    )
+    ),
+    whole_words=True,
 )
 
 
@@ -101,6 +126,8 @@ def classify_table(
     Set ``echoes_prompt`` for scorers whose response starts with the prompt, and
     ``max_length`` for those that take no longer prompts: the code is cut then.
     """
+    if isinstance(scorer, KeywordScorer):
+        scorer = scorer.with_wording(wording)
     asked = prompt(F.col(code), wording=wording, max_length=max_length)
     answer = responses(asked, scorer)
     if echoes_prompt:
@@ -108,8 +135,24 @@ def classify_table(
     return df.withColumn(output, tx.first_label(answer))
 
 
+def classify_by_rules(
+    df: DataFrame, scorer: KeywordScorer, code: str = "code", output: str = "llm_prediction"
+) -> DataFrame:
+    """``df`` plus the prediction of a rule scorer, as an expression; no prompt and no Python."""
+    return df.withColumn(output, scorer.label(F.col(code)))
+
+
 def classify_with_model(
-    df: DataFrame, model: Model, output: str = "prediction"
+    df: DataFrame, model: Model, output: str = "prediction", code: str = "code"
 ) -> DataFrame:
-    """``df`` plus the INT prediction of a fitted Spark ML model."""
-    return model.transform(df).select(*df.columns, F.col("prediction").cast("int").alias(output))
+    """``df`` plus the INT prediction of a fitted Spark ML model, -1 where the code is NULL.
+
+    ``code`` is the column that the model was fitted on.
+    """
+    filled = df.withColumn("_code", F.col(code)).withColumn(code, F.coalesce(F.col(code), F.lit("")))
+    predicted = F.when(F.col("_code").isNull(), F.lit(-1)).otherwise(F.col("prediction").cast("int"))
+    # A column of the table may itself be called as one of the model's.
+    kept = [F.col("_code") if name == code else F.col(f"_kept.`{name}`") for name in df.columns]
+    whole = F.struct(*[F.col(f"`{name}`") for name in df.columns]).alias("_kept")
+    scored = model.transform(filled.select(code, "_code", whole))
+    return scored.select(*[c.alias(n) for c, n in zip(kept, df.columns)], predicted.alias(output))

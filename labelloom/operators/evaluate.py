@@ -62,9 +62,14 @@ def accuracy_by_class(
 
 
 def evaluate(
-    df: DataFrame, label: str = "label_encoded", prediction: str = "prediction"
+    df: DataFrame,
+    label: str = "label_encoded",
+    prediction: str = "prediction",
+    names: Mapping[int, str] = LABEL_NAMES,
+    default: str = UNKNOWN_NAME,
 ) -> DataFrame:
-    """Per class and overall (label NULL), with and without unanswered rows, in one pass."""
+    """Per class and overall (label and name NULL), with and without unanswered rows, in one pass."""
+    name = F.when(F.col("label").isNotNull(), label_name(F.col("label"), names, default))
     answers = df.select(
         F.col(label).alias("label"),
         F.col(prediction).alias("prediction"),
@@ -81,6 +86,7 @@ def evaluate(
         .where("overall = 1 OR label IS NOT NULL")
         .select(
             "label",
+            name.alias("name"),
             "total",
             "answered",
             "correct",

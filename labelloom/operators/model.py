@@ -8,7 +8,9 @@ size, whatever the data's.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -19,6 +21,8 @@ from labelloom.operators.sampling import part, stratified_split
 from labelloom.shared import stored
 
 NUM_FEATURES = 1 << 16
+PARALLEL = 4
+MODEL_SETTINGS = {"max_iter": 50, "reg_param": 0.01}
 
 
 def _word_counts(text: str, num_features: int) -> PipelineModel:
@@ -38,15 +42,16 @@ def _counted(
     return stored(counter.transform(spread).select(label, "_counts"), "word-counts")
 
 
-def _weighted_regression(label: str, max_iter: int = 50, reg_param: float = 0.01) -> Pipeline:
+def _weighted_regression(label: str, **settings: object) -> Pipeline:
+    chosen = MODEL_SETTINGS | settings
     return Pipeline(
         stages=[
             IDF(inputCol="_counts", outputCol="_features"),
             LogisticRegression(
                 featuresCol="_features",
                 labelCol=label,
-                maxIter=max_iter,
-                regParam=reg_param,
+                maxIter=chosen["max_iter"],
+                regParam=chosen["reg_param"],
                 family="multinomial",
                 aggregationDepth=3,
             ),
@@ -86,17 +91,25 @@ def select_model(
 ) -> tuple[PipelineModel, list[float]]:
     """The candidate settings with the least log-loss on rows cut from ``train``, and all losses.
 
-    The test part is never seen, so its accuracy stays an honest figure.
+    The model returned is fitted with them on all of ``train``; candidates are
+    fitted at the same time, ``PARALLEL`` at most. The test part is never seen,
+    so its accuracy stays an honest figure.
     """
-    rows = stratified_split(train, validation_size, seed, label, key)
+    rows = stratified_split(train, validation_size, seed, label, key, step="validation")
     counter = _word_counts(text, num_features)
     fitting = _counted(part(rows, "train"), counter, text, label, partitions)
     validation = _counted(part(rows, "test"), counter, text, label, partitions)
     log_loss = MulticlassClassificationEvaluator(metricName="logLoss", labelCol=label)
-    models = [_weighted_regression(label, **settings).fit(fitting) for settings in candidates]
-    losses = [log_loss.evaluate(model.transform(validation)) for model in models]
-    best = models[losses.index(min(losses))]
-    return PipelineModel(stages=[*counter.stages, *best.stages]), losses
+
+    def loss(settings: Mapping[str, object]) -> float:
+        model = _weighted_regression(label, **settings).fit(fitting)
+        return log_loss.evaluate(model.transform(validation))
+
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        losses = list(pool.map(inheritable_thread_target(train.sparkSession)(loss), candidates))
+    best = candidates[losses.index(min(losses))]
+    fitted = _weighted_regression(label, **best).fit(fitting.unionByName(validation))
+    return PipelineModel(stages=[*counter.stages, *fitted.stages]), losses
 
 
 def save_model(model: PipelineModel, path: str) -> None:

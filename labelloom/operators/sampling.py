@@ -1,8 +1,10 @@
 """Exact seeded samples, per-class caps and stratified splits.
 
-Rows have no position, so every operator orders them by ``md5(seed:key), key``
+Rows have no position, so every operator orders them by ``md5(seed:step:key), key``
 for a unique ``key`` column: same seed and keys, same rows, however the table is
-partitioned.
+partitioned. Each kind of step has a hash of its own, so that a sample of a part
+is a sample of it and not its rows next to the cut. A key that the cut would have
+to tell from its own repetition ends the query.
 
 No operator sorts the rows. A first pass stores only group, key and the leading
 hash digits. A histogram over those, small whatever the table holds, shows in
@@ -20,19 +22,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelloom.shared import BROADCAST_BYTES, measured, stored, with_group_values
+from labelloom.shared import BROADCAST_BYTES, measured, ranked, stored, with_group_values
 
-# Three hex digits: 4,096 buckets. A task's share of the histogram stays small,
-# and 10 billion rows in one group leave some 2.4 million keys to rank for it.
-_BUCKET_DIGITS = 3
+_STORED_DIGITS = 8
+# Hex digits of the histogram follow from the rows, so that a bucket of a group
+# that is nearly all of them has some 100,000 keys to rank, whatever their number.
+_LEAST_DIGITS = 3
+_BUCKET_KEYS = 100_000
 
 
-def seeded_hash(key: Column, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+def seeded_hash(key: Column, seed: int, step: str) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:{step}:"), key.cast("string")))
 
 
-def _keys(df: DataFrame, group: Column, key: str, seed: int) -> DataFrame:
-    bucket = F.substring(seeded_hash(F.col(key), seed), 1, _BUCKET_DIGITS)
+def bucket_digits(rows: int) -> int:
+    needed = math.ceil(math.log(max(rows / _BUCKET_KEYS, 1), 16))
+    return min(_STORED_DIGITS, max(_LEAST_DIGITS, needed))
+
+
+def _keys(df: DataFrame, group: Column, key: str, seed: int, step: str) -> DataFrame:
+    bucket = F.substring(seeded_hash(F.col(key), seed, step), 1, _STORED_DIGITS)
     keys = df.select(group.alias("_group"), F.col(key).alias("_key"), bucket.alias("_bucket"))
     return stored(keys, "keys")
 
@@ -45,6 +54,7 @@ def _cuts(
     keys: DataFrame,
     takes: DataFrame,
     seed: int,
+    step: str,
     measure: tuple[int, int],
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
@@ -53,6 +63,7 @@ def _cuts(
     Groups of which no row is taken are left out. ``measure`` is that of the
     stored table of groups.
     """
+    keys = keys.withColumn("_bucket", F.substring("_bucket", 1, bucket_digits(keys.count())))
     up_to = Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     histogram = (
         keys.groupBy("_group", "_bucket")
@@ -73,28 +84,31 @@ def _cuts(
     in_bucket = (
         with_group_values(keys, "_group", boundary, measure, broadcast_bytes)
         .where(F.col("_bucket") == F.col("_cut_bucket"))
-        .withColumn("_hash", seeded_hash(F.col("_key"), seed))
+        .withColumn("_hash", seeded_hash(F.col("_key"), seed, step))
     )
-    rank = F.row_number().over(Window.partitionBy("_group").orderBy("_hash", "_key"))
+    by_hash = Window.partitionBy("_group").orderBy("_hash", "_key")
+    repeated = F.col("_next") == F.col("_key")
+    message = F.concat(F.lit("the key is not unique: "), F.col("_key").cast("string"))
+    cut_key = F.when(repeated, F.raise_error(message).cast(keys.schema["_key"].dataType))
     cuts = (
-        in_bucket.withColumn("_rank", rank)
+        in_bucket.withColumns({"_rank": F.row_number().over(by_hash), "_next": F.lead("_key").over(by_hash)})
         .where(F.col("_rank") == F.col("_need"))
         .select(
             "_group",
             "_rows",
             F.col("_hash").alias("_cut_hash"),
-            F.col("_key").alias("_cut_key"),
+            cut_key.otherwise(F.col("_key")).alias("_cut_key"),
         )
     )
     return stored(cuts, "cuts")
 
 
 def _with_taken(
-    df: DataFrame, group: str, key: str, seed: int, cuts: DataFrame, broadcast_bytes: int
+    df: DataFrame, group: str, key: str, seed: int, step: str, cuts: DataFrame, broadcast_bytes: int
 ) -> DataFrame:
     """``df`` plus BOOLEAN ``_taken``: the row comes no later than its group's cut."""
     joined = with_group_values(df, group, cuts, broadcast_bytes=broadcast_bytes)
-    own = seeded_hash(F.col(key), seed)
+    own = seeded_hash(F.col(key), seed, step)
     taken = (own < F.col("_cut_hash")) | (
         (own == F.col("_cut_hash")) & (F.col(key) <= F.col("_cut_key"))
     )
@@ -102,22 +116,27 @@ def _with_taken(
 
 
 def preview(df: DataFrame, key: str, n: int = 5) -> DataFrame:
-    """The first ``n`` rows by key. Only keys are sorted, whole rows never move."""
+    """The first ``n`` rows by key. Keys are sorted first, then the few rows up to the last of them."""
     last = df.select(key).orderBy(key).limit(n).agg(F.max(key).alias("last"))
-    return df.where(F.col(key) <= last.scalar())
+    return df.where(F.col(key) <= last.scalar()).orderBy(key).limit(n)
+
 
+def sample_exact(
+    df: DataFrame, n: int | None, seed: int, key: str, step: str = "sample"
+) -> DataFrame:
+    """Exactly ``n`` rows, uniform, without replacement; all rows if ``n`` is none, 0 or too large.
 
-def sample_exact(df: DataFrame, n: int | None, seed: int, key: str) -> DataFrame:
-    """Exactly ``n`` rows, uniform, without replacement; all rows if ``n`` is none, 0 or too large."""
+    The input is computed twice, so it must give the same rows each time.
+    """
     if not n:
         return df
-    keys = _keys(df, F.lit(0), key, seed)
+    keys = _keys(df, F.lit(0), key, seed, step)
     takes = _group_counts(keys).withColumn("_take", F.least("_rows", F.lit(n).cast("bigint")))
     one_group = (0, 0)
-    cuts = _cuts(keys, takes, seed, one_group)
+    cuts = _cuts(keys, takes, seed, step, one_group)
     cut = cuts.select(F.struct("_cut_hash", "_cut_key")).scalar()
     own = F.struct(
-        seeded_hash(F.col(key), seed).alias("_cut_hash"), F.col(key).alias("_cut_key")
+        seeded_hash(F.col(key), seed, step).alias("_cut_hash"), F.col(key).alias("_cut_key")
     )
     return df.where(own <= cut)
 
@@ -132,7 +151,7 @@ def cap_per_class(
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """At most ``total // classes`` rows of each class, and only if there are more than ``total`` rows."""
-    keys = _keys(df, F.col(label), key, seed)
+    keys = _keys(df, F.col(label), key, seed, "cap")
     counts = stored(_group_counts(keys), "class-counts")
     size, rows = measured(counts)
     if rows <= total:
@@ -140,8 +159,8 @@ def cap_per_class(
     if total < classes:
         return df.where(F.lit(False))
     takes = counts.withColumn("_take", F.least("_rows", F.lit(total // classes).cast("bigint")))
-    cuts = _cuts(keys, takes, seed, (size, rows), broadcast_bytes)
-    return _with_taken(df, label, key, seed, cuts, broadcast_bytes).where("_taken").drop("_taken")
+    cuts = _cuts(keys, takes, seed, "cap", (size, rows), broadcast_bytes)
+    return _with_taken(df, label, key, seed, "cap", cuts, broadcast_bytes).where("_taken").drop("_taken")
 
 
 def train_quotas(counts: DataFrame, n_train: int, n: int) -> DataFrame:
@@ -157,13 +176,11 @@ def train_quotas(counts: DataFrame, n_train: int, n: int) -> DataFrame:
         F.expr(f"_share div {n}").alias("_floor"),
         (F.col("_share") % F.lit(n).cast("decimal(19,0)")).alias("_rest"),
     )
-    by_rest = Window.orderBy(F.desc("_rest"), F.asc("_group"))
-    everything = Window.orderBy(F.lit(0)).rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
-    )
-    missing = F.lit(n_train) - F.sum("_floor").over(everything)
-    extra = (F.row_number().over(by_rest) <= missing).cast("bigint")
-    return whole.select("_group", "_rows", (F.col("_floor") + extra).alias("_take"))
+    whole = stored(whole, "shares")
+    missing = n_train - (whole.agg(F.sum("_floor")).first()[0] or 0)
+    placed = ranked(whole, [F.desc("_rest"), F.asc("_group")], "_place")
+    extra = (F.col("_place") <= F.lit(int(missing))).cast("bigint")
+    return placed.select("_group", "_rows", (F.col("_floor") + extra).alias("_take"))
 
 
 def _check_classes(counts: DataFrame, n: int, n_train: int, label: str) -> None:
@@ -183,28 +200,31 @@ def stratified_split(
     label: str,
     key: str,
     broadcast_bytes: int = BROADCAST_BYTES,
+    step: str = "split",
 ) -> DataFrame:
     """``df`` plus ``split`` ('train' or 'test'), with exact sizes and class shares kept.
 
     The test part has ceil(test_size * rows) rows, or ``test_size`` rows if it is
     a whole number. Raises if a class has fewer than 2 rows or a part has fewer
-    rows than there are classes.
+    rows than there are classes. The input is computed twice, so it must give the
+    same rows each time.
     """
-    keys = _keys(df, F.col(label), key, seed)
+    keys = _keys(df, F.col(label), key, seed, step)
     counts = stored(_group_counts(keys), "class-counts")
     size, n = measured(counts)
     n_test = test_size if isinstance(test_size, int) else math.ceil(test_size * n)
     n_train = n - n_test
     _check_classes(counts, n, n_train, label)
-    cuts = _cuts(keys, train_quotas(counts, n_train, n), seed, (size, n), broadcast_bytes)
+    takes = stored(train_quotas(counts, n_train, n), "quotas")
+    cuts = _cuts(keys, takes, seed, step, (size, n), broadcast_bytes)
     split = F.when(F.col("_taken"), F.lit("train")).otherwise(F.lit("test"))
-    marked = _with_taken(df, label, key, seed, cuts, broadcast_bytes)
+    marked = _with_taken(df, label, key, seed, step, cuts, broadcast_bytes)
     return marked.select(*df.columns, split.alias("split"))
 
 
 def eval_subset(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     """``min(n, rows)`` rows of a test part; the seed is required, so a run can be repeated."""
-    return sample_exact(df, n, seed, key)
+    return sample_exact(df, n, seed, key, "eval")
 
 
 def part(df: DataFrame, split: str, columns: Sequence[str] = ()) -> DataFrame:

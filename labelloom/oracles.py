@@ -69,8 +69,8 @@ _LONG_BEFORE = f"(SELECT replace({_text(LONG.before)}, '{{labels}}', body) FROM
 _SYSTEM = f"(SELECT replace({_text(SYSTEM.before)}, '{{labels}}', body) FROM lines)"
 
 
-def _hash(key: str, seed: int) -> str:
-    return f"md5(concat('{seed}:', CAST({key} AS VARCHAR)))"
+def _hash(key: str, seed: int, step: str) -> str:
+    return f"md5(concat('{seed}:{step}:', CAST({key} AS VARCHAR)))"
 
 
 def _split(source: str, label: str, key: str, test_size: str, seed: int, name: str) -> str:
@@ -88,7 +88,7 @@ def _split(source: str, label: str, key: str, test_size: str, seed: int, name: s
     <= n_train - sum(whole) OVER () THEN 1 ELSE 0 END AS quota
   FROM {name}_shares),
 {name} AS (
-  SELECT s.*, CASE WHEN row_number() OVER (PARTITION BY s.{label} ORDER BY {_hash('s.' + key, seed)}, s.{key})
+  SELECT s.*, CASE WHEN row_number() OVER (PARTITION BY s.{label} ORDER BY {_hash('s.' + key, seed, 'split')}, s.{key})
     <= q.quota THEN 'train' ELSE 'test' END AS split
   FROM {source} s JOIN {name}_quotas q ON s.{label} = q.c)"""
 
@@ -198,17 +198,22 @@ FROM judged""",
     "training_steps": f"""WITH {_SPLIT}
 SELECT split, count(*) AS n, count(*) * 3 // 16 AS steps FROM parted GROUP BY split""",
     "preview": f"WITH {_CONTRACTS} SELECT * FROM contracts ORDER BY doc_id LIMIT 5",
-    "sample_exact": f"WITH {_CLEANED} SELECT * FROM cleaned ORDER BY {_hash('doc_id', 42)}, doc_id LIMIT 500",
+    "sample_exact": f"WITH {_CLEANED} SELECT * FROM cleaned ORDER BY {_hash('doc_id', 42, 'sample')}, doc_id LIMIT 500",
     "eval_subset": f"""WITH {_SPLIT}
 SELECT doc_id, filename, code, label_encoded FROM parted WHERE split = 'test'
-ORDER BY {_hash('doc_id', 42)}, doc_id LIMIT 100""",
+ORDER BY {_hash('doc_id', 42, 'eval')}, doc_id LIMIT 100""",
+    "eval_subset_shares": f"""WITH {_split('orders', 'o_orderpriority', 'o_orderkey', '0.1', 7, 'parted')},
+test AS (SELECT o_orderkey, o_orderpriority FROM parted WHERE split = 'test'),
+subset AS (SELECT o_orderkey FROM test ORDER BY {_hash('o_orderkey', 7, 'eval')}, o_orderkey LIMIT 500)
+SELECT o_orderpriority, count(*) AS n_test, count(s.o_orderkey) AS n_subset
+FROM test t LEFT JOIN subset s ON t.o_orderkey = s.o_orderkey GROUP BY o_orderpriority""",
     "cap_per_class": f"""WITH {_CLEANED}
 SELECT doc_id, label_encoded FROM cleaned
-QUALIFY row_number() OVER (PARTITION BY label_encoded ORDER BY {_hash('doc_id', 42)}, doc_id) <= 600 // 9
+QUALIFY row_number() OVER (PARTITION BY label_encoded ORDER BY {_hash('doc_id', 42, 'cap')}, doc_id) <= 600 // 9
   OR count(*) OVER () <= 600""",
     "cap_per_language": f"""
 SELECT * FROM documents
-QUALIFY row_number() OVER (PARTITION BY lang ORDER BY {_hash('doc_id', 42)}, doc_id) <= 800 // 4
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY {_hash('doc_id', 42, 'cap')}, doc_id) <= 800 // 4
   OR count(*) OVER () <= 800""",
     "stratified_split": f"WITH {_SPLIT} SELECT doc_id, label_encoded, split FROM parted",
     "stratified_split_languages": f"""WITH classed AS (
@@ -281,45 +286,66 @@ SELECT label_encoded AS label, any_value(name) AS name, count(*) AS total,
   count(*) FILTER (WHERE prediction = label_encoded) AS correct,
   round_even(CAST(100 AS DOUBLE) * count(*) FILTER (WHERE prediction = label_encoded) / count(*), 1) AS percent
 FROM answered JOIN names ON label_encoded = names.label GROUP BY label_encoded""",
-    "evaluate": f"""WITH {_CLEANED}, ruled AS (SELECT label_encoded, {_RULED} AS prediction FROM cleaned),
+    "evaluate": f"""WITH {_CLEANED}, {_NAMES}, ruled AS (SELECT label_encoded, {_RULED} AS prediction FROM cleaned),
 counted AS (
   SELECT label_encoded AS label, count(*) AS total,
     count(*) FILTER (WHERE prediction <> -1) AS answered,
     count(*) FILTER (WHERE prediction = label_encoded) AS correct
   FROM ruled GROUP BY ROLLUP (label_encoded))
-SELECT coalesce(CAST(label AS VARCHAR), 'all') AS label, total, answered, correct,
+SELECT coalesce(CAST(counted.label AS VARCHAR), 'all') AS label, name, total, answered, correct,
   CAST(100 AS DOUBLE) * correct / total AS percent_all,
   CAST(100 AS DOUBLE) * correct / nullif(answered, 0) AS percent_answered
-FROM counted""",
+FROM counted LEFT JOIN names ON counted.label = names.label""",
     "classify_stream": f"""WITH {_NAMES}, codes AS (SELECT doc_id, text AS code FROM documents),
 ruled AS (SELECT doc_id, {_RULED} AS prediction FROM codes WHERE regexp_matches(code, {_FILLED}))
 SELECT doc_id, prediction, name FROM ruled LEFT JOIN names ON prediction = label""",
-    "prepare": f"""WITH {_CLEANED},
-capped AS (
-  SELECT * FROM cleaned
-  QUALIFY row_number() OVER (PARTITION BY label_encoded ORDER BY {_hash('doc_id', 42)}, doc_id) <= 500 // 9
-    OR count(*) OVER () <= 500),
-{_split('capped', 'label_encoded', 'doc_id', '0.2', 42, 'parted')}
-SELECT doc_id, label_encoded, split, concat({_text(SHORT.before)}, substr(code, 1, 1000),
-  {_text(SHORT.after)}, ' ', CAST(label_encoded AS VARCHAR)) AS text
+    "prepare": f"""WITH {_SPLIT}, {_LINES}
+SELECT doc_id, label_encoded, split, concat({_LONG_BEFORE}, code, {_text(LONG.after)}, ' ',
+  CAST(label_encoded AS VARCHAR)) AS text
 FROM parted""",
 }
+
+_LANGUAGES = f"""classed AS (
+  SELECT doc_id, text AS code, CAST(CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 WHEN 'fr' THEN 3 END
+    AS INT) AS label_encoded
+  FROM documents),
+{_split('classed', 'label_encoded', 'doc_id', '0.2', 42, 'parted')},
+test AS (SELECT doc_id, code, label_encoded FROM parted WHERE split = 'test')"""
+
+# SQL states which rows a trained model must answer, and that it reaches its floor.
+_ORACLES["fit_classifier"] = f"""WITH {_LANGUAGES}
+SELECT doc_id, label_encoded, true AS same_when_loaded, true AS is_class FROM test"""
+_ORACLES["model_accuracy"] = f"""WITH {_LANGUAGES}
+SELECT coalesce(CAST(label_encoded AS VARCHAR), 'all') AS label, count(*) AS total, count(*) AS answered,
+  true AS reaches_floor
+FROM test GROUP BY ROLLUP (label_encoded)"""
+_ORACLES["model_selection"] = f"""WITH {_LANGUAGES}
+SELECT count(*) AS total, true AS reaches_floor FROM test"""
+_ORACLES["classify_file_model"] = f"""WITH {_LANGUAGES}
+SELECT doc_id, code, label_encoded, true AS is_class FROM test"""
+_ORACLES["train_and_evaluate"] = f"""WITH {_LABELLED},
+{_split('labelled', 'label_encoded', 'doc_id', '0.2', 42, 'parted')}
+SELECT coalesce(CAST(label_encoded AS VARCHAR), 'all') AS label, count(*) AS total, count(*) AS answered,
+  true AS reaches_floor
+FROM parted WHERE split = 'test' GROUP BY ROLLUP (label_encoded)"""
 _ORACLES["prepare_low_memory"] = f"""WITH {_LABELLED}, {_LINES},
-chosen AS (SELECT * FROM labelled ORDER BY {_hash('doc_id', 42)}, doc_id LIMIT 500),
-{_split('chosen', 'label_encoded', 'doc_id', '0.2', 42, 'parted')}
+{_split('labelled', 'label_encoded', 'doc_id', '0.2', 42, 'parted')},
+train AS (SELECT * FROM parted WHERE split = 'train' ORDER BY {_hash('doc_id', 42, 'sample')}, doc_id LIMIT 500),
+chosen AS (FROM train UNION ALL FROM parted WHERE split = 'test')
 SELECT doc_id, label_encoded, split,
   concat({_LONG_BEFORE}, code, {_text(LONG.after)}, ' ', CAST(label_encoded AS VARCHAR)) AS text
-FROM parted"""
+FROM chosen"""
 _ORACLES["prepare_least_memory"] = f"""WITH {_LABELLED},
 known AS (SELECT * FROM labelled WHERE label_encoded BETWEEN 0 AND 8),
-chosen AS (
-  SELECT * FROM known
-  QUALIFY row_number() OVER (PARTITION BY label_encoded ORDER BY {_hash('doc_id', 42)}, doc_id) <= 800 // 9
+{_split('known', 'label_encoded', 'doc_id', '0.2', 42, 'parted')},
+train AS (
+  SELECT * FROM parted WHERE split = 'train'
+  QUALIFY row_number() OVER (PARTITION BY label_encoded ORDER BY {_hash('doc_id', 42, 'cap')}, doc_id) <= 800 // 9
     OR count(*) OVER () <= 800),
-{_split('chosen', 'label_encoded', 'doc_id', '0.2', 42, 'parted')}
+chosen AS (FROM train UNION ALL FROM parted WHERE split = 'test')
 SELECT doc_id, label_encoded, split, concat({_text(SHORT.before)}, substr(code, 1, 1000),
   {_text(SHORT.after)}, ' ', CAST(label_encoded AS VARCHAR)) AS text
-FROM parted"""
+FROM chosen"""
 _ORACLES["csv_split_records"] = _ORACLES["csv_roundtrip"]
 
 

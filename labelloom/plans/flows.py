@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, dataclass
 
+from pyspark.ml import Model
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from labelloom.functions.wording import LABEL_NAMES, LONG, SHORT, Wording
 from labelloom.operators.classify import Scorer, classify_table, classify_with_model
 from labelloom.operators.clean import clean, number_of
 from labelloom.operators.evaluate import accuracy_answered, evaluate
-from labelloom.operators.model import fit_classifier, save_model
+from labelloom.operators.model import MODEL_SETTINGS, NUM_FEATURES, fit_classifier, save_model
 from labelloom.operators.profile import training_steps
 from labelloom.operators.sampling import (
     cap_per_class,
@@ -30,7 +31,11 @@ from labelloom.sources.write import export_split_text, land, with_config, write_
 
 @dataclass(frozen=True)
 class Settings:
-    """How a table is prepared, trained on and evaluated."""
+    """How a table is prepared, trained on and evaluated.
+
+    ``max_samples`` bounds the training rows only; the test part stays whole.
+    ``eval_samples`` evaluates on so many of its rows, for a quick look.
+    """
 
     level: str = "tolerant"
     max_samples: int | None = None
@@ -55,7 +60,6 @@ PRESETS = {
         num_train_epochs=2,
         per_device_train_batch_size=1,
         gradient_accumulation_steps=16,
-        eval_samples=100,
     ),
     "least_memory": Settings(
         level="domain",
@@ -65,10 +69,9 @@ PRESETS = {
         max_length=512,
         per_device_train_batch_size=1,
         gradient_accumulation_steps=16,
-        eval_samples=50,
     ),
     "notebook": Settings(max_samples=1000, max_length=1024),
-    "all_tolerant": Settings(eval_samples=50),
+    "all_tolerant": Settings(),
 }
 
 
@@ -80,19 +83,22 @@ def prepare(
     label: str = "label_encoded",
     names: Mapping[int, str] = LABEL_NAMES,
 ) -> DataFrame:
-    """Clean, sample or cap, split, and add the training ``text``.
+    """Clean, split, sample or cap the training part, and add the training ``text``.
 
     The prompt is made last, on the rows that are left; ``code`` stays for the
     evaluation of the test part.
     """
     cleaned = clean(require_columns(rows, [code, label]), settings.level, code, label, tuple(names))
-    if settings.max_samples and settings.per_class:
-        chosen = cap_per_class(
-            cleaned, settings.max_samples, label, settings.random_state, key, len(names)
-        )
-    else:
-        chosen = sample_exact(cleaned, settings.max_samples, settings.random_state, key)
-    split = stratified_split(chosen, settings.test_size, settings.random_state, label, key)
+    split = stratified_split(cleaned, settings.test_size, settings.random_state, label, key)
+    if settings.max_samples:
+        train, test = split.where("split = 'train'"), split.where("split = 'test'")
+        if settings.per_class:
+            train = cap_per_class(
+                train, settings.max_samples, label, settings.random_state, key, len(names)
+            )
+        else:
+            train = sample_exact(train, settings.max_samples, settings.random_state, key)
+        split = train.unionByName(test)
     return split.withColumn("text", prompt(F.col(code), F.col(label), settings.wording, names))
 
 
@@ -132,7 +138,9 @@ def train_and_evaluate(
         settings.per_device_train_batch_size,
         settings.gradient_accumulation_steps,
     )
+    # The model's own settings are part of the run as well.
     config = asdict(settings) | {"wording": json.dumps(asdict(settings.wording), ensure_ascii=False)}
+    config |= {"num_features": NUM_FEATURES, **MODEL_SETTINGS, **model_settings}
     write_config(with_config(steps.where("split = 'train'").drop("split"), config), f"{output}/config")
     model = fit_classifier(part(prepared, "train"), code, label, **model_settings)
     save_model(model, f"{output}/model")
@@ -148,12 +156,19 @@ def classify_file(
     spark: SparkSession,
     path: str,
     output: str,
-    scorer: Callable[[], Scorer],
+    scorer: Callable[[], Scorer] | Model,
     wording: Wording = LONG,
     label: str = "label_encoded",
 ) -> DataFrame | None:
-    """Classify a CSV into a CSV; returns the accuracy, or none if the file has no labels."""
-    classified = classify_table(read_contracts(spark, path), scorer, wording=wording)
+    """Classify a CSV into a CSV, by a scorer or a fitted model.
+
+    Returns the accuracy, or none if the file has no labels.
+    """
+    rows = read_contracts(spark, path)
+    if isinstance(scorer, Model):
+        classified = classify_with_model(rows, scorer, "llm_prediction")
+    else:
+        classified = classify_table(rows, scorer, wording=wording)
     if label in classified.columns:
         classified = classified.withColumn(label, number_of(classified, label))
     write_csv(classified, output)

@@ -10,7 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml import Model
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelloom.functions import prompts as pr
@@ -21,9 +22,14 @@ from labelloom.operators import evaluate as ev
 from labelloom.operators import profile as pf
 from labelloom.operators import sampling as sm
 from labelloom.operators import tokenise as tk
-from labelloom.operators.classify import KeywordScorer, classify_table, classify_with_model
+from labelloom.operators.classify import (
+    KeywordScorer,
+    classify_by_rules,
+    classify_table,
+    classify_with_model,
+)
 from labelloom.operators.model import fit_classifier, load_model, save_model, select_model
-from labelloom.plans.flows import PRESETS, Settings, prepare, train_and_evaluate
+from labelloom.plans.flows import PRESETS, Settings, classify_file, prepare, train_and_evaluate
 from labelloom.shared import new_path
 from labelloom.sources.contracts import read_contracts
 from labelloom.sources.resolve import require_columns
@@ -35,6 +41,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 SEED = 42
 MAX_LENGTH = 2048
 PAD = 0
+# What the trained classifiers reach at least, in percent of the test part.
+LEAST_ACCURACY = 80
+LEAST_RUN_ACCURACY = 60
 
 # Words of the four languages, so that the rule scorer has something to find.
 DOCUMENT_SCORER = KeywordScorer(
@@ -292,6 +301,17 @@ def eval_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sm.eval_subset(sm.part(split_contracts(spark, sf_dir), "test"), 100, SEED, "doc_id")
 
 
+def eval_subset_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of an evaluation subset in each class, beside those of the whole test part."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    split = sm.stratified_split(rows, 0.1, 7, "o_orderpriority", "o_orderkey")
+    test = sm.part(split, "test").withColumn("chosen", F.lit(0))
+    subset = sm.eval_subset(test, 500, 7, "o_orderkey").withColumn("chosen", F.lit(1))
+    return test.unionByName(subset).groupBy("o_orderpriority").agg(
+        F.count_if(F.col("chosen") == 0).alias("n_test"), F.count_if(F.col("chosen") == 1).alias("n_subset")
+    )
+
+
 def cap_per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cleaned(spark, sf_dir).select("doc_id", "label_encoded")
     return sm.cap_per_class(rows, 600, "label_encoded", SEED, "doc_id")
@@ -451,7 +471,7 @@ def accuracy_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def accuracy_answered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels are coerced and may be missing, as in a table that was never cleaned."""
-    rows = classified(spark, sf_dir)
+    rows = classify_by_rules(contracts(spark, sf_dir), DOCUMENT_SCORER)
     numbers = rows.withColumn("label_encoded", cl.number_of(rows, "label_encoded"))
     return ev.accuracy_answered(numbers, prediction="llm_prediction")
 
@@ -461,7 +481,7 @@ def accuracy_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = classify_table(cleaned(spark, sf_dir), DOCUMENT_SCORER, output="prediction")
+    rows = classify_by_rules(cleaned(spark, sf_dir), DOCUMENT_SCORER, output="prediction")
     shown = F.coalesce(F.col("label").cast("string"), F.lit("all"))
     return ev.evaluate(rows).withColumn("label", shown)
 
@@ -490,23 +510,43 @@ def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sm.stratified_split(rows, 0.2, SEED, "label_encoded", "doc_id")
 
 
-def fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fit on the training part, save, load, and classify the test part."""
-    rows = _languages(spark, sf_dir)
-    path = new_path(spark, "model")
-    model = fit_classifier(
-        sm.part(rows, "train"),
+def _fitted(spark: SparkSession, train: DataFrame) -> Model:
+    return fit_classifier(
+        train,
         num_features=1 << 12,
         partitions=spark.sparkContext.defaultParallelism,
         max_iter=20,
     )
+
+
+def fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fit on the training part, save, load, and classify the test part with either model."""
+    rows = _languages(spark, sf_dir)
+    path = new_path(spark, "model")
+    model = _fitted(spark, sm.part(rows, "train"))
     save_model(model, path)
     predicted = classify_with_model(sm.part(rows, "test"), load_model(path))
-    return predicted.select("doc_id", "label_encoded", "prediction")
+    both = classify_with_model(predicted, model, "in_memory")
+    return both.select(
+        "doc_id",
+        "label_encoded",
+        (F.col("prediction") == F.col("in_memory")).alias("same_when_loaded"),
+        F.col("prediction").between(0, 3).alias("is_class"),
+    )
 
 
 def model_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.accuracy_by_class(fit(spark, sf_dir))
+    """Test rows of each class, and whether the model is right on enough of all."""
+    rows = _languages(spark, sf_dir)
+    predicted = classify_with_model(sm.part(rows, "test"), _fitted(spark, sm.part(rows, "train")))
+    evaluated = ev.evaluate(predicted)
+    overall = F.max(F.when(F.col("label").isNull(), F.col("percent_all"))).over(Window.partitionBy())
+    return evaluated.select(
+        F.coalesce(F.col("label").cast("string"), F.lit("all")).alias("label"),
+        "total",
+        "answered",
+        (overall >= LEAST_ACCURACY).alias("reaches_floor"),
+    )
 
 
 def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -521,13 +561,28 @@ def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
         partitions=spark.sparkContext.defaultParallelism,
     )
     predicted = classify_with_model(sm.part(rows, "test"), model)
-    return ev.accuracy_all(predicted)
+    return ev.accuracy_all(predicted).select(
+        "total", (F.col("percent") >= LEAST_ACCURACY).alias("reaches_floor")
+    )
+
+
+def classify_file_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test part as a CSV file, classified by a fitted model into another."""
+    rows = _languages(spark, sf_dir)
+    source, output = new_path(spark, "asked-csv"), new_path(spark, "answered-csv")
+    write_csv(sm.part(rows, "test"), source)
+    classify_file(spark, source, output, _fitted(spark, sm.part(rows, "train")))
+    return read_contracts(spark, output).select(
+        F.col("doc_id").cast("bigint"),
+        "code",
+        F.col("label_encoded").cast("double").cast("int"),
+        F.col("llm_prediction").cast("int").between(0, 3).alias("is_class"),
+    )
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From raw contracts to capped, split and prompted rows."""
-    settings = Settings(max_samples=500, per_class=True, wording=SHORT)
-    rows = prepare(contracts(spark, sf_dir), "doc_id", settings)
+    """From raw contracts to clean, split and prompted rows: all of them, in whole."""
+    rows = prepare(contracts(spark, sf_dir), "doc_id", Settings())
     return rows.select("doc_id", "label_encoded", "split", "text")
 
 
@@ -550,8 +605,13 @@ def train_evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
         partitions=spark.sparkContext.defaultParallelism,
         max_iter=10,
     )
-    shown = F.coalesce(F.col("label").cast("string"), F.lit("all"))
-    return accuracies.withColumn("label", shown)
+    overall = F.max(F.when(F.col("label").isNull(), F.col("percent_all"))).over(Window.partitionBy())
+    return accuracies.select(
+        F.coalesce(F.col("label").cast("string"), F.lit("all")).alias("label"),
+        "total",
+        "answered",
+        (overall >= LEAST_RUN_ACCURACY).alias("reaches_floor"),
+    )
 
 
 QUERIES: dict[str, Query] = {
@@ -581,6 +641,7 @@ QUERIES: dict[str, Query] = {
     "preview": preview,
     "sample_exact": sample_exact,
     "eval_subset": eval_subset,
+    "eval_subset_shares": eval_subset_shares,
     "cap_per_class": cap_per_class,
     "cap_per_language": cap_per_language,
     "stratified_split": stratified_split,
@@ -608,6 +669,7 @@ QUERIES: dict[str, Query] = {
     "fit_classifier": fit,
     "model_accuracy": model_accuracy,
     "model_selection": model_selection,
+    "classify_file_model": classify_file_model,
     "prepare": prepared,
     "prepare_low_memory": _prepared_preset("low_memory"),
     "prepare_least_memory": _prepared_preset("least_memory"),

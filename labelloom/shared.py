@@ -3,28 +3,52 @@
 from __future__ import annotations
 
 import tempfile
+import warnings
+from collections.abc import Sequence
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_SHARES = 10_000
 
 
+_runs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only in local mode."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The checkpoint folder set by the user or by ``spark.checkpoint.dir``; a temporary one in local mode only."""
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    is_local = spark.sparkContext.master.startswith("local")
     if named:
+        if named.startswith("file:") and not is_local:
+            warnings.warn(f"{named} must be a folder that all machines share", stacklevel=2)
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not is_local:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="labelloom-"))
     return spark.sparkContext.getCheckpointDir()
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The one folder that holds all intermediate tables of this application."""
+    app = spark.sparkContext.applicationId
+    if app not in _runs:
+        _runs[app] = f"{shared_dir(spark)}/labelloom-{uuid4().hex}"
+    return _runs[app]
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove the folder of this application; results not yet written are lost with it."""
+    folder = _runs.pop(spark.sparkContext.applicationId, None)
+    if folder is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid4().hex}"
+    return f"{run_folder(spark)}/{name}-{uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -72,3 +96,17 @@ def with_group_values(
             .unionByName(df.join(F.broadcast(hot), same, "left_anti").join(cold, same, "left"))
         )
     return joined.select(*df.columns, *values)
+
+
+def ranked(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """``df`` plus BIGINT ``name``: its place, from 1, in the order given.
+
+    The rows are sorted over all tasks and written with their place in their
+    task; how many rows the tasks before have is one small row for each task.
+    """
+    placed = stored(df.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()), "ranked")
+    part, place = F.shiftright("_place", 33), F.col("_place").bitwiseAND((1 << 33) - 1)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = counts.select("_part", F.expr("SUM(_n) OVER (ORDER BY _part) - _n").alias("_before"))
+    joined = placed.join(F.broadcast(before), part == F.col("_part"))
+    return joined.select(*df.columns, (F.col("_before") + place + 1).alias(name))

@@ -4,26 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+from pyspark.ml import Model
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from labelloom.functions.prompts import label_name
 from labelloom.functions.wording import LABEL_NAMES, LONG, UNKNOWN_NAME, Wording
-from labelloom.operators.classify import Scorer, classify_table
+from labelloom.operators.classify import Scorer, classify_table, classify_with_model
 from labelloom.operators.clean import drop_blank
 
 
 def classify_stream(
     stream: DataFrame,
-    scorer: Callable[[], Scorer],
+    scorer: Callable[[], Scorer] | Model,
     code: str = "code",
     wording: Wording = LONG,
     names: Mapping[int, str] = LABEL_NAMES,
     default: str = UNKNOWN_NAME,
 ) -> DataFrame:
-    """Rows with code, plus ``prediction`` and ``name`` (NULL where there is no answer)."""
-    answered = classify_table(drop_blank(stream, code), scorer, code, "prediction", wording)
+    """Rows with code, plus ``prediction`` and ``name`` (NULL where there is no answer).
+
+    The answers come from a scorer or from a fitted model.
+    """
+    rows = drop_blank(stream, code)
+    if isinstance(scorer, Model):
+        answered = classify_with_model(rows, scorer, "prediction", code)
+    else:
+        answered = classify_table(rows, scorer, code, "prediction", wording)
     named = F.when(F.col("prediction") >= 0, label_name(F.col("prediction"), names, default))
     return answered.withColumn("name", named)
 

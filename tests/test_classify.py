@@ -5,9 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from labelloom.functions.wording import LONG, Wording
+from labelloom.functions.wording import LONG, SHORT, Wording
 from labelloom.operators import evaluate as ev
-from labelloom.operators.classify import CONTRACT_RULES, classify_table, classify_with_model
+from labelloom.operators.classify import CONTRACT_RULES, classify_by_rules, classify_table, classify_with_model
 from labelloom.operators.model import fit_classifier, load_model, save_model, select_model
 from labelloom.plans.flows import Settings, classify_file, prepare, read_and_land, train_and_evaluate
 from labelloom.sources.contracts import read_contracts
@@ -43,6 +43,17 @@ def test_known_answer(spark):
     assert got == {1: 5, 2: -1, 3: -1}
 
 
+@pytest.mark.parametrize("wording", [LONG, SHORT])
+def test_rules_answer_under_any_wording(spark, wording):
+    codes = [REENTRANT, None, "unknown", "now", "no such thing", "contract{", "x.call(y)", "a7"]
+    rows = spark.createDataFrame(list(enumerate(codes)), "id int, code string")
+    asked = {r.id: r.llm_prediction for r in classify_table(rows, CONTRACT_RULES, wording=wording).collect()}
+    ruled = classify_by_rules(rows, CONTRACT_RULES)
+    assert "Python" not in plan(ruled).replace("applySchemaToPythonRDD", "")
+    assert {r.id: r.llm_prediction for r in ruled.collect()} == asked
+    assert asked == {0: 5, 1: -1, 2: -1, 3: 6, 4: -1, 5: 8, 6: 7, 7: -1}
+
+
 def test_echoed_prompt_is_cut_off(spark):
     rows = spark.createDataFrame([("a 7 😀",)], "code string")
     assert classify_table(rows, ECHO, echoes_prompt=True).first().llm_prediction == 1
@@ -63,6 +74,7 @@ def test_accuracies(spark):
     by_class = [(r.label, r.total, r.correct, r.percent) for r in ev.accuracy_by_class(rows).collect()]
     assert by_class == [(1, 2, 1, 50.0), (2, 2, 1, 50.0)]
     both = {r.label: (r.total, r.answered, r.correct, r.percent_all, r.percent_answered) for r in ev.evaluate(rows).collect()}
+    assert [r.name for r in ev.evaluate(rows).orderBy("label").collect()][0] is None
     assert both == {1: (2, 1, 1, 50.0, 100.0), 2: (2, 2, 1, 50.0, 50.0), None: (5, 4, 2, 40.0, 50.0)}
 
 
@@ -98,10 +110,13 @@ def test_land_and_prepare(spark, tmp_path):
     write_csv(rows, str(tmp_path / "in"))
     landed = read_and_land(spark, [str(tmp_path / "none"), str(tmp_path / "in")], str(tmp_path / "landed"))
     sampled = prepare(landed, "row_id", Settings(max_samples=100, test_size=0.3))
-    assert sampled.count() == 100 and sampled.where("split = 'test'").count() == 30
+    sizes = {r.split: r["count"] for r in sampled.groupBy("split").count().collect()}
+    assert sizes == {"train": 100, "test": 81}
     assert sampled.where("label_encoded = 9").isEmpty()
     capped = prepare(landed, "row_id", Settings(max_samples=90, per_class=True))
-    assert [r["count"] for r in capped.groupBy("label_encoded").count().collect()] == [10] * 9
+    train = capped.where("split = 'train'").groupBy("label_encoded").count().collect()
+    assert [r["count"] for r in train] == [10] * 9
+    assert capped.where("split = 'test'").count() == 54
     assert {"code", "text", "split"} <= set(capped.columns)
 
 
@@ -139,6 +154,20 @@ def test_model_learns_and_survives_saving(learnable, tmp_path):
     assert ev.accuracy_all(rows).first().percent == 100.0
 
 
+def test_models_on_odd_rows_files_and_streams(spark, learnable, tmp_path):
+    model = fit_classifier(learnable, num_features=256, partitions=2, max_iter=10)
+    rows = spark.createDataFrame([(1, "alpha beta", 7), (2, None, 8), (3, "", 9)], "id int, code string, prediction int")
+    got = {r.id: (r.code, r.prediction, r.answer) for r in classify_with_model(rows, model, "answer").collect()}
+    assert got[1] == ("alpha beta", 7, 0) and got[2] == (None, 8, -1) and got[3][:2] == ("", 9)
+    source, output = str(tmp_path / "in"), str(tmp_path / "out")
+    write_csv(learnable, source)
+    assert tuple(classify_file(spark, source, output, model).first())[:2] == (150, 150)
+    rows.select("id", "code").write.parquet(str(tmp_path / "source"))
+    stream = classify_stream(spark.readStream.schema("id int, code string").parquet(str(tmp_path / "source")), model)
+    write_available(stream, str(tmp_path / "sink"), str(tmp_path / "checkpoint")).awaitTermination()
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "sink")).select("id", "prediction").collect()] == [(1, 0)]
+
+
 def test_train_and_evaluate(spark, learnable, tmp_path):
     settings = Settings(eval_samples=10, test_size=0.2)
     output = str(tmp_path / "run")

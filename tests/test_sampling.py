@@ -2,17 +2,19 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from labelloom.operators import sampling as sm
-from labelloom.shared import measured, stored, with_group_values
+from labelloom.shared import clean_up, measured, run_folder, stored, with_group_values
 from tests.conftest import plan
 
 
-def ordered(keys, seed):
-    return sorted(keys, key=lambda k: (hashlib.md5(f"{seed}:{k}".encode()).hexdigest(), k))
+def ordered(keys, seed, step="sample"):
+    return sorted(keys, key=lambda k: (hashlib.md5(f"{seed}:{step}:{k}".encode()).hexdigest(), k))
 
 
 def split_by_hand(rows, test_size, seed):
@@ -28,7 +30,7 @@ def split_by_hand(rows, test_size, seed):
         quota[c] += 1
     parts = {}
     for c, keys in classes.items():
-        for rank, key in enumerate(ordered(keys, seed)):
+        for rank, key in enumerate(ordered(keys, seed, "split")):
             parts[key] = "train" if rank < quota[c] else "test"
     return parts
 
@@ -113,7 +115,7 @@ def test_cap(table, broadcast_bytes):
     rows = skewed(4000)
     expected = set()
     for label in range(20):
-        expected |= set(ordered([k for k, c in rows if c == label], 4)[:40])
+        expected |= set(ordered([k for k, c in rows if c == label], 4, "cap")[:40])
     assert {r.key for r in got} == expected and len(got) == len(expected)
 
 
@@ -127,6 +129,53 @@ def test_eval_subset_and_preview(table):
     assert [r.key for r in sm.preview(table, "key").orderBy("key").collect()] == [0, 1, 2, 3, 4]
 
 
+def test_the_evaluation_subset_is_a_sample_of_the_test_part(spark):
+    """At a size where rows next to the cut would all be of one class."""
+    rows = spark.range(200_000).select(F.col("id").alias("key"), (F.col("id") % 9).alias("label"))
+    test = sm.part(sm.stratified_split(rows, 0.2, 42, "label", "key"), "test")
+    shares = {r.label: r["count"] for r in sm.eval_subset(test, 900, 42, "key").groupBy("label").count().collect()}
+    assert len(shares) == 9
+    # 100 rows a class are expected; five standard deviations are 47.
+    assert all(abs(n - 100) <= 47 for n in shares.values())
+
+
+def test_repeated_keys_end_the_query(spark):
+    rows = spark.createDataFrame([(1,)] * 7 + [(2,)] * 3, "key int")
+    with pytest.raises(PySparkException, match="key is not unique"):
+        sm.sample_exact(rows, 3, 5, "key").collect()
+    assert sm.preview(rows, "key").count() == 5
+
+
+def test_histogram_digits_follow_the_rows():
+    assert [sm.bucket_digits(n) for n in (0, 10**8, 10**9, 10**12, 10**18)] == [3, 3, 4, 6, 8]
+
+
+def test_finer_histograms_give_the_same_rows(spark, monkeypatch):
+    rows = spark.createDataFrame(skewed(2000), "key bigint, label int")
+    before = {r.key for r in sm.sample_exact(rows, 300, 9, "key").collect()}
+    monkeypatch.setattr(sm, "_BUCKET_KEYS", 0.01)
+    assert {r.key for r in sm.sample_exact(rows, 300, 9, "key").collect()} == before
+
+
+def test_no_window_over_all_classes(spark):
+    counts = stored(spark.range(1000).select(F.col("id").alias("_group"), (F.col("id") % 7 + 2).alias("_rows")), "counts")
+    quotas = sm.train_quotas(counts, 3000, counts.agg(F.sum("_rows")).first()[0])
+    assert quotas.agg(F.sum("_take")).first()[0] == 3000
+
+
+def test_intermediate_tables_share_one_folder(spark):
+    folder = run_folder(spark).removeprefix("file:").strip("/")
+    table = stored(spark.range(5), "test")
+    assert all(path.removeprefix("file:").strip("/").startswith(folder) for path in table.inputFiles())
+
+
+def test_clean_up_removes_the_folder(spark):
+    folder = run_folder(spark)
+    stored(spark.range(5), "test")
+    clean_up(spark)
+    assert not os.path.exists(folder.removeprefix("file:")) and run_folder(spark) != folder
+
+
 def test_quotas_do_not_overflow(spark):
     rows = 40_000_000_000
     counts = spark.createDataFrame([(0, rows), (1, rows // 2), (2, 7)], "_group int, _rows bigint")
