@@ -109,9 +109,9 @@ def read_and_land(
     on_bad_lines: str = "skip",
     encoding: str = "auto",
 ) -> DataFrame:
-    """First existing CSV, read tolerantly and landed once as Parquet with a ``row_id``."""
+    """First existing CSV, read tolerantly and landed once as Parquet with a lasting ``row_id``."""
     source = resolve_source(spark, candidates)
-    return land(read_contracts(spark, source, on_bad_lines, encoding), landed, "row_id")
+    return land(read_contracts(spark, source, on_bad_lines, encoding, row_id="row_id"), landed)
 
 
 def train_and_evaluate(

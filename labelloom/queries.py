@@ -32,7 +32,7 @@ from labelloom.operators.model import fit_classifier, load_model, save_model, se
 from labelloom.plans.flows import PRESETS, Settings, classify_file, prepare, train_and_evaluate
 from labelloom.shared import new_path
 from labelloom.sources.contracts import read_contracts
-from labelloom.sources.resolve import require_columns
+from labelloom.sources.resolve import path_size, require_columns
 from labelloom.sources.write import export_split_text, with_config, write_config, write_csv
 from labelloom.streaming.classify import classify_stream, write_available
 
@@ -114,9 +114,34 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_split_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file, read in splits so small that records and even cells run over them."""
     path = new_path(spark, "contracts-csv")
-    write_csv(contracts(spark, sf_dir), path)
-    return read_contracts(spark, path, split_above=0)
+    write_csv(contracts(spark, sf_dir).coalesce(1), path)
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {name: spark.conf.get(name) for name in names}
+    size = path_size(spark, path)
+    try:
+        # Some 200 splits, whatever the size of the table.
+        for name, value in zip(names, (max(1000, size // 200), 0)):
+            spark.conf.set(name, str(value))
+        return read_contracts(spark, path)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def csv_mixed_line_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with LF beside files with CRLF, some of them with blank lines before the header."""
+    path = new_path(spark, "line-ends-csv")
+    line = F.concat_ws(",", F.col("doc_id").cast("string"), _quoted("text"), F.coalesce("lang", F.lit("NA")))
+    is_first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    header = "doc_id,text,lang"
+    for part, heads, end in ((0, [header], ""), (1, ["", "  ", header], "\r"), (2, ["", header], "")):
+        own = table(spark, sf_dir, "documents").where(F.col("doc_id") % 3 == part)
+        lines = F.when(is_first, F.array(*map(F.lit, heads), line)).otherwise(F.array(line))
+        each = own.select(F.explode(lines).alias("line"))
+        each.select(F.concat("line", F.lit(end))).write.mode("append").text(path)
+    return read_contracts(spark, path, markers=("NA", ""))
 
 
 def _quoted(col: str) -> Column:
@@ -617,6 +642,7 @@ def train_evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "csv_roundtrip": csv_roundtrip,
     "csv_split_records": csv_split_records,
+    "csv_mixed_line_ends": csv_mixed_line_ends,
     "csv_skip_bad_lines": csv_skip_bad_lines,
     "csv_encoding_fallback": csv_encoding_fallback,
     "nullify_markers": nullify_markers,

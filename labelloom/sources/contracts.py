@@ -1,9 +1,8 @@
 """Reading CSV files whose quoted cells may hold newlines.
 
-Everything is read as text; casts are the cleaning step's work. Spark reads such
-a file in one task, so files above ``split_above`` bytes go through
-``sources.records`` instead, which splits them. So do files with CRLF line ends,
-whose CRLFs inside cells Spark's reader would turn into LFs.
+Everything is read as text; casts are the cleaning step's work. Spark's own reader
+takes such a file in one task, and turns CRLFs inside cells into LFs; so files of
+every size go through ``sources.records``, which reads them in splits.
 """
 
 from __future__ import annotations
@@ -17,17 +16,8 @@ from pyspark.sql import functions as F
 from labelloom.functions.text import is_not_blank
 from labelloom.functions.wording import MISSING_MARKERS
 from labelloom.operators.clean import nullify_markers
-from labelloom.shared import stored, with_group_values
-from labelloom.sources.csv_format import CORRUPT, CSV_OPTIONS, more_fields_than, text_schema
-from labelloom.sources.records import read_records
-
-SPLIT_ABOVE = 512 * 1024 * 1024
-
-
-def csv_columns(spark: SparkSession, path: str) -> list[str]:
-    """Column names of the header; reads one line."""
-    names = spark.read.options(**CSV_OPTIONS).option("header", True).csv(path).columns
-    return [name.strip("\ufeff\r") for name in names]
+from labelloom.sources.csv_format import CORRUPT, more_fields_than
+from labelloom.sources.records import MAX_RECORD_BYTES, read_records
 
 
 def _keep(columns: Sequence[str], on_bad_lines: str) -> Column:
@@ -49,96 +39,28 @@ def _keep(columns: Sequence[str], on_bad_lines: str) -> Column:
     return F.when(corrupt.isNull(), True).when(~filled, False).otherwise(fits)
 
 
-def invalid_files(spark: SparkSession, path: str) -> DataFrame:
-    """(_group, _rows): file paths that are not valid UTF-8, and their lines.
-
-    Checked on raw lines before any decoding, since decoding would replace bad
-    bytes silently.
-    """
-    lines = spark.read.text(path, lineSep="\n")
-    return (
-        lines.groupBy(F.col("_metadata.file_path").alias("_group"))
-        .agg(F.count("*").alias("_rows"), F.bool_and(F.is_valid_utf8("value")).alias("valid"))
-        .where("NOT valid")
-        .drop("valid")
-    )
-
-
-def _read_csv(spark: SparkSession, path: str, columns: Sequence[str], encoding: str) -> DataFrame:
-    return (
-        spark.read.schema(text_schema(columns))
-        .options(**CSV_OPTIONS)
-        .option("header", True)
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        # With pruning, the fields of a record would not be counted.
-        .option("columnPruning", False)
-        .option("encoding", encoding)
-        .csv(path)
-    )
-
-
-def _read_mixed(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """UTF-8, but each file that is not valid UTF-8 as a whole in Latin-1.
-
-    All files are read as Latin-1, which keeps every byte as one character and
-    leaves commas, quotes and newlines alone; the cells of valid files are then
-    turned back into their bytes and decoded as UTF-8.
-    """
-    invalid = stored(invalid_files(spark, path).withColumn("_latin", F.lit(True)), "invalid-files")
-    if invalid.isEmpty():
-        return _read_csv(spark, path, columns, "UTF-8")
-    raw = _read_csv(spark, path, columns, "ISO-8859-1")
-    cells = raw.columns
-    marked = with_group_values(
-        raw.withColumn("_file", F.col("_metadata.file_path")), "_file", invalid
-    )
-
-    def decoded(name: str) -> Column:
-        cell = F.col(f"`{name}`")
-        utf8 = F.decode(F.encode(cell, "ISO-8859-1"), "UTF-8")
-        return F.when(F.col("_latin"), cell).otherwise(utf8).alias(name)
-
-    return marked.select(*[decoded(name) for name in cells])
-
-
-def _largest_file(spark: SparkSession, path: str) -> int:
-    """Bytes of the largest file; reads the listing only."""
-    sizes = spark.read.format("binaryFile").load(path).agg(F.max("length"))
-    return sizes.first()[0] or 0
-
-
-def _ends_in_crlf(spark: SparkSession, path: str) -> bool:
-    """Whether the first line does; reads that line only."""
-    line = spark.read.text(path, lineSep="\n").first()
-    return line is not None and line["value"].endswith("\r")
-
-
 def read_contracts(
     spark: SparkSession,
     path: str,
     on_bad_lines: str = "error",
     encoding: str = "UTF-8",
     markers: Sequence[str] = MISSING_MARKERS,
-    split_above: int = SPLIT_ABOVE,
+    row_id: str | None = None,
+    max_record_bytes: int = MAX_RECORD_BYTES,
 ) -> DataFrame:
     """All columns of a CSV file or folder as text, missing-value markers as NULL.
 
     ``on_bad_lines`` says what becomes of records with surplus fields: 'error'
     or 'skip'. ``encoding`` 'auto' reads UTF-8 and falls back to Latin-1 for
-    each file that is not valid UTF-8.
+    each file that is not valid UTF-8; other encodings must write a newline as one
+    byte. ``row_id`` adds a BIGINT made of the file's place among the files and the
+    record's line: the same in every reading of the same files. A record of over
+    ``max_record_bytes`` ends the query, with its file and place.
     """
     if on_bad_lines not in ("error", "skip"):
         raise ValueError(f"on_bad_lines must be 'error' or 'skip', not {on_bad_lines!r}")
     try:
-        columns = csv_columns(spark, path)
-        if not columns:
-            raise ValueError(f"no columns to read from {path}")
-        if _largest_file(spark, path) > split_above or _ends_in_crlf(spark, path):
-            rows = read_records(spark, path, columns, encoding)
-        elif encoding == "auto":
-            rows = _read_mixed(spark, path, columns)
-        else:
-            rows = _read_csv(spark, path, columns, encoding)
+        columns, rows = read_records(spark, path, encoding, row_id, max_record_bytes)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"no such file: {path}") from error

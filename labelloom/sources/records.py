@@ -1,178 +1,279 @@
-"""Records of CSV files too large for one task.
-
-The files are read as lines, in splits. Whether a line starts a record depends on
-the quotes of all lines before it, but a line can only do four things to the
-state "inside a quoted cell": keep it, turn it over, set it, clear it. So the
-state after any run of lines follows from the last line that set or cleared it
-and the number of turns since. That is worked out per split on the lines with
-quotes, then over the splits, one row each.
-
-With the state at each split's start known, the lines before the first record
-that starts in a split are sent to the split where their record started. So the
-lines are shuffled once, each group begins with a record, and no task holds more
-than one split and the end of its last record, however large the file is.
-
-The file is read twice, and lines are known by their place in a split, so both
-reads must see the same splits. Files large enough to fill all cores with splits
-of full size always do; should the layout of a smaller one change in between,
-with the number of cores, the query ends with an error.
+"""Records of CSV files whose quoted cells may hold newlines, read in splits.
+
+The files are read as lines. Whether a line starts a record depends on the quotes
+of all lines before it, and a task does not know what came before its split. So
+it keeps two states, one for a split that starts outside a quoted cell and one
+for a split that starts inside, and forms records as if it started outside. Once
+the two states are the same, and outside, what follows is sure. All records are
+written once, beside one small row for each split with the states at its end.
+
+From those rows follows where each split really starts. Most records are right as
+they are. Of a split that starts inside a cell, the lines before the sure ones are
+sent to the split where their record started, and put together there with its open
+end; nothing else moves, whatever the size of the file. As every line was read
+once, the splits may be others the next time; a record is known by its file and the
+number of its first line, which do not depend on them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+import io
+import re
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelloom.functions.text import is_not_blank
-from labelloom.shared import stored
+from labelloom.shared import BROADCAST_BYTES, measured, stored, with_group_values
 from labelloom.sources.csv_format import CORRUPT, CSV_OPTIONS, FIELD, QUOTED, text_schema
 
-_SPLIT = ("_file", "_block")
-_MOVED = "the file or its splits changed between two reads; spark.sql.files.minPartitionNum fixes the splits"
+#: Bytes of the longest record; a quote that is never closed ends the query there.
+MAX_RECORD_BYTES = 1 << 27
 
+_FILE_BITS = 40  # line numbers within a file in a row id
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with file, start of their split, and a number rising within the split."""
-    return spark.read.text(path, lineSep="\n").select(
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_pos"),
-        F.col("value").alias("_line"),
-    )
+_ROWS = (
+    "_file string, _block bigint, _line bigint, _text binary, _size bigint, _blank boolean, _sure boolean,"
+    " _open boolean, _end_out int, _end_in int, _lines bigint, _decided boolean, _valid boolean"
+)
+_TYPES = {
+    "string": pa.string(),
+    "bigint": pa.int64(),
+    "binary": pa.binary(),
+    "boolean": pa.bool_(),
+    "int": pa.int32(),
+}
+_RECORDS = "_file string, _block bigint, _line bigint, _text binary, _blank boolean"
 
+_QUOTED, _FIELD = QUOTED.encode(), FIELD.encode()
+_OPENS = re.compile(b'(?:%b,)*+"%b' % (_FIELD, _QUOTED))
+_STAYS = re.compile(b'%b(?:"[^,]*+,(?:%b,)*+"%b)?+' % (_QUOTED, _FIELD, _QUOTED))
 
-def _with_effect(lines: DataFrame) -> DataFrame:
-    """Adds ``_from_out`` and ``_from_in``: 1 if the line ends inside a cell, by start state."""
-    line = F.col("_line")
-    opens = line.rlike(rf'^(?:{FIELD},)*+"{QUOTED}$')
-    stays = line.rlike(rf"^{QUOTED}$") | line.rlike(rf'^{QUOTED}"[^,]*+,(?:{FIELD},)*+"{QUOTED}$')
-    plain = ~line.contains('"')
-    return lines.withColumns(
-        {
-            "_from_out": F.when(plain, F.lit(0)).otherwise(opens.cast("int")),
-            "_from_in": F.when(plain, F.lit(1)).otherwise(stays.cast("int")),
-        }
-    )
 
+def state_after(line: bytes, inside: int) -> int:
+    """Whether a line ends inside a quoted cell (1) or not (0), from whether it starts inside one."""
+    if b'"' not in line:
+        return inside
+    return int((_STAYS if inside else _OPENS).fullmatch(line) is not None)
 
-def _with_state(rows: DataFrame, group: Sequence[str], *order: str) -> DataFrame:
-    """Adds the state after each row: ``_fixed`` if it is the same for both starts, ``_turns``.
 
-    State after a row = (``_fixed``, or the group's start state if that is NULL)
-    turned over ``_turns`` times.
-    """
-    through = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    fixes = F.col("_from_out") == F.col("_from_in")
-    turned = F.sum((F.col("_from_out") > F.col("_from_in")).cast("int")).over(through)
-    last_fix = F.last(
-        F.when(fixes, F.struct(F.col("_from_out").alias("value"), F.col("_turned").alias("turned"))),
-        ignorenulls=True,
-    ).over(through)
-    return (
-        rows.withColumn("_turned", turned)
-        .withColumn("_fix", last_fix)
-        .withColumn("_fixed", F.col("_fix.value"))
-        .withColumn("_turns", F.col("_turned") - F.coalesce(F.col("_fix.turned"), F.lit(0)))
-        .drop("_turned", "_fix")
-    )
+def _blank(text: bytes) -> bool:
+    short = text.strip()
+    return not short or (not 0x21 <= short[0] < 0x7F and short.decode("utf-8", "replace").isspace())
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [field.split() for field in schema.split(",")]
+    arrays = [pa.array(column, _TYPES[kind]) for column, (_, kind) in zip(zip(*rows), fields)]
+    return pa.RecordBatch.from_arrays(arrays, names=[name for name, _ in fields])
+
+
+class _Split:
+    """Records of one split as if it started outside a cell, and what both starts lead to."""
+
+    def __init__(self, file: str, block: int, most: int) -> None:
+        self.file, self.block, self.most = file, block, most
+        self.out, self.inside = 0, 1
+        self.lines = self.start = self.size = 0
+        self.held: list[bytes] = []
+        self.sure = self.decided = False
+        self.valid = True
+
+    def row(self, is_open: bool) -> tuple:
+        text = b"\n".join(self.held)
+        self.held, self.size = [], 0
+        found = (self.file, self.block, self.start, text, len(text), _blank(text), self.sure, is_open)
+        return (*found, *[None] * 5)
+
+    def add(self, line: bytes) -> tuple | None:
+        if not self.held:
+            self.start, self.sure = self.lines, self.decided and self.out == 0
+        if self.valid and not line.isascii():
+            try:
+                line.decode()
+            except UnicodeDecodeError:
+                self.valid = False
+        self.held.append(line)
+        self.lines += 1
+        self.size += len(line) + 1
+        self.out, self.inside = state_after(line, self.out), state_after(line, self.inside)
+        self.decided = self.decided or self.out == self.inside == 0
+        if self.out == 0:
+            return self.row(False)
+        # What is too long may only be so because the split starts inside a cell.
+        return self.row(True) if self.size > self.most else None
+
+    def end(self) -> list[tuple]:
+        rows = [self.row(True)] if self.held else []
+        summary = (self.out, self.inside, self.lines, self.decided, self.valid)
+        return [*rows, (self.file, self.block, *[None] * 6, *summary)]
+
+
+def _parse(most: int):
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split: _Split | None = None
+        for batch in batches:
+            rows: list[tuple] = []
+            for file, block, line in zip(*(column.to_pylist() for column in batch.columns)):
+                if split is None or block != split.block or file != split.file:
+                    rows += split.end() if split else []
+                    split = _Split(file, block, most)
+                if (row := split.add(line)) is not None:
+                    rows.append(row)
+            if rows:
+                yield _batch(rows, _ROWS)
+        if split is not None:
+            yield _batch(split.end(), _ROWS)
+
+    return parse
+
+
+def _joined_at(group: pa.Table) -> pa.Table:
+    """The records of one stretch that runs over split borders, from its lines."""
+    rows, held, inside, first = [], [], 0, None
+    for part in group.sort_by([("_block", "ascending"), ("_line", "ascending")]).to_pylist():
+        for i, line in enumerate(part["_text"].split(b"\n")):
+            first = first or (part["_file"], part["_block"], part["_line"] + i)
+            held.append(line)
+            inside = state_after(line, inside)
+            if not inside:
+                rows.append((*first, text := b"\n".join(held), _blank(text)))
+                held, first = [], None
+    if held:
+        rows.append((*first, text := b"\n".join(held), _blank(text)))
+    return pa.Table.from_batches([_batch(rows, _RECORDS)])
 
 
 def _state(start: Column) -> Column:
     return (F.coalesce(F.col("_fixed"), start) + F.col("_turns")) % 2
 
 
-def _splits(lines: DataFrame) -> DataFrame:
-    """One row per split: which lines belong to an earlier record, where that started, encoding.
+def _splits(parsed: DataFrame) -> DataFrame:
+    """One row per split: its start state, where its first lines belong, and the lines before it.
 
-    ``_head_end`` is the last line that belongs to an earlier record, NULL if
-    there is none; ``_home`` is the split where that record started.
+    A split keeps the state, turns it over, sets it or clears it; so the state
+    after it follows from the last one that set or cleared it and the turns since.
     """
-    every = lines.groupBy(*_SPLIT).agg(
-        F.min("_pos").alias("_first"),
-        F.max("_pos").alias("_last"),
-        F.bool_and(F.is_valid_utf8("_line")).alias("_valid"),
-    )
-    quotes = _with_state(lines.where(F.col("_line").contains('"')).drop("_line"), _SPLIT, "_pos")
-    closes = F.when(_state(F.lit(1)) == 0, F.col("_pos"))
-    effects = quotes.groupBy(*_SPLIT).agg(
-        F.max_by(_state(F.lit(0)), "_pos").cast("int").alias("_from_out"),
-        F.max_by(_state(F.lit(1)), "_pos").cast("int").alias("_from_in"),
-        F.min(closes).alias("_closed"),
-    )
-    splits = every.join(effects, list(_SPLIT), "left").withColumns(
-        {
-            "_from_out": F.coalesce("_from_out", F.lit(0)),
-            "_from_in": F.coalesce("_from_in", F.lit(1)),
-        }
-    )
+    summaries = parsed.where("_lines IS NOT NULL")
     by_block = Window.partitionBy("_file").orderBy("_block")
+    through = by_block.rowsBetween(Window.unboundedPreceding, 0)
     earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
-    starts = _with_state(splits, ("_file",), "_block").withColumn(
-        "_inside", F.coalesce(F.lag(_state(F.lit(0))).over(by_block), F.lit(0)) == 1
-    )
-    heads = starts.withColumn(
-        "_head_end", F.when(F.col("_inside"), F.coalesce("_closed", "_last"))
+    fixes = F.col("_end_out") == F.col("_end_in")
+    turned = F.sum((F.col("_end_out") > F.col("_end_in")).cast("int")).over(through)
+    last_fix = F.when(fixes, F.struct(F.col("_end_out").alias("value"), F.col("_turned").alias("turned")))
+    states = (
+        summaries.withColumn("_turned", turned)
+        .withColumn("_fix", F.last(last_fix, ignorenulls=True).over(through))
+        .withColumn("_fixed", F.col("_fix.value"))
+        .withColumn("_turns", F.col("_turned") - F.coalesce(F.col("_fix.turned"), F.lit(0)))
+        .withColumn("_inside", F.coalesce(F.lag(_state(F.lit(0))).over(by_block), F.lit(0)) == 1)
     )
-    has_record = F.coalesce(F.col("_head_end") < F.col("_last"), F.lit(True))
-    return heads.select(
-        *_SPLIT,
-        "_first",
-        "_last",
-        "_head_end",
-        F.last(F.when(has_record, F.col("_block")), ignorenulls=True).over(earlier).alias("_home"),
+    has_start = ~F.col("_inside") | F.col("_decided")
+    files = Window.orderBy("_file")  # one row for each split, as Spark's driver lists them anyway
+    return states.select(
+        "_file",
+        "_block",
+        "_inside",
+        F.last(F.when(has_start, F.col("_block")), ignorenulls=True).over(earlier).alias("_home"),
+        F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_lines_before"),
         F.min("_valid").over(Window.partitionBy("_file")).alias("_utf8"),
+        (F.dense_rank().over(files) - 1).cast("bigint").alias("_file_number"),
+        F.lit(1).alias("_rows"),
     )
 
 
-def _records(lines: DataFrame, splits: DataFrame) -> DataFrame:
-    """(_file, _start, _record, _utf8, _text): each record under the split in which it starts."""
-    # No hint: the split table is stored, so Spark compares its real size with
-    # the broadcast threshold.
-    placed = lines.join(splits, list(_SPLIT), "left")
-    is_known = F.coalesce(F.col("_pos").between(F.col("_first"), F.col("_last")), F.lit(False))
-    is_head = F.coalesce(F.col("_pos") <= F.col("_head_end"), F.lit(False))
-    start = (
-        F.when(~is_known, F.raise_error(F.lit(_MOVED)).cast("bigint"))
-        .when(is_head, F.col("_home"))
-        .otherwise(F.col("_block"))
-    )
-    group, order = ("_file", "_start"), ("_block", "_pos")
-    in_order = Window.partitionBy(*group).orderBy(*order)
-    stated = _with_state(placed.withColumn("_start", start), group, *order)
-    before = F.coalesce(F.lag(_state(F.lit(0))).over(in_order), F.lit(0))
-    so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
-    numbered = stated.withColumn("_begins", (before == 0).cast("int")).withColumn(
-        "_record", F.sum("_begins").over(so_far)
+def _records(spark: SparkSession, path: str, most: int) -> DataFrame:
+    """_file, _text, _blank, _utf8, _row_id of every record, header and blank ones included."""
+    lines = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.col("value").cast("binary").alias("_line"),
     )
-    lines_in_order = F.sort_array(F.collect_list(F.struct(*order, "_line")))
-    return numbered.groupBy(*group, "_record").agg(
-        F.first("_utf8").alias("_utf8"),
-        F.array_join(F.transform(lines_in_order, lambda one: one["_line"]), "\n").alias("_text"),
+    parsed = stored(lines.mapInArrow(_parse(most), _ROWS), "csv-records")
+    splits = stored(_splits(parsed), "csv-splits")
+    # Some 60 bytes for each split; beyond the bound they are shuffled with the records.
+    table = splits.withColumnsRenamed({"_file": "_its_file", "_block": "_its_block"})
+    table = F.broadcast(table) if measured(splits)[0] <= BROADCAST_BYTES else table
+    on = (F.col("_file") == F.col("_its_file")) & (F.col("_block") == F.col("_its_block"))
+    placed = parsed.where("_lines IS NULL").join(table, on)
+    right = ~F.col("_open") & (~F.col("_inside") | F.col("_sure"))
+    home = F.when(F.col("_inside") & ~F.col("_sure"), F.col("_home")).otherwise(F.col("_block"))
+    moving = placed.where(~right).withColumn("_at", home)
+    _check_sizes(moving, most)
+    apart = moving.select("_file", "_block", "_line", "_text", "_at").groupBy("_file", "_at")
+    joined = stored(apart.applyInArrow(_joined_at, _RECORDS), "csv-joined").join(table, on)
+    columns = (
+        "_file",
+        "_text",
+        "_blank",
+        "_utf8",
+        (F.shiftleft("_file_number", _FILE_BITS) + F.col("_lines_before") + F.col("_line")).alias("_row_id"),
     )
+    return placed.where(right).select(*columns).unionByName(joined.select(*columns))
+
+
+def _check_sizes(moving: DataFrame, most: int) -> None:
+    sizes = moving.groupBy("_file", "_at").agg(F.sum("_size").alias("_size"))
+    large = sizes.where(F.col("_size") > most).orderBy("_file", "_at").first()
+    if large is not None:
+        raise ValueError(
+            f"a record of over {most} bytes in {large['_file']}, from its split at byte {large['_at']} on:"
+            " is a quote never closed?"
+        )
+
+
+def column_names(header: str) -> list[str]:
+    """Names of a header record; an empty or repeated one gets its number, as Spark's reader does."""
+    names = next(csv.reader(io.StringIO(header.removeprefix("\ufeff"), newline="")))
+    counts = Counter(name.lower() for name in names)
+    return [
+        f"_c{i}" if not name else f"{name}{i}" if counts[name.lower()] > 1 else name
+        for i, name in enumerate(names)
+    ]
 
 
 def read_records(
-    spark: SparkSession, path: str, columns: Sequence[str], encoding: str = "UTF-8"
-) -> DataFrame:
-    """The columns of all records as text, and the corrupt-record text Spark's CSV reader would set."""
-    lines = _with_effect(_lines(spark, path))
-    splits = stored(_splits(lines), "splits")
-    is_header = (F.col("_start") == 0) & (F.col("_record") == 1)
-    records = _records(lines, splits).where(~is_header & is_not_blank(F.col("_text")))
-    raw = F.col("_text").cast("binary")
+    spark: SparkSession,
+    path: str,
+    encoding: str = "UTF-8",
+    row_id: str | None = None,
+    max_record_bytes: int = MAX_RECORD_BYTES,
+) -> tuple[list[str], DataFrame]:
+    """Column names, and the columns of all records as text, with the corrupt-record text of Spark's CSV reader.
+
+    Each file's first record that is not blank is its header; that of the first
+    file names the columns. ``row_id`` adds a BIGINT that a record has in every
+    reading of the same files.
+    """
+    if "\n".encode(encoding if encoding != "auto" else "utf-8") != b"\n":
+        raise ValueError(f"lines of {encoding} files cannot be told apart by the newline byte")
+    records = _records(spark, path, max_record_bytes)
+    text = F.col("_text").cast("string")
     if encoding == "auto":
-        text = F.when(F.col("_utf8"), F.col("_text")).otherwise(F.decode(raw, "ISO-8859-1"))
-    elif encoding.upper() in ("UTF-8", "UTF8"):
-        text = F.col("_text")
-    else:
-        text = F.decode(raw, encoding)
+        text = F.when(F.col("_utf8"), text).otherwise(F.decode("_text", "ISO-8859-1"))
+    elif encoding.upper() not in ("UTF-8", "UTF8"):
+        text = F.decode("_text", encoding)
+    texts = records.withColumn("_text", F.regexp_replace(text, r"\r\z", ""))
+    heads = records.where(~F.col("_blank")).groupBy(F.col("_file").alias("_group")).agg(
+        F.min("_row_id").alias("_head"), F.count("*").alias("_rows")
+    )
+    heads = stored(heads, "csv-heads")
+    first = heads.agg(F.min("_head")).first()[0]
+    if first is None:
+        raise ValueError(f"no columns to read from {path}")
+    columns = column_names(texts.where(F.col("_row_id") == first).first()["_text"])
+    bodies = with_group_values(texts, "_file", heads)
+    bodies = bodies.where((F.col("_row_id") > F.col("_head")) & is_not_blank(F.col("_text")))
     parsed = F.from_csv(
-        F.regexp_replace(text, r"\r\z", ""),
+        F.col("_text"),
         text_schema(columns),
         {**CSV_OPTIONS, "columnNameOfCorruptRecord": CORRUPT},
     )
     # As a generator's output the parsed row is made once; filters on its fields
     # would otherwise be pushed below the parsing and repeat it.
-    return records.select(F.inline(F.array(parsed)))
+    own_id = [] if row_id is None else [F.col("_row_id").alias(row_id)]
+    return columns, bodies.select(*own_id, F.inline(F.array(parsed)))

@@ -14,6 +14,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return file_system.exists(hadoop_path)
 
 
+def path_size(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or of all files in a folder."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    file_system = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return file_system.getContentSummary(hadoop_path).getLength()
+
+
 def resolve_source(spark: SparkSession, candidates: Sequence[str]) -> str:
     """The first candidate that exists."""
     for path in candidates:

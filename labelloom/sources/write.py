@@ -22,14 +22,8 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     )
 
 
-def land(df: DataFrame, path: str, row_id: str | None = None) -> DataFrame:
-    """Write a table as Parquet and read it back, to be worked on instead of its CSV.
-
-    ``row_id`` adds a unique BIGINT, fixed by this write, for tables that have no
-    key of their own.
-    """
-    if row_id is not None:
-        df = df.withColumn(row_id, F.monotonically_increasing_id())
+def land(df: DataFrame, path: str) -> DataFrame:
+    """Write a table as Parquet and read it back, to be worked on instead of its CSV."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import io
 import random
 
 import pandas as pd
@@ -7,9 +8,12 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from labelloom.sources.contracts import invalid_files, read_contracts
+from labelloom.operators.sampling import sample_exact
+from labelloom.plans.flows import read_and_land
+from labelloom.sources.contracts import read_contracts
 from labelloom.sources.resolve import first_csv, require_columns, resolve_source
-from labelloom.sources.write import config_table, export_split_text, land, with_config, write_config, write_csv
+from labelloom.sources.write import config_table, export_split_text, with_config, write_config, write_csv
+from tests.conftest import plan
 
 HEADER = "filename,code,label_encoded\n"
 BODY = """a,ok,5
@@ -35,7 +39,7 @@ KEPT = {
     ("w", None, "2"),
     ("x", '5" pipe', "4"),
 }
-READERS = {"whole files": {}, "split files": {"split_above": 0}}
+SIZES = [None, 200]
 
 
 @pytest.fixture
@@ -52,23 +56,29 @@ def small_splits(spark):
     """Splits of a few bytes, so that records run over many of them."""
     names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
     before = {name: spark.conf.get(name) for name in names}
-    yield lambda size: [spark.conf.set(names[0], str(size)), spark.conf.set(names[1], "0")]
+
+    def set_size(size):
+        if size is not None:
+            spark.conf.set(names[0], str(size))
+            spark.conf.set(names[1], "0")
+
+    yield set_size
     for name, value in before.items():
         spark.conf.set(name, value)
 
 
-@pytest.mark.parametrize("options", READERS.values(), ids=READERS.keys())
-def test_bad_lines_are_skipped(spark, write, options):
-    rows = read_contracts(spark, write(HEADER + BODY), "skip", **options)
+@pytest.mark.parametrize("size", SIZES)
+def test_bad_lines_are_skipped(spark, write, small_splits, size):
+    small_splits(size)
+    rows = read_contracts(spark, write(HEADER + BODY), "skip")
     assert set(map(tuple, rows.collect())) == KEPT
     assert rows.count() == len(KEPT)
     assert rows.select("label_encoded").count() == len(KEPT)
 
 
-@pytest.mark.parametrize("options", READERS.values(), ids=READERS.keys())
-def test_bad_lines_raise_when_strict(spark, write, options):
+def test_bad_lines_raise_when_strict(spark, write):
     with pytest.raises(PySparkException, match="more than 3 fields"):
-        read_contracts(spark, write(HEADER + BODY), **options).collect()
+        read_contracts(spark, write(HEADER + BODY)).collect()
 
 
 def cell(rnd, newline):
@@ -81,71 +91,95 @@ def cell(rnd, newline):
     return '"' + "".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 12))) + '"'
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_readers_agree_with_pandas(spark, write, small_splits, seed):
-    rnd = random.Random(seed)
-    newline = ["\n", "\r\n"][seed % 2]
-    lines = [HEADER.strip()]
-    for i in range(rnd.randint(3, 60)):
+def generated(rnd, newline):
+    lines = rnd.choice([[], [], [""], ["", "  "]]) + [HEADER.strip()]
+    for i in range(rnd.randint(3, 40)):
         fields = 3 if i == 0 else rnd.choice([3, 3, 3, 3, 2, 4, 1, 5])
         lines.append(",".join([str(i)] + [cell(rnd, newline) for _ in range(fields - 1)]))
         if rnd.random() < 0.1:
             lines.append(rnd.choice(["", " ", "   "]))
-    path = write(newline.join(lines) + rnd.choice(["", newline]))
-    frame = pd.read_csv(f"{path}/a.csv", on_bad_lines="skip", engine="python", dtype=str)
-    expected = [tuple(None if pd.isna(c) else c for c in row) for row in frame.itertuples(index=False)]
-    small_splits(rnd.choice([17, 64, 200]))
-    for options in READERS.values():
-        got = read_contracts(spark, path, "skip", **options).collect()
-        assert sorted(map(tuple, got), key=str) == sorted(expected, key=str)
+    return newline.join(lines) + rnd.choice(["", newline])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_mixed_folders_agree_with_pandas(spark, write, small_splits, seed):
+    rnd = random.Random(seed)
+    expected = []
+    for name in ("a.csv", "b.csv", "c.csv")[: 1 + seed % 3]:
+        path = write(generated(rnd, rnd.choice(["\n", "\r\n"])), name)
+        # Lines of white space alone are blank here, and only then is the next one the header.
+        text = open(f"{path}/{name}", newline="").read().lstrip()
+        frame = pd.read_csv(io.StringIO(text, newline=""), on_bad_lines="skip", engine="python", dtype=str)
+        expected += [tuple(None if pd.isna(c) else c for c in row) for row in frame.itertuples(index=False)]
+    ids = set()
+    for size in SIZES:
+        small_splits(size)
+        got = read_contracts(spark, path, "skip", row_id="row_id").collect()
+        assert sorted((tuple(r)[1:] for r in got), key=str) == sorted(expected, key=str)
+        assert len({r.row_id for r in got}) == len(got)
+        ids.add(tuple(sorted((r.row_id, tuple(r)[1:]) for r in got)) if got else ())
+    assert len(ids) == 1
 
 
 def test_a_cell_larger_than_many_splits(spark, write, small_splits):
-    body = "line, with ""quotes""\n".replace('"', '""') * 500
+    body = "line, with ""quotes""\n".replace('"', '""') * 100
     path = write(HEADER + f'a,"{body}",1\nb,x,2\nc,"{body}",3\n')
     small_splits(100)
-    got = {r.filename: (r.code, r.label_encoded) for r in read_contracts(spark, path, split_above=0).collect()}
+    got = {r.filename: (r.code, r.label_encoded) for r in read_contracts(spark, path).collect()}
     text = body.replace('""', '"')
     assert got == {"a": (text, "1"), "b": ("x", "2"), "c": (text, "3")}
 
 
-@pytest.mark.parametrize("before, after", [(64, 100), (100, 64), (64, 128), (128, 64)])
-def test_changed_splits_end_the_query(spark, write, small_splits, before, after):
+@pytest.mark.parametrize("before, after", [(200, 300), (300, 200)])
+def test_splits_may_change_after_reading(spark, write, small_splits, before, after):
     path = write(HEADER + "".join(f'{i},"text,\n{i}",1\n' for i in range(50)))
     small_splits(before)
-    rows = read_contracts(spark, path, split_above=0)
+    rows = read_contracts(spark, path)
     small_splits(after)
-    with pytest.raises(PySparkException, match="splits changed"):
-        rows.collect()
-    small_splits(before)
-    assert rows.count() == 50
+    assert sorted(int(r.filename) for r in rows.collect()) == list(range(50))
+
 
+@pytest.mark.parametrize("size", SIZES)
+def test_a_quote_never_closed(spark, write, small_splits, size):
+    path = write(HEADER + 'a,x,1\nb,"open,2\n' + "c,y,3\n" * 40)
+    small_splits(size)
+    got = {r.filename: r.code for r in read_contracts(spark, path, "skip").collect()}
+    assert got == {"a": "x", "b": "open,2\n" + "c,y,3\n" * 39 + "c,y,3"}
+    with pytest.raises((ValueError, PySparkException), match=r"over 100 bytes in file.*a\.csv"):
+        read_contracts(spark, path, "skip", max_record_bytes=100)
 
-def test_one_shuffle_for_split_files(spark, write):
-    from tests.conftest import plan
 
-    text = plan(read_contracts(spark, write(HEADER + BODY), "skip", split_above=0))
-    assert text.count("Exchange hashpartitioning") == 1
-    assert text.count("from_csv") == 1
+def test_records_stay_where_they_were_read(spark, write):
+    text = plan(read_contracts(spark, write(HEADER + BODY), "skip"))
+    assert "Exchange hashpartitioning" not in text and "Sort" not in text
+    assert text.count("from_csv") <= 2  # records of one split, and those over several
 
 
-@pytest.mark.parametrize("options", READERS.values(), ids=READERS.keys())
-def test_encoding_fallback_is_per_file(spark, write, options):
+def test_encoding_fallback_is_per_file(spark, write):
     write(HEADER + "a,é€😀,1\n", "a.csv", "utf-8")
     path = write(HEADER + 'b,"grün\n, straße",2\nc,plain,3\n', "b.csv", "latin-1")
-    got = read_contracts(spark, path, encoding="auto", **options).collect()
+    got = read_contracts(spark, path, encoding="auto").collect()
     assert set(map(tuple, got)) == {("a", "é€😀", "1"), ("b", "grün\n, straße", "2"), ("c", "plain", "3")}
-    named = [r._group.rsplit("/", 1)[1] for r in invalid_files(spark, path).collect()]
-    assert named == ["b.csv"]
 
 
-@pytest.mark.parametrize("options", READERS.values(), ids=READERS.keys())
-def test_named_encoding_and_byte_order_mark(spark, write, options):
+def test_named_encoding_and_byte_order_mark(spark, write):
     path = write(HEADER + "a,grün,1\n", encoding="latin-1")
-    got = read_contracts(spark, path, encoding="ISO-8859-1", **options).collect()
+    got = read_contracts(spark, path, encoding="ISO-8859-1").collect()
     assert [tuple(r) for r in got] == [("a", "grün", "1")]
-    path = write("﻿" + HEADER + "a,x,1\n")
-    assert read_contracts(spark, path, **options).columns == ["filename", "code", "label_encoded"]
+    path = write("\ufeff" + HEADER + "a,x,1\n")
+    assert read_contracts(spark, path).columns == ["filename", "code", "label_encoded"]
+    with pytest.raises(ValueError, match="newline"):
+        read_contracts(spark, path, encoding="UTF-16LE")
+
+
+def test_a_landed_row_keeps_its_id(spark, write, small_splits, tmp_path):
+    path = write(HEADER + "".join(f'{i},"cell\n{i}",1\n' for i in range(400)))
+    samples = []
+    for size in (300, 5000):
+        small_splits(size)
+        landed = read_and_land(spark, [path], str(tmp_path / f"landed-{size}"))
+        samples.append({r.filename for r in sample_exact(landed, 50, 42, "row_id").collect()})
+    assert samples[0] == samples[1]
 
 
 def test_missing_and_unreadable_sources(spark, tmp_path):
@@ -179,11 +213,9 @@ def test_require_columns(spark):
 def test_written_csv_reads_back(spark, tmp_path):
     cells = ["  edges  ", 'q"uo""te', "a,b", "line\nline\r\nline\rline", "\\back\\", "\t", None, "é😀"]
     rows = spark.createDataFrame([(str(i), c, "1") for i, c in enumerate(cells)], "filename string, code string, label_encoded string")
-    for name, options in READERS.items():
-        path = str(tmp_path / name.replace(" ", "-"))
-        write_csv(rows, path)
-        back = read_contracts(spark, path, **options)
-        assert [r.code for r in back.orderBy("filename").collect()] == cells
+    path = str(tmp_path / "written")
+    write_csv(rows, path)
+    assert [r.code for r in read_contracts(spark, path).orderBy("filename").collect()] == cells
 
 
 def test_config(spark, tmp_path):
@@ -198,14 +230,6 @@ def test_config(spark, tmp_path):
     assert with_config(figures, config).first().asDict() == {**config, "rows": 3}
 
 
-def test_land_gives_each_row_a_lasting_id(spark, tmp_path):
-    rows = spark.range(1000).repartition(5).select(F.col("id").cast("string").alias("code"))
-    landed = land(rows, str(tmp_path / "landed"), "row_id")
-    first = {r.code: r.row_id for r in landed.collect()}
-    assert len(set(first.values())) == 1000
-    assert {r.code: r.row_id for r in landed.repartition(3).collect()} == first
-
-
 def test_export_has_one_folder_per_part(spark, tmp_path):
     rows = spark.createDataFrame([("train", "a", 1), ("test", "b", 2)], "split string, text string, x int")
     path = tmp_path / "out"
