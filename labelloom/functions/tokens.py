@@ -64,6 +64,57 @@ def encoded(text: Column, factory: Callable[[], EncodeBatch], max_length: int) -
     return encode.asNondeterministic()(text)
 
 
+class CodePoints:
+    """Tokenizer factory: one token per code point."""
+
+    def __call__(self) -> EncodeBatch:
+        return lambda texts: [np.frombuffer(one.encode("utf-32-le"), np.uint32) for one in texts]
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, CodePoints)
+
+    def __hash__(self) -> int:
+        return hash(CodePoints)
+
+
+_PART = 256  # rows made into padded arrays at a time
+
+
+def training_arrays(
+    text: Column, factory: Callable[[], EncodeBatch], max_length: int, pad: int
+) -> Column:
+    """(input_ids, attention_mask, labels, n_tokens), all of ``max_length``, in one pass over the text."""
+
+    @F.arrow_udf("input_ids array<int>, attention_mask array<int>, labels array<int>, n_tokens int")
+    def make(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encode_batch = built(factory)
+        for texts in batches:
+            yield pa.concat_arrays(
+                [_padded(texts.slice(start, _PART), encode_batch) for start in range(0, len(texts), _PART)]
+                or [_padded(texts, encode_batch)]
+            )
+
+    def _padded(texts: pa.Array, encode_batch: EncodeBatch) -> pa.StructArray:
+        missing = texts.is_null().to_numpy(zero_copy_only=False)
+        ids = encode_batch(texts.drop_null().to_pylist())
+        rows = np.full((len(texts), max_length), pad, np.int32)
+        mask = np.zeros_like(rows)
+        for place, one in zip(np.flatnonzero(~missing), ids):
+            kept = np.asarray(one[:max_length], np.int32)
+            rows[place, : len(kept)] = kept
+            mask[place, : len(kept)] = 1
+        labels = np.where(rows == pad, IGNORED_LABEL, rows).astype(np.int32)
+        offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * max_length)
+        nulls = pa.array(missing)
+        arrays = [
+            pa.ListArray.from_arrays(offsets, pa.array(one.ravel()), mask=nulls) for one in (rows, mask, labels)
+        ]
+        names = ["input_ids", "attention_mask", "labels", "n_tokens"]
+        return pa.StructArray.from_arrays([*arrays, _counts(texts, ids)], names)
+
+    return make.asNondeterministic()(text)
+
+
 def token_count(text: Column, factory: Callable[[], EncodeBatch] | None = None) -> Column:
     if factory is None:
         return F.length(text)

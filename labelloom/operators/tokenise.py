@@ -29,6 +29,19 @@ def tokenise(
     return tokens.select(*keep, "_tokens.*")
 
 
+def training_rows(
+    df: DataFrame,
+    text: str,
+    max_length: int,
+    pad: int,
+    tokenizer: Callable[[], tk.EncodeBatch] = tk.CodePoints(),
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """``input_ids``, ``attention_mask``, ``labels`` and ``n_tokens`` together, from one pass over the texts."""
+    rows = df.select(*keep, tk.training_arrays(F.col(text), tokenizer, max_length, pad).alias("_arrays"))
+    return rows.select(*keep, "_arrays.*")
+
+
 def pad_mask(df: DataFrame, max_length: int, pad: int) -> DataFrame:
     """``input_ids`` filled up to ``max_length``, and ``attention_mask``."""
     mask = tk.attention_mask(F.col("input_ids"), max_length)

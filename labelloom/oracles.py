@@ -307,6 +307,19 @@ SELECT doc_id, label_encoded, split, concat({_LONG_BEFORE}, code, {_text(LONG.af
 FROM parted""",
 }
 
+_ORACLES["prepare_tokens"] = f"""WITH {_SPLIT}, {_LINES},
+texts AS (
+  SELECT doc_id, split, concat({_LONG_BEFORE}, code, {_text(LONG.after)}, ' ', CAST(label_encoded AS VARCHAR)) AS text
+  FROM parted),
+cut AS (
+  SELECT doc_id, split, CAST(length(text) AS INT) AS n_tokens,
+    list_transform(string_split(substr(text, 1, 2048), ''), lambda x: unicode(x)) AS ids
+  FROM texts)
+SELECT doc_id, split, n_tokens, CAST(list_resize(ids, 2048, 0) AS VARCHAR) AS input_ids,
+  CAST(list_transform(range(1, 2049), lambda i: CASE WHEN i <= n_tokens THEN 1 ELSE 0 END) AS VARCHAR) AS attention_mask,
+  CAST(list_transform(list_resize(ids, 2048, 0), lambda x: CASE WHEN x = 0 THEN -100 ELSE x END) AS VARCHAR) AS labels
+FROM cut"""
+
 _LANGUAGES = f"""classed AS (
   SELECT doc_id, text AS code, CAST(CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 WHEN 'fr' THEN 3 END
     AS INT) AS label_encoded

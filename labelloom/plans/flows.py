@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.functions.prompts import prompt
+from labelloom.functions.tokens import CodePoints, EncodeBatch
 from labelloom.functions.wording import LABEL_NAMES, LONG, SHORT, Wording
 from labelloom.operators.classify import Scorer, classify_table, classify_with_model
 from labelloom.operators.clean import clean, number_of
@@ -24,6 +25,7 @@ from labelloom.operators.sampling import (
     sample_exact,
     stratified_split,
 )
+from labelloom.operators.tokenise import training_rows
 from labelloom.sources.contracts import read_contracts
 from labelloom.sources.resolve import require_columns, resolve_source
 from labelloom.sources.write import export_split_text, land, with_config, write_config, write_csv
@@ -102,6 +104,26 @@ def prepare(
     return split.withColumn("text", prompt(F.col(code), F.col(label), settings.wording, names))
 
 
+def prepare_tokens(
+    rows: DataFrame,
+    key: str,
+    output: str,
+    settings: Settings = Settings(),
+    tokenizer: Callable[[], EncodeBatch] = CodePoints(),
+    pad: int = 0,
+    **columns: object,
+) -> DataFrame:
+    """Prepare, and write padded token arrays with training labels, one folder for each part.
+
+    Arrays have ``settings.max_length`` tokens; ``n_tokens`` is the whole text's
+    number. ``columns`` are those of ``prepare``.
+    """
+    prepared = prepare(rows, key, settings, **columns)
+    arrays = training_rows(prepared, "text", settings.max_length, pad, tokenizer, keep=(key, "split"))
+    arrays.write.partitionBy("split").parquet(output)
+    return rows.sparkSession.read.schema(arrays.schema).parquet(output)
+
+
 def read_and_land(
     spark: SparkSession,
     candidates: Sequence[str],

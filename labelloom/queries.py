@@ -29,7 +29,14 @@ from labelloom.operators.classify import (
     classify_with_model,
 )
 from labelloom.operators.model import fit_classifier, load_model, save_model, select_model
-from labelloom.plans.flows import PRESETS, Settings, classify_file, prepare, train_and_evaluate
+from labelloom.plans.flows import (
+    PRESETS,
+    Settings,
+    classify_file,
+    prepare,
+    prepare_tokens,
+    train_and_evaluate,
+)
 from labelloom.shared import new_path
 from labelloom.sources.contracts import read_contracts
 from labelloom.sources.resolve import path_size, require_columns
@@ -611,6 +618,13 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "label_encoded", "split", "text")
 
 
+def tokens_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From raw contracts to written token arrays with training labels."""
+    rows = prepare_tokens(contracts(spark, sf_dir), "doc_id", new_path(spark, "tokens"))
+    arrays = ("input_ids", "attention_mask", "labels")
+    return rows.select("doc_id", "split", "n_tokens", *map(as_text, arrays))
+
+
 def _prepared_preset(name: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = prepare(_labelled_documents(spark, sf_dir), "doc_id", PRESETS[name])
@@ -697,6 +711,7 @@ QUERIES: dict[str, Query] = {
     "model_selection": model_selection,
     "classify_file_model": classify_file_model,
     "prepare": prepared,
+    "prepare_tokens": tokens_prepared,
     "prepare_low_memory": _prepared_preset("low_memory"),
     "prepare_least_memory": _prepared_preset("least_memory"),
     "train_and_evaluate": train_evaluated,

@@ -4,6 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from labelloom.functions.tokens import CodePoints
 from labelloom.functions.workers import built
 from labelloom.operators import tokenise as tk
 from labelloom.queries import UTF8_BYTES
@@ -59,3 +60,13 @@ def test_objects_are_built_once():
     calls = []
     factory = lambda: calls.append(1) or np.zeros(1)
     assert built(factory) is built(factory) and calls == [1]
+
+
+def test_one_pass_gives_what_the_steps_give(spark):
+    texts = ["ab", None, "", "abcdef", "b" * 700]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 60)], "i int, t string")
+    steps = tk.lm_labels(tk.pad_mask(tk.tokenise(rows, "t", 5, UTF8_BYTES, keep=("i",)), 5, 98), 98)
+    columns = ["i", "input_ids", "attention_mask", "labels", "n_tokens"]
+    for tokenizer in (UTF8_BYTES, CodePoints()):
+        got = tk.training_rows(rows, "t", 5, 98, tokenizer, keep=("i",))
+        assert got.select(*columns).orderBy("i").collect() == steps.select(*columns).orderBy("i").collect()
