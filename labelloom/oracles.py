@@ -133,6 +133,11 @@ SELECT CAST(doc_id AS VARCHAR) AS filename,
   CASE WHEN text NOT IN ({", ".join(map(_text, MISSING_MARKERS))}) THEN text END AS code,
   CASE WHEN lang <> 'de' THEN lang END AS label_encoded
 FROM documents WHERE lang NOT IN ('es', 'fr')""",
+    "resolve_source": f"""WITH {_CONTRACTS}
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, label_encoded FROM contracts""",
+    "strict_label": """
+SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(substr(o_orderpriority, 1, 1) AS INT) END AS label
+FROM orders""",
     "csv_mixed_line_ends": """
 SELECT CAST(doc_id AS VARCHAR) AS doc_id, nullif(text, '') AS text, lang FROM documents""",
     "csv_encoding_fallback": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, nullif(text, '') AS text, lang FROM documents",

@@ -39,7 +39,7 @@ from labelloom.plans.flows import (
 )
 from labelloom.shared import new_path
 from labelloom.sources.contracts import read_contracts
-from labelloom.sources.resolve import path_size, require_columns
+from labelloom.sources.resolve import path_size, require_columns, resolve_source
 from labelloom.sources.write import export_split_text, with_config, write_config, write_csv
 from labelloom.streaming.classify import classify_stream, write_available
 
@@ -151,6 +151,14 @@ def csv_mixed_line_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_contracts(spark, path, markers=("NA", ""))
 
 
+def resolve_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of several places that holds a source, and what is read from it."""
+    path, absent = new_path(spark, "contracts-csv"), new_path(spark, "absent")
+    write_csv(contracts(spark, sf_dir), path)
+    rows = read_contracts(spark, resolve_source(spark, [absent, path]))
+    return require_columns(rows).select("doc_id", "label_encoded")
+
+
 def _quoted(col: str) -> Column:
     return F.concat(F.lit('"'), F.replace(F.col(col), F.lit('"'), F.lit('""')), F.lit('"'))
 
@@ -252,6 +260,14 @@ def coerce_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cl.coerce_label(rows, "label_encoded").select("doc_id", "number", "label_encoded")
 
 
+def strict_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that must be whole numbers: the digits of order priorities, and some missing ones."""
+    cell = F.when(F.col("o_orderkey") % 7 != 0, F.substring("o_orderpriority", 1, 1))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", tx.to_label_or_raise(tx.to_number(cell), cell).alias("label")
+    )
+
+
 def label_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cl.coerce_label(contracts(spark, sf_dir), "label_encoded")
     return cl.keep_domain(rows, "label_encoded").select("doc_id", "label_encoded")
@@ -659,6 +675,7 @@ QUERIES: dict[str, Query] = {
     "csv_mixed_line_ends": csv_mixed_line_ends,
     "csv_skip_bad_lines": csv_skip_bad_lines,
     "csv_encoding_fallback": csv_encoding_fallback,
+    "resolve_source": resolve_candidates,
     "nullify_markers": nullify_markers,
     "validate_dataset": validate_dataset,
     "run_config": run_config,
@@ -666,6 +683,7 @@ QUERIES: dict[str, Query] = {
     "drop_missing": drop_missing,
     "drop_blank": drop_blank,
     "coerce_label": coerce_label,
+    "strict_label": strict_label,
     "label_domain": label_domain,
     "clean_tolerant": clean_tolerant,
     "clean_strict": clean_strict,
