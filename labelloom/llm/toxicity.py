@@ -120,14 +120,18 @@ def features(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in range(SHORTEST_BEGINNING, longest + 1))]
 
 
+_NOTHING = (_OTHER, 0.0)
+_KEPT_TAGS = 100_000
+
+
 class _Tags(dict):
-    """Tag and weight of a token, worked out at its first use."""
+    """Tag and weight of a token, worked out at its first use; the latest ``_KEPT_TAGS`` are kept."""
 
     def __init__(self, lexicon: Mapping[str, float]) -> None:
         self.lexicon = lexicon
 
     def __missing__(self, token: str) -> tuple[int, float]:
-        if len(self) > 500_000:
+        if len(self) >= _KEPT_TAGS:
             self.clear()
         self[token] = found = self._tag(token)
         return found
@@ -139,7 +143,7 @@ class _Tags(dict):
         if weight:
             return _HARM, weight
         lists = ((_NEG, NEGATION), (_REPORT, REPORTING), (_TARGET, TARGETS), (_INTENT, INTENT), (_THREAT, THREATS))
-        return next((tag for tag, words in lists if token in words), _OTHER), 0.0
+        return next(((tag, 0.0) for tag, words in lists if token in words), _NOTHING)
 
 
 @dataclass
@@ -221,7 +225,14 @@ def _lexicon(counts: list[tuple[str, float, float]], base: float, tried: float =
     bound = _lower_bound(toxic, rows)
     weights = np.log(bound / (1 - bound)) - math.log(base / (1 - base))
     sure = _surprise(toxic, rows, base) >= math.log(max(tried, 2.0))
-    return {name: float(weight) for name, weight, ok in zip(names, weights, sure) if ok and weight > 0}
+    found = {name: float(weight) for name, weight, ok in zip(names, weights, sure) if ok and weight > 0}
+    # Nor does it count if it tells much less than one of those: others begin so too.
+    best: dict[str, float] = {}
+    for name, weight in found.items():
+        for one in features(name.rstrip("*")):
+            if one.endswith("*") and one != name:
+                best[one] = max(best.get(one, 0.0), weight)
+    return {name: weight for name, weight in found.items() if weight >= best.get(name, 0.0) - 1.0}
 
 
 def _fitted(evidence: np.ndarray, toxic: np.ndarray, rows: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -236,8 +247,9 @@ def _fitted(evidence: np.ndarray, toxic: np.ndarray, rows: np.ndarray, ridge: fl
         weights = weights - step
         if np.abs(step).max() < 1e-8:
             break
-    # More evidence never lowers a score.
+    # More evidence never lowers a score, and an insult aimed at someone is no milder.
     weights[1:] = np.maximum(weights[1:], 0.0)
+    weights[1 + AIMED] = max(weights[1 + AIMED], weights[1 + PLAIN])
     return weights
 
 
@@ -253,8 +265,14 @@ def _sample_rows(df: DataFrame, labels: DataFrame, key: str, text: str, label: s
     return rows.select("_text", F.col("_toxic").cast("int").alias("_toxic"), fold.alias("_fold"))
 
 
-def _read_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """The batches in small parts, since what is made of a text is larger than the text."""
     for batch in batches:
+        yield from (batch.slice(start, rows) for start in range(0, len(batch), rows))
+
+
+def _read_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _sliced(batches):
         found, hashes = [], []
         for text in batch.column(0).to_pylist():
             words = [token for token in _TOKENS.findall(text.lower()) if token[0].isalpha()]
@@ -319,7 +337,7 @@ def fit_grammar(
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A row is read with the lexicon of the other fold.
         readers = [_Reader(lexicons[1]), _Reader(lexicons[0])]
-        for batch in batches:
+        for batch in _sliced(batches):
             texts, folds = batch.column(0).to_pylist(), batch.column(3).to_pylist()
             values = [readers[fold].evidence(one).tolist() for one, fold in zip(texts, folds)]
             arrays = [batch.column(1), batch.column(2), pa.array(values, pa.list_(pa.float64()))]
