@@ -74,61 +74,87 @@ def _in_blocks(rows: DataFrame, size: int, dims: int, name: str) -> tuple[DataFr
     return stored(numbered.groupBy("_block").applyInArrow(_blocked(dims), _BLOCK), name), blocks
 
 
+#: Largest score up to which sums of products are exact in double precision.
+_EXACT = 1 << 53
+_CHECKS = 32
+
+
 class SortedLists:
     """The lists of one block of candidates."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         self.ids, self.vectors = ids, vectors
+        self.numbers = vectors.astype(np.float64)
         self.order = np.argsort(vectors, axis=0, kind="stable")  # per dimension, smallest first
-        self.sorted = np.take_along_axis(vectors, self.order, axis=0)
+        self.sorted = np.take_along_axis(self.numbers, self.order, axis=0)
+        depths = np.ceil(np.linspace(0, len(vectors), _CHECKS + 1)[1:]).astype(int)
+        self.checks = np.unique(depths[depths > 0])
         self.depths: list[int] = []  # how far each query read
 
-    def search(self, query: np.ndarray, k: int, passed: tuple[int, int] | None, skip: int) -> np.ndarray:
+    def _read(self, lists: np.ndarray, down: np.ndarray, upto: int) -> np.ndarray:
+        """The first ``upto`` entries of every list, from the end that suits the query."""
+        return np.where(down, lists[::-1][:upto], lists[:upto])
+
+    def search(self, query: np.ndarray, k: int, passed: int | None, skip: int) -> np.ndarray:
         """Places of the candidates that may be among the ``k`` best, ``skip`` being no candidate.
 
-        ``passed`` is the score and id of the k-th best of other blocks.
+        ``passed`` is the k-th best score of other blocks. Equal bounds stay in: ids
+        decide at the end.
         """
-        n, dims = self.vectors.shape
-        down = query > 0
-        least = np.where(down, self.sorted[0], self.sorted[-1]) * query
-        known = np.zeros(n, np.int64)
-        missing_least = np.full(n, least.sum())
-        met = np.zeros((n, dims), bool)
+        n = len(self.ids)
         alive = self.ids != skip
-        columns = np.arange(dims)
-        depth, step = 0, 16
-        while depth < n:
-            upto = min(n, depth + step)
-            places = np.where(down, self.order[::-1][depth:upto], self.order[depth:upto])
-            values = np.where(down, self.sorted[::-1][depth:upto], self.sorted[depth:upto]) * query
-            np.add.at(known, places.ravel(), values.ravel())
-            np.subtract.at(missing_least, places.ravel(), np.broadcast_to(least, values.shape).ravel())
-            met[places, columns] = True
-            depth, step = upto, step * 2
-            frontier = values[-1]
-            rows = np.flatnonzero(alive)
-            if not len(rows):
-                break
-            lower = known[rows] + missing_least[rows]
-            upper = known[rows] + frontier.sum() - met[rows] @ frontier
-            bar = np.iinfo(np.int64).min
-            if len(rows) >= k:
-                bar = int(np.partition(lower, len(rows) - k)[len(rows) - k])
-            if passed is not None:
-                bar = max(bar, passed[0])
-            # Equal bounds stay in: ids decide at the end.
-            alive[rows[upper < bar]] = False
-            # The bound of an outsider, met in no list yet, is the sum of the frontier.
-            if frontier.sum() < bar:
-                break
+        down = query > 0
+        # The product that reading has come to in each list, at some depths.
+        edges = np.where(down, self.sorted[::-1][self.checks - 1], self.sorted[self.checks - 1]) * query
+        if passed is not None:
+            # The bound of an outsider, met in no list yet, is the sum of the edges.
+            bar = passed
+            at = int(np.argmax(edges.sum(axis=1) < bar)) if (edges.sum(axis=1) < bar).any() else len(edges) - 1
+        else:
+            at, bar = self._first_bar(query, k, alive, down, edges)
+        depth = int(self.checks[at]) if n else 0
         self.depths.append(depth)
-        return np.flatnonzero(alive)
+        if depth == n:
+            return np.flatnonzero(alive)
+        places = self._read(self.order, down, depth).ravel()
+        gained = self._read(self.sorted, down, depth) * query - edges[at]
+        upper = edges[at].sum() + np.bincount(places, gained.ravel(), n)
+        return np.flatnonzero(alive & (upper >= bar))
+
+    def _first_bar(
+        self, query: np.ndarray, k: int, alive: np.ndarray, down: np.ndarray, edges: np.ndarray
+    ) -> tuple[int, float]:
+        """Where reading stops by the candidates' own lower bounds, and the k-th best of those."""
+        n, bar = len(self.ids), -np.inf
+        least = np.where(down, self.sorted[0], self.sorted[-1]) * query if n else query
+        at = max(0, len(edges) // 8 - 1)
+        while at < len(edges) - 1:
+            depth = int(self.checks[at])
+            places = self._read(self.order, down, depth).ravel()
+            gained = self._read(self.sorted, down, depth) * query - least
+            lower = (least.sum() + np.bincount(places, gained.ravel(), n))[alive]
+            if len(lower) >= k:
+                bar = float(np.partition(lower, len(lower) - k)[len(lower) - k])
+            if edges[at].sum() < bar:
+                break
+            at = min(len(edges) - 1, 2 * at + 1)
+        return at, bar
 
     def best(self, query: np.ndarray, k: int, passed: tuple[int, int] | None, skip: int) -> list[tuple[int, int]]:
         """Score and id of the best that can be among the ``k`` best of all, best first."""
-        places = self.search(query, k, passed, skip)
-        scores = self.vectors[places] @ query
+        largest = int(np.abs(self.vectors).max(initial=0)) * int(np.abs(query).max(initial=0)) * max(len(query), 1)
+        if largest >= _EXACT:
+            places = np.flatnonzero(self.ids != skip)
+            scores = self.vectors[places] @ query
+        else:
+            numbers = query.astype(np.float64)
+            places = self.search(numbers, k, passed[0] if passed else None, skip)
+            some = self.numbers[places] @ numbers if 2 * len(places) < len(self.ids) else (self.numbers @ numbers)[places]
+            scores = some.astype(np.int64)
         ids = self.ids[places]
+        if len(places) > k:
+            near = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+            scores, ids = scores[near], ids[near]
         return [(int(scores[i]), int(ids[i])) for i in np.lexsort((ids, -scores))[:k]]
 
 
@@ -152,7 +178,7 @@ def _search(k: int, dims: int):
                 if largest * max(dims, 1) >= 1 << 62:
                     raise OverflowError("inner products beyond 64 bits")
                 for i, (query_id, query) in enumerate(zip(query_ids.tolist(), query_vectors)):
-                    passed = held[i][k - 1] if len(held[i]) == k else None
+                    passed = held[i][-1] if len(held[i]) == k else None
                     more = lists.best(query, k, passed, query_id)
                     held[i] = sorted(held[i] + more, key=_rank)[:k]
         rows = [
