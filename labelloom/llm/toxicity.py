@@ -48,7 +48,7 @@ NEGATION = frozenset(
 )
 REPORTING = frozenset(
     "said says say called calls claimed claims wrote writes quoted quotes allegedly sagte sagt nannte nennt"
-    " schrieb behauptet dit disait appelle écrit prétend dijo dice llamó llama escribió afirma".split()
+    " schrieb behauptet dit disait appelle écrit prétend dijo dice escribió afirma".split()
 )
 TARGETS = frozenset(
     "you your yours he him she her they them their people everyone women men immigrants du dich dir ihr euch"
