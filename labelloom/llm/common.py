@@ -103,6 +103,22 @@ class Landed:
         on = (F.col(PART) == F.col("_of")) & (F.coalesce(bit, F.lit(0)) == 1)
         return rows.join(bitmaps.hint("shuffle_hash"), on, "left_semi" if picked else "left_anti")
 
+    def with_numbers(self, numbers: DataFrame, name: str) -> DataFrame:
+        """The rows plus BIGINT ``name``, from ``numbers`` (``_uid``, ``_number`` from 0 on); NULL for other rows.
+
+        As with bitmaps, the numbers of a part go to where its rows lie.
+        """
+        parts = numbers.select(F.shiftright(UID, _ROW_BITS).cast("int").alias("_of"), UID, "_number")
+        values = parts.groupBy("_of").applyInArrow(_numbers, "_of int, _values array<array<bigint>>")
+        place = F.col(UID).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+        chunk = F.try_element_at("_values", (F.floor(place / _CHUNK) + 1).cast("int"))
+        number = F.try_element_at(chunk, (place % _CHUNK + 1).cast("int"))
+        rows = self.rows
+        joined = rows.join(
+            stored(values, "row-numbers").hint("shuffle_hash"), F.col(PART) == F.col("_of"), "left"
+        )
+        return joined.select(*rows.columns, number.alias(name))
+
     def whole(self, rows: DataFrame) -> DataFrame:
         """Landed rows with the columns that the table came with."""
         return rows.select(*[F.col(f"{ROW}.`{f.name}`").alias(f.name) for f in self.schema])
@@ -122,6 +138,20 @@ def _bitmap(group: pa.Table) -> pa.Table:
     )
 
 
+def _numbers(group: pa.Table) -> pa.Table:
+    places = group[UID].to_numpy() & ((1 << _ROW_BITS) - 1)
+    numbers = np.full((int(places.max()) // _CHUNK + 1) * _CHUNK, -1, np.int64)
+    numbers[places] = group["_number"].to_numpy()
+    chunks = numbers.reshape(-1, _CHUNK)
+    lists = [pa.array(chunk, mask=chunk < 0) for chunk in chunks]
+    return pa.table(
+        {
+            "_of": group["_of"][:1],
+            "_values": pa.array([[one.to_pylist() for one in lists]], pa.list_(pa.list_(pa.int64()))),
+        }
+    )
+
+
 def running_totals(
     df: DataFrame, group: str, order: Sequence[str], value: str, name: str
 ) -> DataFrame:

@@ -174,9 +174,13 @@ class Mix:
         )
         return pieces.join(slots, ["_number", "_block"]).select("slot", UID, "epoch", "word", "words")
 
-    def copies(self) -> DataFrame:
-        """``_uid``, epoch, taken: the words that each passage through a document takes, from its first."""
-        return self.schedule.groupBy(UID, "epoch").agg(F.sum("words").alias("_taken"))
+    def taken(self) -> DataFrame:
+        """``_uid``, taken: the words of each document in the mix, repeats counted.
+
+        A source's stream passes through a document again and again, and ends with
+        the target; so every passage but the last one takes the whole document.
+        """
+        return self.schedule.groupBy(UID).agg(F.sum("words").alias("taken"))
 
 
 def mix_plan(
@@ -199,7 +203,7 @@ def mix_plan(
     )
     rows = stored(rows, "document-sizes")
     mix = Mix(rows, **settings)
-    taken = mix.copies().groupBy(F.col(UID).alias("_of")).agg(F.sum("_taken").alias("taken"))
+    taken = mix.taken().withColumnRenamed(UID, "_of")
     return mix.rows.join(taken, F.col(UID) == F.col("_of"), "left").select(
         F.col("_key").alias(key),
         F.col("_size").alias("size"),
@@ -247,10 +251,15 @@ def mixed_rows(
     }
     landed = Landed(df, extra, "mix-rows")
     mix = Mix(landed.rows.select(UID, *extra), **settings)
-    copies = stored(mix.copies().withColumnRenamed(UID, "_of"), "copies")
-    joined = landed.rows.join(copies, F.col(UID) == F.col("_of"), "left").where("_size = 0 OR _of IS NOT NULL")
+    # Passages through a document end with the one that its source's target cuts.
+    joined = landed.with_numbers(mix.taken().withColumnRenamed("taken", "_number"), "_all")
+    passages = F.ceil(F.col("_all") / F.col("_size")).cast("int")
+    once = F.when((F.col("_size") == 0), F.array(F.lit(1))).when(F.col("_all") > 0, F.sequence(F.lit(1), passages))
+    joined = joined.withColumn("_passage", F.explode(once)).withColumn(
+        "_taken", F.least(F.col("_size"), F.col("_all") - (F.col("_passage") - 1) * F.col("_size"))
+    )
     whole = F.col(f"{ROW}.`{text}`")
-    is_cut = F.col("_taken") < F.col("_size")
+    is_cut = F.coalesce(F.col("_taken") < F.col("_size"), F.lit(False))
     short = first_words(F.when(is_cut, whole), F.when(is_cut, F.col("_taken")))
     rows = joined.withColumn("_short", short)
     values = {f.name: F.col(f"{ROW}.`{f.name}`") for f in df.schema}
