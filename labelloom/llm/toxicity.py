@@ -16,8 +16,9 @@ of a document count as one: each is weighted by the size of its largest bucket
 of MinHashes over five-word shingles. The weights of the kinds are fitted on
 documents that the lexicon was not learned from, in two folds.
 
-The fit uses a sample of at most ``sample`` labelled rows, the first in hash
-order; every row is scored.
+The fit uses a sample of at most ``sample`` labelled rows, those of the first ids
+in hash order. Of an id's repeated rows the one with the least hash of its text is
+learned from; every row is scored.
 
 Defined results: a NULL text is scored as an empty one, which gets the score of a
 text without harmful clauses; repeated rows get the same score; an empty table
@@ -254,15 +255,17 @@ def _fitted(evidence: np.ndarray, toxic: np.ndarray, rows: np.ndarray, ridge: fl
 
 
 def _sample_rows(df: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int) -> DataFrame:
-    """At most ``sample`` labelled rows: _text, _toxic, _fold."""
+    """At most ``sample`` labelled rows, one of each id: _text, _toxic, _fold."""
     one = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
     one = one.groupBy(F.col(key).alias("_id")).agg(F.max(label).alias("_toxic"))
-    # The bound holds for the ids; an id's repeated rows are told apart by their text.
     chosen = one.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     texts = df.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    rows = texts.join(F.broadcast(chosen), "_id")
+    # A label is one of an id, so each id has one row, or its repeated rows would outweigh the others. Tasks pick
+    # theirs before the shuffle, so however often an id is there, a task sends one text of it.
+    least = F.min(F.struct(F.xxhash64("_text").alias("_hash"), "_text")).alias("_least")
+    rows = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_toxic").agg(least)
     fold = (F.xxhash64("_id", F.lit("fold")) % 2 != 0).cast("int")
-    return rows.select("_text", F.col("_toxic").cast("int").alias("_toxic"), fold.alias("_fold"))
+    return rows.select("_least._text", F.col("_toxic").cast("int").alias("_toxic"), fold.alias("_fold"))
 
 
 def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
@@ -345,7 +348,7 @@ def fit_grammar(
 
     schema = "_row bigint, _toxic int, _evidence array<double>"
     seen = rows.select("_text", "_row", "_toxic", "_fold").mapInArrow(evidence, schema).join(weights, "_row")
-    fitted = seen.select("_toxic", "_weight", "_evidence").orderBy("_row").collect()  # at most ``sample`` ids
+    fitted = seen.select("_toxic", "_weight", "_evidence").orderBy("_row").collect()  # at most ``sample`` rows
     x = np.array([r[2] for r in fitted]).reshape(len(fitted), len(KINDS))
     y, w = (np.array([r[i] for r in fitted], float) for i in (0, 1))
     whole = _lexicon([(r[0], r[1] + r[3], r[2] + r[4]) for r in found], base, tried)

@@ -92,6 +92,23 @@ def test_copies_of_one_document_teach_nothing(spark):
     assert any(word.startswith("zolg") for word in grammar.lexicon)
 
 
+def test_repeated_rows_of_an_id_take_one_place_in_the_sample(spark):
+    docs, labels = corpus(600)
+    draw = random.Random(5)
+    names = [draw.randbytes(4).hex().translate(str.maketrans("0123456789", "ghijklmnop")) for _ in range(2000)]
+    docs += [(9, f"hydrangea {' '.join(draw.sample(names, 20))} {i}.", "x") for i in range(400)]
+    labels[9] = (9, 1)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, x string")
+    truth = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    whole = tx._sample_rows(df, truth, "doc_id", "text", "toxic", 1000).collect()
+    assert len(whole) == 600
+    assert sorted(whole) == sorted(tx._sample_rows(df.repartition(7), truth, "doc_id", "text", "toxic", 1000).collect())
+    assert tx._sample_rows(df, truth, "doc_id", "text", "toxic", 50).count() == 50
+    grammar = tx.fit_grammar(df, truth)
+    assert "hydrangea" not in grammar.lexicon
+    assert any(word.startswith("zolg") for word in grammar.lexicon)
+
+
 def test_toxicity_without_labels_or_rows(spark):
     df = spark.createDataFrame([(1, "you idiot"), (2, "hello")], "doc_id bigint, text string")
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
