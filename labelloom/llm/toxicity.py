@@ -16,6 +16,10 @@ of a document count as one: each is weighted by the size of its largest bucket
 of MinHashes over five-word shingles. The weights of the kinds are fitted on
 documents that the lexicon was not learned from, in two folds.
 
+Reported speech goes on over commas, colons and opening quotation marks: up to the
+mark that closes the quotation, over sentences within it, or else to the end of
+the sentence. A mark opens if one that closes it follows in the same line.
+
 The fit uses a sample of at most ``sample`` labelled rows, those of the first ids
 in hash order. Of an id's repeated rows the one with the least hash of its text is
 learned from; every row is scored.
@@ -68,12 +72,14 @@ INSULTS = frozenset(
 PLAIN, AIMED, NEGATED, REPORTED, THREAT = range(5)
 KINDS = ("plain", "aimed", "negated", "reported", "threat")
 
-_OTHER, _HARM, _NEG, _REPORT, _TARGET, _INTENT, _THREAT, _END = range(8)
+_OTHER, _HARM, _NEG, _REPORT, _TARGET, _INTENT, _THREAT, _SOFT, _OPEN, _CLOSE, _END = range(11)
 _SCOPE = 4  # words that a negation reaches over
 
 SAMPLE = 16_000
 LONGEST_BEGINNING, SHORTEST_BEGINNING = 6, 3
-_TOKENS = re.compile(r"[^\W\d_]+|[.,;:!?…()\[\]\n\"“”«»]")
+_TOKENS = re.compile(r"[^\W\d_]+|[.,;:!?…()\[\]\n\"“”„«»]")
+#: The marks that close what a mark opens.
+_CLOSING = {'"': '"', "“": "”", "”": "”", "„": "“”", "«": "»", "»": "«"}
 _PRIOR = np.array([-2.5, 2.0, 2.5, 1.0, 1.0, 2.5])
 _MINHASHES = 4
 
@@ -81,11 +87,19 @@ _MINHASHES = 4
 def composed() -> tuple[list[list[int]], list[int]]:
     """Next state by state and tag, and the kind that a clause ending in the state has.
 
-    Each transducer moves on its own tags; the states of all five make one.
+    Each transducer moves on its own tags; the states of all five make one. At the
+    end of a clause all but reported speech start anew.
     """
 
     def moved(state: tuple[int, int, int, int, int], tag: int) -> tuple[int, int, int, int, int]:
         insult, threat, target, negation, reported = state
+        if tag >= _SOFT:
+            # Reported is 1 up to the end of the sentence, 2 up to the closing mark.
+            if tag == _OPEN and reported:
+                reported = 2
+            if tag == _CLOSE or tag == _END and reported == 1:
+                reported = 0
+            return 0, 0, 0, 0, reported
         if tag == _HARM:
             insult = 2 if negation or insult == 2 else 1
         if tag == _INTENT and threat == 0:
@@ -96,7 +110,7 @@ def composed() -> tuple[list[list[int]], list[int]]:
             target = 1
         negation = _SCOPE if tag == _NEG else max(0, negation - 1)
         if tag == _REPORT and not insult:
-            reported = 1
+            reported = max(reported, 1)
         return insult, threat, target, negation, reported
 
     def kind(state: tuple[int, int, int, int, int]) -> int:
@@ -109,9 +123,9 @@ def composed() -> tuple[list[list[int]], list[int]]:
             return NEGATED
         return AIMED if target else PLAIN
 
-    states = list(product(range(3), range(3), range(2), range(_SCOPE + 1), range(2)))
+    states = list(product(range(3), range(3), range(2), range(_SCOPE + 1), range(3)))
     numbers = {state: i for i, state in enumerate(states)}
-    table = [[numbers[moved(state, tag)] for tag in range(_END)] for state in states]
+    table = [[numbers[moved(state, tag)] for tag in range(_END + 1)] for state in states]
     return table, [kind(state) for state in states]
 
 
@@ -139,7 +153,7 @@ class _Tags(dict):
 
     def _tag(self, token: str) -> tuple[int, float]:
         if not token[0].isalpha():
-            return _END, 0.0
+            return (_SOFT if token in ",:" or token in _CLOSING else _END), 0.0
         weight = max((self.lexicon.get(one, 0.0) for one in features(token)), default=0.0)
         if weight:
             return _HARM, weight
@@ -161,6 +175,23 @@ class Grammar:
         return 1.0 / (1.0 + math.exp(-float(self.weights[0] + evidence @ self.weights[1:])))
 
 
+def _mark_quotations(tokens: list[str], tags: list[tuple[int, float]]) -> None:
+    """Tag the marks that open and close quotations; those within one or without a closing mark stay as they are."""
+    ends: dict[int, int | None] = {}
+    later: dict[str, int] = {}
+    for i in range(len(tokens) - 1, -1, -1):
+        if tokens[i] == "\n":
+            later = {}
+        elif tokens[i] in _CLOSING:
+            ends[i] = min((later[mark] for mark in _CLOSING[tokens[i]] if mark in later), default=None)
+            later[tokens[i]] = i
+    last = -1
+    for i in reversed(ends):
+        if i > last and ends[i] is not None:
+            last = ends[i]
+            tags[i], tags[last] = (_OPEN, 0.0), (_CLOSE, 0.0)
+
+
 class _Reader:
     def __init__(self, lexicon: Mapping[str, float]) -> None:
         self.tags = _Tags(lexicon)
@@ -168,19 +199,20 @@ class _Reader:
 
     def clauses(self, text: str) -> Iterator[tuple[int, float]]:
         """Kind and weight of every clause that the grammar matches."""
-        tags = [self.tags[token] for token in _TOKENS.findall(text.lower())]
+        tokens = _TOKENS.findall(text.lower())
+        tags = [self.tags[token] for token in tokens]
         if not any(tag in (_HARM, _THREAT) for tag, _ in tags):
             return
+        _mark_quotations(tokens, tags)
         state, weight = 0, 0.0
         for tag, own in [*tags, (_END, 0.0)]:
-            if tag != _END:
-                state = self.table[state][tag]
-                weight += own
-                continue
-            kind = self.kinds[state]
-            if weight or kind == THREAT:
-                yield kind, weight + (1.0 if kind == THREAT else 0.0)
-            state, weight = 0, 0.0
+            if tag >= _SOFT:
+                kind = self.kinds[state]
+                if weight or kind == THREAT:
+                    yield kind, weight + (1.0 if kind == THREAT else 0.0)
+                weight = 0.0
+            state = self.table[state][tag]
+            weight += own
 
     def evidence(self, text: str | None) -> np.ndarray:
         """Per kind, the logarithm of 1 plus the weights of its clauses."""

@@ -33,6 +33,33 @@ def test_clauses_and_not_words_are_scored():
     assert read("") == read("...") == read("\n") == []
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        'he said: "you idiot"',
+        "he said, you idiot",
+        "she wrote “you idiot”",
+        'he said: "Look at it! Go away, you idiot."',
+        "er sagte: „du idiot“",
+        "il dit : «you idiot»",
+        'he said: "you idiot',
+        "he said: “she was told «no» there, you idiot”",
+    ],
+)
+def test_direct_speech_is_reported(text):
+    assert read(text) == [("reported", 2.0)]
+
+
+def test_direct_speech_ends():
+    assert read('he said: "hello" you idiot') == [("aimed", 2.0)]
+    assert read('he said: "hello". You idiot') == [("aimed", 2.0)]
+    assert read("he said, hello. You idiot") == [("aimed", 2.0)]
+    assert read('he said: "hello. You idiot') == [("aimed", 2.0)]
+    assert read('he said: "hello.\nYou idiot"') == [("aimed", 2.0)]
+    assert read('"you idiot"') == [("aimed", 2.0)]
+    assert read("he said «x " * 3000 + "you idiot") == [("reported", 2.0)]
+
+
 def test_composition_reaches_every_kind():
     table, kinds = tx.composed()
     assert set(kinds) == set(range(5))
