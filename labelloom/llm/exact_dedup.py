@@ -166,19 +166,26 @@ class ExactGroups:
             UID, "_key", "_sha256", F.col("_key").alias("_keep"), F.lit(1).cast("bigint").alias("_rows")
         )
         ambiguous = stored(
-            self.classes.groupBy("_print").agg(F.count("*").alias("_texts")).where("_texts > 1"),
+            self.classes.groupBy(F.col("_print").alias("_group"))
+            .agg(F.count("*").alias("_texts"), F.sum("_rows").alias("_rows"))
+            .where("_texts > 1")
+            .select("_group", "_rows"),
             "ambiguous",
         )
         suspects = self.landed.marked(self.bitmaps, True)
+        classes = self.classes.select(F.col("_print").alias("_group"), "_text", "_rows", "_keep")
         if ambiguous.isEmpty():
-            table = self.classes.select(F.col("_print").alias("_group"), "_rows", "_keep")
-            joined = with_group_values(suspects.select(*columns), "_print", table)
+            joined = with_group_values(suspects.select(*columns), "_print", classes.drop("_text"))
         else:
-            # Rare: several texts under one fingerprint. The text decides.
-            mixed = self.classes.withColumnsRenamed({"_print": "_its_print", "_text": "_its_text"})
-            on = (F.col("_print") == F.col("_its_print")) & (F.col("_text") == F.col("_its_text"))
+            # Rare: several texts under one fingerprint. There the text decides, and only there.
+            alike = ambiguous.select("_group")
+            single = stored(classes.drop("_text").join(alike, "_group", "left_anti"), "single")
+            mixed = classes.join(alike, "_group", "left_semi").drop("_group").withColumnRenamed("_text", "_group")
             texts = suspects.select(*columns, self.text.alias("_text"))
-            joined = texts.join(mixed, on).select(*columns, "_rows", "_keep")
+            texts = with_group_values(texts, "_print", ambiguous).where("_rows IS NOT NULL").drop("_rows")
+            plain = with_group_values(suspects.select(*columns), "_print", single).where("_rows IS NOT NULL")
+            by_text = with_group_values(texts, "_text", stored(mixed, "mixed"))
+            joined = plain.unionByName(by_text.drop("_text"))
         return alone.unionByName(joined.select(UID, "_key", "_sha256", "_keep", "_rows"))
 
     def kept(self, members: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from labelloom.llm import exact_dedup as ed
 from labelloom.llm import simhash as sh
+from tests.conftest import plan
 
 SCHEMA = "doc_id bigint, text string, keep_id string, _uid string"
 
@@ -55,6 +56,25 @@ def test_exact_groups(spark, bits):
     assert sorted(row.text or "" for row in kept.collect()) == sorted(brute_exact(rows))
 
 
+def test_no_shuffle_by_text_where_fingerprints_clash(spark):
+    texts = [f"text {i % 60}" if i % 3 else "same" for i in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    groups = ed.ExactGroups(df, fingerprint_bits=5)
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        members = groups.members()
+        assert not re.search(r"hashpartitioning\([^)]*_text#", plan(members))
+    finally:
+        spark.conf.set(threshold, before)
+    brute = brute_exact(enumerate(texts))
+    assert sorted((r._key, r._keep, r._rows) for r in members.collect()) == sorted(
+        (key, max(brute[text]), len(brute[text])) for key, text in enumerate(texts)
+    )
+    groups.close()
+
+
 def test_large_group_is_one_message_of_each_partition(spark):
     df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("same").alias("text"))
     got = ed.exact_groups(df.unionByName(spark.createDataFrame([(-1, "other")], "doc_id bigint, text string")))
