@@ -121,15 +121,15 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_split_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file, read in splits so small that records and even cells run over them."""
+    """Files read in splits so small that records and even cells run over them."""
     path = new_path(spark, "contracts-csv")
-    write_csv(contracts(spark, sf_dir).coalesce(1), path)
+    write_csv(contracts(spark, sf_dir), path)
     names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
     before = {name: spark.conf.get(name) for name in names}
-    size = path_size(spark, path)
+    size, files = path_size(spark, path), len(spark.read.text(path).inputFiles())
     try:
-        # Some 200 splits, whatever the size of the table.
-        for name, value in zip(names, (max(1000, size // 200), 0)):
+        # Some 200 splits, or four a file if that is more.
+        for name, value in zip(names, (max(1000, size // max(200, 4 * files)), 0)):
             spark.conf.set(name, str(value))
         return read_contracts(spark, path)
     finally:

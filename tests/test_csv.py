@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import io
+import os
 import random
 
 import pandas as pd
@@ -8,6 +9,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from labelloom import queries
 from labelloom.operators.sampling import sample_exact
 from labelloom.plans.flows import read_and_land
 from labelloom.sources.contracts import read_contracts
@@ -236,3 +238,25 @@ def test_export_has_one_folder_per_part(spark, tmp_path):
     export_split_text(rows, str(path))
     assert {p.name for p in path.iterdir() if p.is_dir()} == {"split=train", "split=test"}
     assert spark.read.parquet(str(path / "split=test")).columns == ["text"]
+
+
+def test_split_records_are_written_by_every_task(spark, tmp_path, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+
+    def spied(session, path, *args, **kwargs):
+        names = session.read.text(path).inputFiles()
+        split = int(session.conf.get("spark.sql.files.maxPartitionBytes"))
+        seen.append((split, [os.path.getsize(name.removeprefix("file://")) for name in names]))
+        return read_contracts(session, path, *args, **kwargs)
+
+    monkeypatch.setattr(queries, "read_contracts", spied)
+    got = queries.csv_split_records(spark, str(tmp_path)).collect()
+    ((split, sizes),) = seen
+    assert len(sizes) == 4 and all(size > 3 * split for size in sizes)
+    monkeypatch.undo()
+    want = queries.csv_roundtrip(spark, str(tmp_path)).collect()
+    # Row ids name files, so they differ between any two writes.
+    columns = [c for c in got[0].asDict() if c != "row_id"]
+    assert sorted(str([r[c] for c in columns]) for r in got) == sorted(str([r[c] for c in columns]) for r in want)
