@@ -80,9 +80,86 @@ WITH whole AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+_CONVERSATION_REPAIR = r"""
+WITH RECURSIVE crc AS (
+    SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY i) AS codes
+    FROM range(256) numbers(i)
+), keyed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS named
+    FROM conversations
+), faulty AS (
+    SELECT keyed.*, xor(4294967295, list_reduce(
+        list_prepend(4294967295::BIGINT, list_transform(string_split(named, ''), lambda c: ord(c)::BIGINT)),
+        lambda x, y: xor(x >> 8, codes[xor(x % 256, y) + 1]))) % 20 AS fault
+    FROM keyed, crc
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+        CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM faulty, range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END) copies(c)
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place,
+        left(role, 1) AS initial, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+        right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) NOT IN ('.', '!', '?') AS unended
+    FROM damaged
+), judged AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 AS repeated,
+        lag(initial) OVER (PARTITION BY conv_id ORDER BY place) || initial NOT IN ('su', 'ua', 'au') AS unfit
+    FROM placed
+), figures AS (
+    SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count_if(blank) AS blank, count_if(repeated AND NOT blank) AS duplicate,
+        count_if(unended AND NOT blank AND NOT repeated) AS truncated, count_if(unfit) AS illegal
+    FROM judged GROUP BY conv_id
+), edits(edit, target, given, price) AS (
+    VALUES ('K', 's', NULL, 0), ('K', 'u', NULL, 0), ('K', 'a', NULL, 0),
+        ('R', 'u', 'user', 2), ('R', 'a', 'assistant', 2), ('D', NULL, NULL, 3)
+), paths AS (
+    SELECT DISTINCT conv_id, 0::BIGINT AS place, '' AS state, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS lines
+    FROM conversations
+    UNION ALL
+    SELECT conv_id, place, state, cost, audit, lines FROM (
+        SELECT *, row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) AS choice FROM (
+            SELECT conv_id, place, coalesce(target, state) AS state,
+                cost + price + CASE WHEN inserted IS NULL THEN 0 ELSE 2 END
+                    + CASE WHEN unended AND edit <> 'D' THEN 1 ELSE 0 END AS cost,
+                audit || CASE WHEN inserted IS NULL THEN '' ELSE 'I' END || edit AS audit,
+                lines || CASE WHEN inserted IS NULL THEN [] ELSE [inserted || ':'] END
+                    || CASE edit WHEN 'D' THEN [] ELSE [coalesce(given, role) || ':' || text] END AS lines
+            FROM (
+                SELECT paths.conv_id, judged.place, state, cost, audit, lines, edit, target, given, price, role, text,
+                    unended, CASE WHEN target = 'u' AND state = 'u' THEN 'assistant'
+                        WHEN target = 'a' AND state <> 'u' THEN 'user' END AS inserted
+                FROM paths
+                JOIN judged ON judged.conv_id IS NOT DISTINCT FROM paths.conv_id AND judged.place = paths.place + 1
+                JOIN edits ON edit = 'D' OR (NOT blank AND NOT repeated AND (edit = 'R' OR initial = target)
+                    AND (target <> 's' OR state = ''))
+            )
+        )
+    ) WHERE choice = 1
+), ended AS (
+    SELECT conv_id, place, cost + CASE state WHEN 's' THEN 4 WHEN 'u' THEN 2 ELSE 0 END AS cost,
+        audit || CASE state WHEN 's' THEN 'II' WHEN 'u' THEN 'I' ELSE '' END AS audit,
+        lines || CASE state WHEN 's' THEN ['user:', 'assistant:'] WHEN 'u' THEN ['assistant:'] ELSE [] END AS lines
+    FROM paths
+), cheapest AS (
+    SELECT ended.*, coalesce(n, 0) AS n, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank,
+        coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+        row_number() OVER (PARTITION BY ended.conv_id ORDER BY cost, audit) AS choice
+    FROM ended LEFT JOIN figures ON figures.conv_id IS NOT DISTINCT FROM ended.conv_id
+    WHERE place = coalesce(n, 0)
+)
+SELECT conv_id, gaps::BIGINT AS gaps, blank::BIGINT AS blank, duplicate::BIGINT AS duplicate,
+    truncated::BIGINT AS truncated, illegal::BIGINT AS illegal, cost::BIGINT AS cost, audit,
+    sha256(array_to_string(lines, chr(10))) AS repaired_sha256
+FROM cheapest WHERE choice = 1
+"""
+
 ORACLES: dict[str, str] = {
     "op3_url_filter": _URL_FILTER,
     "op8_top_k": _TOP_K,
     "op9_source_mix": _SOURCE_MIX,
     "op5_exact_dedup": _EXACT_DEDUP,
+    "op13_conversation_repair": _CONVERSATION_REPAIR,
 }

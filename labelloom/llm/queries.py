@@ -9,16 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import table
+from labelloom.llm.conversations import audit_conversations, damage_conversations
 from labelloom.llm.exact_dedup import exact_groups
 from labelloom.llm.language import identify_languages
 from labelloom.llm.mixing import mix_plan
 from labelloom.llm.packing import pack
+from labelloom.llm.shuffling import record_size, shuffle_into_shards
 from labelloom.llm.simhash import near_duplicates
 from labelloom.llm.token_blocks import read_token_files, write_token_files
 from labelloom.llm.token_counts import fit_budget, token_prefixes
 from labelloom.llm.topk import top_k
 from labelloom.llm.toxicity import score_toxicity
 from labelloom.llm.url_filter import Rule, filter_urls
+from labelloom.llm.whitening import whiten
 
 BYTE_TOKENS = public_tokenizers.path("byte_bpe_50k.json")
 WORD_TOKENS = public_tokenizers.path("word_bpe_49k.json")
@@ -80,6 +83,31 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squared deviations as BIGINT; NULL where one is beyond 64 bits."""
+    rows = whiten(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
+def op12_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = shuffle_into_shards(table(spark, sf_dir, "documents"))
+    text = F.col("row.text")
+    return rows.select(
+        F.col("row.doc_id").alias("doc_id"),
+        record_size(text).alias("size"),
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = damage_conversations(table(spark, sf_dir, "conversations"))
+    return audit_conversations(damaged, present="present")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_blocks": op2_token_blocks,
@@ -91,4 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_top_k": op8_top_k,
     "op9_source_mix": op9_source_mix,
     "op10_token_counts": op10_token_counts,
+    "op11_whitening": op11_whitening,
+    "op12_external_shuffle": op12_external_shuffle,
+    "op13_conversation_repair": op13_conversation_repair,
 }
