@@ -73,6 +73,51 @@ def test_prefixes_of_a_piece(word):
         assert PREFIXES.piece_prefixes(whole[0]) == want
 
 
+def merged(symbols, ranks):
+    """Symbols after all merges, the lowest rank first and of equal ones the leftmost."""
+    while True:
+        found = [(ranks[pair], i) for i, pair in enumerate(zip(symbols, symbols[1:])) if pair in ranks]
+        if not found:
+            return symbols
+        i = min(found)[1]
+        symbols = [*symbols[:i], symbols[i] + symbols[i + 1], *symbols[i + 2 :]]
+
+
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=14), st.data())
+def test_trees_tell_neighbours_as_merging_does(pairs, data):
+    tokens = ["a", "b", "a</w>", "b</w>"]
+    merges = []
+    for left, right in pairs:
+        one, other = tokens[left % len(tokens)], tokens[right % len(tokens)]
+        if not one.endswith("</w>") and one + other not in tokens and len(one + other) < 16:
+            merges.append((one, other))
+            tokens.append(one + other)
+    trees = tc.MergeTrees({token: i for i, token in enumerate(tokens)}, merges)
+    ranks = {pair: rank for rank, pair in enumerate(merges)}
+
+    def symbols(token):
+        bare = token.removesuffix("</w>")
+        return [*bare[:-1], bare[-1] + token[len(bare) :]]
+
+    whole = {token for token in tokens if merged(symbols(token), ranks) == [token]}
+    assert {trees._short(token) for token in whole} == set(trees.ids)
+    for _ in range(6):
+        one, other = (data.draw(st.sampled_from(sorted(whole))) for _ in range(2))
+        if not one.endswith("</w>"):
+            want = merged(symbols(one) + symbols(other), ranks) == [one, other]
+            assert trees.stay(tokens.index(one), tokens.index(other)) == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(texts, max_size=30), st.sampled_from([1, 3, 4096]))
+def test_words_learned_together_count_as_alone(some, at_once):
+    many = tc.WordPrefixes.__new__(tc.WordPrefixes)
+    many.__dict__.update(PREFIXES.__dict__, counts={}, pieces={}, max_words=1000)
+    many.learn([one.encode() for one in some], at_once)
+    for word, count in many.counts.items():
+        assert count == len(WORD_LIBRARY.encode(word.decode(), add_special_tokens=False).ids)
+
+
 @given(
     st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=200),
     st.integers(1, 60),
