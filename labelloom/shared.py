@@ -7,7 +7,7 @@ import warnings
 from collections.abc import Sequence
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -58,6 +58,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_with_figures(df: DataFrame, name: str, figures: Sequence[Column]) -> tuple[DataFrame, Row]:
+    """``stored``, and aggregates over the rows, taken while they are written: no scan of their own."""
+    observation = Observation()
+    table = stored(df.observe(observation, *figures), name)
+    return table, Row(**observation.get)
+
+
 def measured(table: DataFrame) -> tuple[int, int]:
     """Bytes of a stored table once in memory, and the rows its groups hold (``_rows``)."""
     widths = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in table.columns]
