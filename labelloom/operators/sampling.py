@@ -6,12 +6,14 @@ partitioned. Each kind of step has a hash of its own, so that a sample of a part
 is a sample of it and not its rows next to the cut. A key that the cut would have
 to tell from its own repetition ends the query.
 
-No operator sorts the rows. A first pass stores only group, key and the leading
-hash digits. A histogram over those, small whatever the table holds, shows in
-which bucket the n-th row of each group lies; only that bucket is ranked, and its
-n-th row is the group's cut. The last pass compares each row with its group's cut, a
-filter next to the scan. A group holding a third of all rows is spread over all
-buckets like any other.
+No operator sorts the rows, and none keeps a row for each of them. Hashes lie evenly
+between 0 and 1, so from the number of a group's rows follows where its n-th hash
+must be, give or take some square roots of that number. One pass counts the rows
+below that window and keeps the keys inside; among those, the n-th row of the group,
+its cut, is found by rank. If a cut lies outside its window (repeated keys may do
+that), the search goes on in a wider one. The last pass compares each row with its
+group's cut, a filter next to the scan. A group holding a third of all rows has a
+window like any other: of 10^12 rows some 10 million keys.
 """
 
 from __future__ import annotations
@@ -22,85 +24,97 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelloom.shared import BROADCAST_BYTES, measured, ranked, stored, with_group_values
+from labelloom.shared import BROADCAST_BYTES, measured, ranked, stored, stored_with_figures, with_group_values
 
-_STORED_DIGITS = 8
-# Hex digits of the histogram follow from the rows, so that a bucket of a group
-# that is nearly all of them has some 100,000 keys to rank, whatever their number.
-_LEAST_DIGITS = 3
-_BUCKET_KEYS = 100_000
+_DIGITS = 12  # of a hash, that tell on which side of a window it lies
+#: Half the width of a window in standard deviations, and how much wider each further one is.
+_WIDTH = 8.0
+_WIDER = 32.0
+_ABOVE_ALL = "g"
 
 
 def seeded_hash(key: Column, seed: int, step: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:{step}:"), key.cast("string")))
 
 
-def bucket_digits(rows: int) -> int:
-    needed = math.ceil(math.log(max(rows / _BUCKET_KEYS, 1), 16))
-    return min(_STORED_DIGITS, max(_LEAST_DIGITS, needed))
+def _group_counts(df: DataFrame, group: Column) -> DataFrame:
+    return df.groupBy(group.alias("_group")).agg(F.count("*").alias("_rows"))
 
 
-def _keys(df: DataFrame, group: Column, key: str, seed: int, step: str) -> DataFrame:
-    bucket = F.substring(seeded_hash(F.col(key), seed, step), 1, _STORED_DIGITS)
-    keys = df.select(group.alias("_group"), F.col(key).alias("_key"), bucket.alias("_bucket"))
-    return stored(keys, "keys")
+def _edge(share: Column) -> Column:
+    """The first digits of the hash at a share of all hashes."""
+    digits = F.lower(F.hex(F.floor(share * float(16**_DIGITS)).cast("bigint")))
+    edge = F.lpad(digits, _DIGITS, "0")
+    return F.when(share <= 0, "").when(share >= 1, _ABOVE_ALL).otherwise(edge)
 
 
-def _group_counts(keys: DataFrame) -> DataFrame:
-    return keys.groupBy("_group").agg(F.count("*").alias("_rows"))
+def windows(takes: DataFrame, width: float) -> DataFrame:
+    """``takes`` (_group, _rows, _take) plus where the hash of the last row taken must lie: from _low, below _high."""
+    n, take = F.col("_rows").cast("double"), F.col("_take").cast("double")
+    spread = (F.sqrt(take * F.greatest(1 - take / n, F.lit(0.0))) + 1) * width
+    edges = {"_low": _edge((take - spread) / n), "_high": _edge((take + spread) / n)}
+    if math.isinf(width):
+        edges = {"_low": F.lit(""), "_high": F.lit(_ABOVE_ALL)}
+    return takes.where("_take > 0").withColumns(edges)
+
+
+def _ranked_in_windows(rows: DataFrame, seed: int, step: str) -> DataFrame:
+    """Hash and key of each group's cut, of ``rows`` (_group, _key, _rows, _take, _low, _high).
+
+    Of the rows below a window only their number is kept, under a NULL key.
+    """
+    hashed = seeded_hash(F.col("_key"), seed, step)
+    digits = F.substring(hashed, 1, _DIGITS)
+    inside = F.when(digits >= F.col("_low"), F.col("_key"))
+    near = (
+        rows.where(digits < F.col("_high"))
+        .groupBy("_group", inside.alias("_key"))
+        .agg(F.count("*").alias("_n"), F.max("_rows").alias("_rows"), F.max("_take").alias("_take"))
+        .withColumn("_hash", hashed)
+    )
+    by_hash = Window.partitionBy("_group").orderBy(F.asc_nulls_first("_hash"), "_key")
+    upto = near.withColumn("_upto", F.sum("_n").over(by_hash))
+    is_cut = F.col("_key").isNotNull() & (F.col("_upto") >= F.col("_take")) & (F.col("_upto") - F.col("_n") < F.col("_take"))
+    message = F.concat(F.lit("the key is not unique: "), F.col("_key").cast("string"))
+    repeated = F.when(F.col("_upto") > F.col("_take"), F.raise_error(message).cast(rows.schema["_key"].dataType))
+    return upto.where(is_cut).select(
+        "_group", "_rows", F.col("_hash").alias("_cut_hash"), repeated.otherwise(F.col("_key")).alias("_cut_key")
+    )
 
 
 def _cuts(
-    keys: DataFrame,
+    df: DataFrame,
+    group: Column,
+    key: str,
     takes: DataFrame,
     seed: int,
     step: str,
-    measure: tuple[int, int],
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Per group of ``takes`` (_group, _rows, _take): hash and key of its last row taken.
+    """Per group of ``takes`` (stored; _group, _rows, _take): hash and key of its last row taken.
 
-    Groups of which no row is taken are left out. ``measure`` is that of the
-    stored table of groups.
+    Groups of which no row is taken are left out.
     """
-    keys = keys.withColumn("_bucket", F.substring("_bucket", 1, bucket_digits(keys.count())))
-    up_to = Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    histogram = (
-        keys.groupBy("_group", "_bucket")
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_up_to", F.sum("_n").over(up_to))
-    )
-    before = F.col("_up_to") - F.col("_n")
-    boundary = (
-        with_group_values(histogram, "_group", takes, measure, broadcast_bytes)
-        .where((before < F.col("_take")) & (F.col("_take") <= F.col("_up_to")))
-        .select(
-            "_group",
-            "_rows",
-            F.col("_bucket").alias("_cut_bucket"),
-            (F.col("_take") - before).alias("_need"),
-        )
-    )
-    in_bucket = (
-        with_group_values(keys, "_group", boundary, measure, broadcast_bytes)
-        .where(F.col("_bucket") == F.col("_cut_bucket"))
-        .withColumn("_hash", seeded_hash(F.col("_key"), seed, step))
-    )
-    by_hash = Window.partitionBy("_group").orderBy("_hash", "_key")
-    repeated = F.col("_next") == F.col("_key")
-    message = F.concat(F.lit("the key is not unique: "), F.col("_key").cast("string"))
-    cut_key = F.when(repeated, F.raise_error(message).cast(keys.schema["_key"].dataType))
-    cuts = (
-        in_bucket.withColumns({"_rank": F.row_number().over(by_hash), "_next": F.lead("_key").over(by_hash)})
-        .where(F.col("_rank") == F.col("_need"))
-        .select(
-            "_group",
-            "_rows",
-            F.col("_hash").alias("_cut_hash"),
-            cut_key.otherwise(F.col("_key")).alias("_cut_key"),
-        )
-    )
-    return stored(cuts, "cuts")
+    keys = df.select(group.alias("_group"), F.col(key).alias("_key"))
+    found, width = None, _WIDTH
+    while True:
+        wanted = stored(windows(takes, width), "windows")
+        rows = with_group_values(keys, "_group", wanted, broadcast_bytes=broadcast_bytes)
+        cuts, figures = stored_with_figures(_ranked_in_windows(rows, seed, step), "cuts", [F.count("*").alias("n")])
+        found = cuts if found is None else found.unionByName(cuts)
+        if figures["n"] == wanted.count():
+            return found
+        if math.isinf(width):
+            # Keys that are missing take no place, so the group has fewer than it should take.
+            raise ValueError(f"{key!r} is NULL in some of the rows")
+        takes = stored(_without(takes, cuts), "takes-left")
+        width = width * _WIDER if width < _WIDTH * _WIDER else math.inf
+
+
+def _without(takes: DataFrame, cuts: DataFrame) -> DataFrame:
+    """The groups that have no cut yet."""
+    done = cuts.select(F.col("_group").alias("_done"))
+    return takes.where("_take > 0").join(done, F.col("_group").eqNullSafe(F.col("_done")), "left_anti")
 
 
 def _with_taken(
@@ -126,14 +140,26 @@ def sample_exact(
 ) -> DataFrame:
     """Exactly ``n`` rows, uniform, without replacement; all rows if ``n`` is none, 0 or too large.
 
-    The input is computed twice, so it must give the same rows each time.
+    The input is computed three times, so it must give the same rows each time.
     """
     if not n:
         return df
-    keys = _keys(df, F.lit(0), key, seed, step)
-    takes = _group_counts(keys).withColumn("_take", F.least("_rows", F.lit(n).cast("bigint")))
-    one_group = (0, 0)
-    cuts = _cuts(keys, takes, seed, step, one_group)
+    rows = df.count()
+    if n >= rows:
+        return df
+    spark, width = df.sparkSession, _WIDTH
+    take = spark.range(1).select(F.lit(0).alias("_group"), F.lit(rows).alias("_rows"), F.lit(n).alias("_take"))
+    while True:
+        # The only group's window goes to the rows as literals.
+        (window,) = windows(take, width).collect()
+        values = [F.lit(value).alias(name) for name, value in window.asDict().items()]
+        keys = df.select(F.col(key).alias("_key"), *values)
+        cuts, figures = stored_with_figures(_ranked_in_windows(keys, seed, step), "cuts", [F.count("*").alias("n")])
+        if figures["n"]:
+            break
+        if math.isinf(width):
+            raise ValueError(f"{key!r} is NULL in some of the rows")
+        width = width * _WIDER if width < _WIDTH * _WIDER else math.inf
     cut = cuts.select(F.struct("_cut_hash", "_cut_key")).scalar()
     own = F.struct(
         seeded_hash(F.col(key), seed, step).alias("_cut_hash"), F.col(key).alias("_cut_key")
@@ -151,15 +177,14 @@ def cap_per_class(
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """At most ``total // classes`` rows of each class, and only if there are more than ``total`` rows."""
-    keys = _keys(df, F.col(label), key, seed, "cap")
-    counts = stored(_group_counts(keys), "class-counts")
-    size, rows = measured(counts)
+    counts = stored(_group_counts(df, F.col(label)), "class-counts")
+    _, rows = measured(counts)
     if rows <= total:
         return df
     if total < classes:
         return df.where(F.lit(False))
     takes = counts.withColumn("_take", F.least("_rows", F.lit(total // classes).cast("bigint")))
-    cuts = _cuts(keys, takes, seed, "cap", (size, rows), broadcast_bytes)
+    cuts = _cuts(df, F.col(label), key, takes, seed, "cap", broadcast_bytes)
     return _with_taken(df, label, key, seed, "cap", cuts, broadcast_bytes).where("_taken").drop("_taken")
 
 
@@ -206,17 +231,16 @@ def stratified_split(
 
     The test part has ceil(test_size * rows) rows, or ``test_size`` rows if it is
     a whole number. Raises if a class has fewer than 2 rows or a part has fewer
-    rows than there are classes. The input is computed twice, so it must give the
-    same rows each time.
+    rows than there are classes. The input is computed three times, so it must give
+    the same rows each time.
     """
-    keys = _keys(df, F.col(label), key, seed, step)
-    counts = stored(_group_counts(keys), "class-counts")
-    size, n = measured(counts)
+    counts = stored(_group_counts(df, F.col(label)), "class-counts")
+    _, n = measured(counts)
     n_test = test_size if isinstance(test_size, int) else math.ceil(test_size * n)
     n_train = n - n_test
     _check_classes(counts, n, n_train, label)
     takes = stored(train_quotas(counts, n_train, n), "quotas")
-    cuts = _cuts(keys, takes, seed, step, (size, n), broadcast_bytes)
+    cuts = _cuts(df, F.col(label), key, takes, seed, step, broadcast_bytes)
     split = F.when(F.col("_taken"), F.lit("train")).otherwise(F.lit("test"))
     marked = _with_taken(df, label, key, seed, step, cuts, broadcast_bytes)
     return marked.select(*df.columns, split.alias("split"))

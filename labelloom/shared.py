@@ -86,7 +86,9 @@ def with_group_values(
     Within ``broadcast_bytes`` it is broadcast. Of a larger one only the groups
     holding at least 1/10,000 of all rows are, and there cannot be more than
     10,000 of those. The other groups are small by the same bound, so an
-    ordinary shuffle on the group spreads them evenly.
+    ordinary shuffle on the group spreads them evenly. Where even the hot groups
+    are too wide (their values may be whole texts), all rows are shuffled, those of
+    hot groups under a salt, and the groups' values as often as there are salts.
     """
     values = [name for name in table.columns if name != "_group"]
     size, rows = measure or measured(table)
@@ -94,15 +96,44 @@ def with_group_values(
     same = F.col(group).eqNullSafe(F.col("_its_group"))
     if size <= broadcast_bytes:
         joined = df.join(F.broadcast(table), same, "left")
-    else:
-        is_hot = F.col("_rows") >= F.lit(rows / HOT_SHARES)
-        hot = stored(table.where(is_hot), "hot-groups")
-        cold = table.where(~is_hot)
+        return joined.select(*df.columns, *values)
+    is_hot = F.col("_rows") >= F.lit(rows / HOT_SHARES)
+    hot = stored(table.where(is_hot), "hot-groups")
+    if measured(hot)[0] <= max(broadcast_bytes, _LEAST_BROADCAST):
         joined = (
             df.join(F.broadcast(hot), same, "inner")
-            .unionByName(df.join(F.broadcast(hot), same, "left_anti").join(cold, same, "left"))
+            .unionByName(df.join(F.broadcast(hot), same, "left_anti").join(table.where(~is_hot), same, "left"))
         )
-    return joined.select(*df.columns, *values)
+        return joined.select(*df.columns, *values)
+    return _with_salted_values(df, group, table, hot, rows / HOT_SHARES).select(*df.columns, *values)
+
+
+#: Hot groups of no more bytes than this are broadcast whatever the bound is.
+_LEAST_BROADCAST = 1 << 16
+
+
+def _with_salted_values(
+    df: DataFrame, group: str, table: DataFrame, hot: DataFrame, share: float
+) -> DataFrame:
+    """``df`` joined with ``table``, a hot group in as many parts as it has ``share`` rows.
+
+    Only hashes of the hot groups are broadcast: 16 bytes for each of at most 10,000.
+    A group that only has the hash of a hot one is salted like it on both sides. The
+    salt is a hash of the row, so that a task that is run again gives the same ones.
+    """
+    parts = F.ceil(F.max("_rows") / share).cast("int").alias("_parts")
+    salted = F.broadcast(stored(hot.groupBy(F.xxhash64("_its_group").alias("_print")).agg(parts), "hot-prints"))
+
+    def with_parts(rows: DataFrame, key: str) -> DataFrame:
+        marked = rows.withColumn("_of", F.xxhash64(F.col(key)))
+        return marked.join(salted, F.col("_of") == F.col("_print"), "left").drop("_print")
+
+    drawn = F.pmod(F.xxhash64(*[F.col(f"`{name}`") for name in df.columns]), F.coalesce("_parts", F.lit(1))).cast("int")
+    rows = with_parts(df, group).withColumn("_salt", drawn)
+    salts = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+    replicas = with_parts(table, "_its_group").withColumn("_its_salt", F.explode(salts)).drop("_of", "_parts")
+    same = F.col(group).eqNullSafe(F.col("_its_group")) & (F.col("_salt") == F.col("_its_salt"))
+    return rows.join(replicas, same, "left")
 
 
 def ranked(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:

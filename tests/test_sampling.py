@@ -146,15 +146,50 @@ def test_repeated_keys_end_the_query(spark):
     assert sm.preview(rows, "key").count() == 5
 
 
-def test_histogram_digits_follow_the_rows():
-    assert [sm.bucket_digits(n) for n in (0, 10**8, 10**9, 10**12, 10**18)] == [3, 3, 4, 6, 8]
+def test_windows_are_narrow_and_hold_the_cut(spark):
+    takes = [(0, 10**12, 10**6), (1, 10**12, 8 * 10**11), (2, 10**9, 10**9), (3, 50, 20), (4, 7, 0)]
+    df = spark.createDataFrame(takes, "_group int, _rows bigint, _take bigint")
+    got = {r._group: r for r in sm.windows(df, 8.0).collect()}
+    assert set(got) == {0, 1, 2, 3}
 
+    def place(edge):
+        return 0 if edge == "" else 1 if edge == "g" else int(edge, 16) / 16**12
 
-def test_finer_histograms_give_the_same_rows(spark, monkeypatch):
+    for group, rows, take in takes[:4]:
+        low, high = place(got[group]._low), place(got[group]._high)
+        assert low <= take / rows <= high
+        assert (high - low) * rows <= 16 * (math.sqrt(take * (1 - take / rows)) + 1) + 1
+    assert (got[3]._low, got[3]._high) == ("", "g")
+
+
+@pytest.mark.parametrize("width", [0.001, 0.5, math.inf])
+def test_cuts_outside_their_windows_are_found(spark, monkeypatch, width):
     rows = spark.createDataFrame(skewed(2000), "key bigint, label int")
-    before = {r.key for r in sm.sample_exact(rows, 300, 9, "key").collect()}
-    monkeypatch.setattr(sm, "_BUCKET_KEYS", 0.01)
-    assert {r.key for r in sm.sample_exact(rows, 300, 9, "key").collect()} == before
+    want = {r.key for r in sm.sample_exact(rows, 300, 9, "key").collect()}
+    split = {r.key: r.split for r in sm.stratified_split(rows, 0.23, 42, "label", "key").collect()}
+    monkeypatch.setattr(sm, "_WIDTH", width)
+    assert {r.key for r in sm.sample_exact(rows, 300, 9, "key").collect()} == want
+    assert {r.key: r.split for r in sm.stratified_split(rows, 0.23, 42, "label", "key").collect()} == split
+
+
+def test_no_row_is_kept_for_each_row(spark, monkeypatch):
+    """What sampling and splitting write is far smaller than the table."""
+    rows = spark.range(300_000).select(F.col("id").alias("key"), (F.col("id") % 3).alias("label"))
+    written = []
+
+    def counted(df, name, figures=None):
+        table = stored(df, name)
+        written.append((name, table.count()))
+        return table if figures is None else (table, table.agg(*figures).first())
+
+    monkeypatch.setattr(sm, "stored", counted)
+    monkeypatch.setattr(sm, "stored_with_figures", counted)
+    sm.sample_exact(rows, 1000, 1, "key")
+    sm.stratified_split(rows, 0.2, 1, "label", "key")
+    assert max(n for _, n in written) <= 3
+    near = sm.windows(spark.createDataFrame([(0, 300_000, 1000)], "_group int, _rows bigint, _take bigint"), 8.0).first()
+    inside = rows.select(F.substring(sm.seeded_hash(F.col("key"), 1, "sample"), 1, 12).alias("h"))
+    assert inside.where((F.col("h") >= near._low) & (F.col("h") < near._high)).count() < 600
 
 
 def test_no_window_over_all_classes(spark):
@@ -198,6 +233,28 @@ def test_group_values_beyond_the_broadcast_bound(spark):
     assert measured(table)[1] == 60_000
 
 
+def test_wide_hot_groups_are_salted(spark):
+    """Groups of 200 kB, one of them with most rows, beyond any bound: nothing of that size is broadcast."""
+    wide = F.repeat(F.lit("x"), 200_000)
+    own = F.when(F.col("id") % 4 != 0, 0).when(F.col("id") % 8 == 0, None).otherwise(F.col("id") % 50)
+    rows = spark.range(2000).select("id", F.concat(wide, own.cast("string")).alias("g"))
+    sizes = rows.groupBy(F.col("g").alias("_group")).agg(F.count("*").alias("_rows"))
+    table = stored(sizes.withColumn("size", F.col("_rows") * 2), "test")
+    joined = with_group_values(rows, "g", table, broadcast_bytes=1000)
+    got = {r.id: (r._rows, r.size) for r in joined.select("id", "_rows", "size").collect()}
+    counts = {}
+    for i in range(2000):
+        key = 0 if i % 4 else None if i % 8 == 0 else i % 50
+        counts[key] = counts.get(key, 0) + 1
+    assert len(got) == 2000
+    for i in range(2000):
+        n = counts[0 if i % 4 else None if i % 8 == 0 else i % 50]
+        assert got[i] == (n, 2 * n)
+    text = plan(joined)
+    broadcasts = [line for line in text.splitlines() if "BroadcastExchange" in line]
+    assert all("bigint" in line for line in broadcasts)  # hashes alone
+
+
 def test_rows_are_never_sorted_or_shuffled(table):
     for df in (
         sm.sample_exact(table, 100, 1, "key"),
