@@ -103,8 +103,8 @@ class Landed:
         on = (F.col(PART) == F.col("_of")) & (F.coalesce(bit, F.lit(0)) == 1)
         return rows.join(bitmaps.hint("shuffle_hash"), on, "left_semi" if picked else "left_anti")
 
-    def with_numbers(self, numbers: DataFrame, name: str) -> DataFrame:
-        """The rows plus BIGINT ``name``, from ``numbers`` (``_uid``, ``_number`` from 0 on); NULL for other rows.
+    def with_numbers(self, numbers: DataFrame, name: str, rows: DataFrame | None = None) -> DataFrame:
+        """The rows (or others of this table) plus BIGINT ``name``, from ``numbers`` (``_uid``, ``_number`` from 0 on); NULL for other rows.
 
         As with bitmaps, the numbers of a part go to where its rows lie.
         """
@@ -113,7 +113,7 @@ class Landed:
         place = F.col(UID).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
         chunk = F.try_element_at("_values", (F.floor(place / _CHUNK) + 1).cast("int"))
         number = F.try_element_at(chunk, (place % _CHUNK + 1).cast("int"))
-        rows = self.rows
+        rows = self.rows if rows is None else rows
         joined = rows.join(
             stored(values, "row-numbers").hint("shuffle_hash"), F.col(PART) == F.col("_of"), "left"
         )

@@ -6,8 +6,9 @@ of equally many words. Slot i of the mix gets the point frac(i / golden ratio);
 the cumulative targets of the sources cut the line from 0 to 1 into intervals,
 and the interval that the point falls into names the source. The slots of a
 source, ranked, take its blocks one after the other. Whatever stretch of the
-schedule is looked at, every source's share in it is off by a few slots only. A
-source has as many slots as its target needs: those beyond are left out, and
+schedule is looked at, every source's share in it is off by a few slots only. The
+plan names the first and last slot of each document, and mixed rows are written in
+the order of the slots that they begin in. A source has as many slots as its target needs: those beyond are left out, and
 missing ones come at the end. The last block of a source ends with its target.
 
 Targets: all sources share the number of all words by weight. A target stops at
@@ -84,8 +85,8 @@ def source_targets(
     return limited.select("source", "source_size", "_rows", "_number", "weight", target.alias("target"))
 
 
-def _slots(targets: DataFrame, block: int) -> DataFrame:
-    """The schedule: slot, _number (of the source) and _block, as many as the targets need."""
+def _slots(targets: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """The schedule: slot, _number (of the source) and _block, as many as the targets need; a number above all slots."""
     spark = targets.sparkSession
     # Of the target, whole words are taken.
     takes = targets.select("_number", F.floor("target").alias("_take"), F.lit(0).alias("_all"))
@@ -131,7 +132,7 @@ def _slots(targets: DataFrame, block: int) -> DataFrame:
         F.explode(F.sequence(F.col("_slots"), F.col("_needed") - 1)).alias("_block"), "_number"
     )
     late = missing.select((F.lit(n_slots) + F.col("_number")).alias("slot"), "_number", "_block")
-    return in_time.select("slot", "_number", "_block").unionByName(late)
+    return in_time.select("slot", "_number", "_block").unionByName(late), n_slots + n_sources
 
 
 class Mix:
@@ -156,7 +157,9 @@ class Mix:
             UID, "_number", drawn.alias("_drawn"), "_key", "_hash", "_size", "source_size", "target"
         )
         placed = running_totals(lengths, "_number", ["_drawn", "_key", "_hash"], "_size", "_start")
-        self.schedule = stored(self._pieces(placed, _slots(targets, block), block, repeats), "schedule")
+        slots, self.slots = _slots(targets, block)
+        self.repeats = repeats
+        self.schedule = stored(self._pieces(placed, slots, block, repeats), "schedule")
 
     def _pieces(self, placed: DataFrame, slots: DataFrame, block: int, repeats: int) -> DataFrame:
         """slot, _uid, epoch, word (where the piece starts in the document) and words (its length)."""
@@ -182,6 +185,16 @@ class Mix:
         """
         return self.schedule.groupBy(UID).agg(F.sum("words").alias("taken"))
 
+    def places(self) -> DataFrame:
+        """``_uid``, taken, first_slot and last_slot: how much of each document the mix has, and where."""
+        return self.schedule.groupBy(UID).agg(
+            F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot")
+        )
+
+    def passage(self, epoch: int) -> DataFrame:
+        """``_uid``, _number: the slot that a passage through each document begins in."""
+        return self.schedule.where(F.col("epoch") == epoch).groupBy(UID).agg(F.min("slot").alias("_number"))
+
 
 def mix_plan(
     df: DataFrame,
@@ -190,9 +203,10 @@ def mix_plan(
     source: str = "source",
     **settings: object,
 ) -> DataFrame:
-    """``key``, size, source, source_size, target and taken of every row.
+    """``key``, size, source, source_size, target, taken, first_slot and last_slot of every row.
 
-    ``taken`` is the number of the row's words in the mix, repeats counted.
+    ``taken`` is the number of the row's words in the mix, repeats counted; the
+    slots are NULL where that is 0.
     """
     rows = df.select(
         F.col(key).alias("_key"),
@@ -203,7 +217,7 @@ def mix_plan(
     )
     rows = stored(rows, "document-sizes")
     mix = Mix(rows, **settings)
-    taken = mix.taken().withColumnRenamed(UID, "_of")
+    taken = mix.places().withColumnRenamed(UID, "_of")
     return mix.rows.join(taken, F.col(UID) == F.col("_of"), "left").select(
         F.col("_key").alias(key),
         F.col("_size").alias("size"),
@@ -211,6 +225,8 @@ def mix_plan(
         "source_size",
         "target",
         F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"),
+        "first_slot",
+        "last_slot",
     )
 
 
@@ -230,6 +246,14 @@ def first_words(text: Column, n: Column) -> Column:
     return cut(text, n)
 
 
+def _in_order(rows: DataFrame, slots: int) -> DataFrame:
+    """Rows ranged by ``_slot``: equal stretches of the schedule, which hold about as many words each."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stretch = F.coalesce(F.expr(f"_slot * {parts} div {max(slots, 1)}"), F.pmod(UID, F.lit(parts)))
+    ranged = rows.withColumn("_stretch", stretch.cast("int")).repartitionById(parts, "_stretch")
+    return ranged.sortWithinPartitions("_slot", UID, "_passage").drop("_stretch")
+
+
 def mixed_rows(
     df: DataFrame,
     key: str = "doc_id",
@@ -240,7 +264,8 @@ def mixed_rows(
 ) -> DataFrame:
     """The mix as rows with the columns of ``df``: each as often as its source is passed through.
 
-    A row is cut only where its source's target ends, to the words within; the
+    Rows are in the order of the schedule, in equal stretches of it; those without
+    words, which no slot holds, lie among them. A row is cut only where its source's target ends, to the words within; the
     column ``length``, if named and there, follows. Rows without words stay once.
     """
     extra = {
@@ -255,9 +280,13 @@ def mixed_rows(
     joined = landed.with_numbers(mix.taken().withColumnRenamed("taken", "_number"), "_all")
     passages = F.ceil(F.col("_all") / F.col("_size")).cast("int")
     once = F.when((F.col("_size") == 0), F.array(F.lit(1))).when(F.col("_all") > 0, F.sequence(F.lit(1), passages))
+    slots = [f"_slot{epoch}" for epoch in range(mix.repeats)]
+    for epoch, name in enumerate(slots):
+        joined = landed.with_numbers(mix.passage(epoch), name, joined)
     joined = joined.withColumn("_passage", F.explode(once)).withColumn(
         "_taken", F.least(F.col("_size"), F.col("_all") - (F.col("_passage") - 1) * F.col("_size"))
     )
+    joined = _in_order(joined.withColumn("_slot", F.get(F.array(*slots), F.col("_passage") - 1)).drop(*slots), mix.slots)
     whole = F.col(f"{ROW}.`{text}`")
     is_cut = F.coalesce(F.col("_taken") < F.col("_size"), F.lit(False))
     short = first_words(F.when(is_cut, whole), F.when(is_cut, F.col("_taken")))

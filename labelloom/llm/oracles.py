@@ -52,16 +52,46 @@ WITH texts AS (
     SELECT source, source_size, least(most::DOUBLE,
         weight * (SELECT arg_min(unit, place) FROM units WHERE weight * unit <= most)) AS target
     FROM limited
+), numbered AS (
+    SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number, floor(target)::BIGINT AS take FROM targets
+), shares AS (
+    SELECT *, (sum(take) OVER (ORDER BY number) - take)::BIGINT AS before, (sum(take) OVER ())::BIGINT AS total FROM numbered
+), spans AS (
+    SELECT *, least(floor(before * (2147483648::DOUBLE / total)), 2147483648)::BIGINT AS low,
+        CASE WHEN before + take = total THEN 2147483648
+            ELSE least(floor((before + take) * (2147483648::DOUBLE / total)), 2147483648)::BIGINT END AS high,
+        (total + 1023) // 1024 AS n_slots, (take + 1023) // 1024 AS needed
+    FROM shares WHERE total > 0
+), points AS (
+    SELECT i AS slot, (i % 2147483648) * 1327217885 % 2147483648 AS point FROM range((SELECT max(n_slots) FROM spans)) line(i)
+), named AS (
+    SELECT slot, number, needed, row_number() OVER (PARTITION BY number ORDER BY slot) - 1 AS block
+    FROM points JOIN spans ON low <= point AND point < high
+), late AS (
+    SELECT n_slots + number AS slot, number, unnest(range(coalesce(slots, 0), needed)) AS block
+    FROM spans LEFT JOIN (SELECT number, count(*) AS slots FROM named GROUP BY number) USING (number)
+), schedule AS (
+    SELECT slot, number, block FROM named WHERE block < needed
+    UNION ALL SELECT slot, number, block FROM late
 ), placed AS (
-    SELECT doc_id, size, texts.source AS source, source_size, target,
-        sum(size) OVER (PARTITION BY texts.source ORDER BY drawn, doc_id ROWS UNBOUNDED PRECEDING) - size AS start
-    FROM texts JOIN targets ON texts.source IS NOT DISTINCT FROM targets.source
+    SELECT doc_id, size, texts.source AS source, source_size, target, number, take,
+        sum(size) OVER (PARTITION BY texts.source ORDER BY drawn, doc_id ROWS UNBOUNDED PRECEDING) - size AS start,
+        row_number() OVER () AS uid
+    FROM texts JOIN numbered ON texts.source IS NOT DISTINCT FROM numbered.source
+), passages AS (
+    SELECT uid, number, epoch * source_size + start AS first, least(epoch * source_size + start + size, take) AS last
+    FROM placed, range(3) epochs(epoch)
+), pieces AS (
+    SELECT uid, number, first, last, unnest(range((first // 1024)::BIGINT, ((last - 1) // 1024)::BIGINT + 1)) AS block
+    FROM passages WHERE first < last
+), met AS (
+    SELECT uid, sum(least(last, (pieces.block + 1) * 1024) - greatest(first, pieces.block * 1024)) AS taken,
+        min(slot) AS first_slot, max(slot) AS last_slot
+    FROM pieces JOIN schedule ON schedule.number = pieces.number AND schedule.block = pieces.block
+    GROUP BY uid
 )
-SELECT doc_id, size, source, source_size, target,
-    (greatest(0, least(size, floor(target)::BIGINT - start))
-    + greatest(0, least(size, floor(target)::BIGINT - source_size - start))
-    + greatest(0, least(size, floor(target)::BIGINT - 2 * source_size - start)))::BIGINT AS taken
-FROM placed
+SELECT doc_id, size, source, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_slot, last_slot
+FROM placed LEFT JOIN met USING (uid)
 """
 
 _TOP_K = """

@@ -198,3 +198,43 @@ def test_lengths_together_cost_no_more_than_any_alone(spark):
         return sum(costs[b.capacity] for b in bins)
 
     assert cost(pk.LENGTHS) <= min(cost((2048,)), cost((4096,)))
+
+
+def test_slots_come_from_the_schedule(spark, monkeypatch):
+    """Documents lie in the slots of their source's blocks; with another schedule the plan is another one."""
+    df = documents(spark, sample_rows())
+    got = mx.mix_plan(df, block=64).collect()
+    slots = {(r.doc_id, r.source): (r.first_slot, r.last_slot) for r in got}
+    for r in got:
+        assert (r.first_slot is None) == (r.taken == 0)
+        if r.taken:
+            assert 0 <= r.first_slot <= r.last_slot
+    real = mx._slots
+
+    def one_source_after_the_other(targets, block):
+        scheduled, n = real(targets, block)
+        place = F.expr("ROW_NUMBER() OVER (ORDER BY _number, _block) - 1")
+        return scheduled.select(place.cast("bigint").alias("slot"), "_number", "_block"), n
+
+    monkeypatch.setattr(mx, "_slots", one_source_after_the_other)
+    other = {(r.doc_id, r.source): (r.first_slot, r.last_slot) for r in mx.mix_plan(df, block=64).collect()}
+    assert slots != other
+
+
+def test_mixed_rows_are_in_schedule_order(spark, tmp_path):
+    """Every stretch of the written rows has its sources near their shares, though the table came sorted by source."""
+    draw = random.Random(8)
+    rows = [(i, "w " * draw.randint(5, 60), "abc"[i // 2000]) for i in range(6000)]
+    mixed = mx.mixed_rows(documents(spark, rows).coalesce(1), block=64)
+    path = str(tmp_path / "mixed")
+    mixed.write.parquet(path)
+    names = sorted(name for name in __import__("os").listdir(path) if name.endswith(".parquet"))
+    found = [(r.source, size(r.text)) for name in names for r in spark.read.parquet(f"{path}/{name}").collect()]
+    total = sum(n for _, n in found)
+    shares = {s: sum(n for own, n in found if own == s) / total for s in "abc"}
+    assert len(found) > 5000 and max(shares.values()) < 0.7
+    for start in range(0, len(found) - 1000, 500):
+        stretch = found[start : start + 1000]
+        words = sum(n for _, n in stretch)
+        for source in "abc":
+            assert abs(sum(n for own, n in stretch if own == source) / words - shares[source]) < 0.05
