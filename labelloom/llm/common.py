@@ -72,7 +72,9 @@ class Landed:
         numbered = df.select(whole.alias(ROW), *[c.alias(n) for n, c in extra.items()])
         numbered = numbered.withColumn(UID, F.monotonically_increasing_id())
         numbered = numbered.withColumn(PART, F.shiftright(UID, _ROW_BITS).cast("int"))
+        # Whole texts lie here once more, so they are packed tighter than by default.
         writer = numbered.write.format("parquet").bucketBy(buckets, PART).option("path", path)
+        writer = writer.option("compression", "zstd")
         writer.saveAsTable(self.table)
 
     @property
