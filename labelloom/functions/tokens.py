@@ -95,20 +95,10 @@ def training_arrays(
             )
 
     def _padded(texts: pa.Array, encode_batch: EncodeBatch) -> pa.StructArray:
-        missing = texts.is_null().to_numpy(zero_copy_only=False)
         ids = encode_batch(texts.drop_null().to_pylist())
-        rows = np.full((len(texts), max_length), pad, np.int32)
-        mask = np.zeros_like(rows)
-        for place, one in zip(np.flatnonzero(~missing), ids):
-            kept = np.asarray(one[:max_length], np.int32)
-            rows[place, : len(kept)] = kept
-            mask[place, : len(kept)] = 1
-        labels = np.where(rows == pad, IGNORED_LABEL, rows).astype(np.int32)
-        offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * max_length)
-        nulls = pa.array(missing)
-        arrays = [
-            pa.ListArray.from_arrays(offsets, pa.array(one.ravel()), mask=nulls) for one in (rows, mask, labels)
-        ]
+        rows, filled = _rows_of(_lists(texts, [one[:max_length] for one in ids]), max_length, pad)
+        missing = texts.is_null()
+        arrays = [_as_lists(one, missing) for one in (rows, filled.astype(np.int32), ignoring(rows, pad))]
         names = ["input_ids", "attention_mask", "labels", "n_tokens"]
         return pa.StructArray.from_arrays([*arrays, _counts(texts, ids)], names)
 
@@ -128,24 +118,98 @@ def token_count(text: Column, factory: Callable[[], EncodeBatch] | None = None)
     return count.asNondeterministic()(text)
 
 
-def padded(ids: Column, max_length: int, pad: int) -> Column:
-    """Ids filled up with ``pad`` to exactly ``max_length``."""
-    return F.concat(ids, F.array_repeat(F.lit(pad), F.lit(max_length) - F.size(ids)))
+def _rows_of(ids: pa.Array, length: int, pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of at most ``length`` ids as a matrix, and which of its entries they fill; NULL fills none."""
+    counts = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    filled = np.arange(length) < counts[:, None]
+    rows = np.full((len(ids), length), pad, np.int32)
+    rows[filled] = ids.flatten().to_numpy(zero_copy_only=False)
+    return rows, filled
 
 
-def attention_mask(ids: Column, max_length: int) -> Column:
-    """1 for each real token of the unpadded ids, 0 for the padding."""
-    return F.concat(
-        F.array_repeat(F.lit(1), F.size(ids)),
-        F.array_repeat(F.lit(0), F.lit(max_length) - F.size(ids)),
-    )
+def _as_lists(rows: np.ndarray, missing: pa.Array) -> pa.ListArray:
+    offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1])
+    return pa.ListArray.from_arrays(offsets, pa.array(rows.ravel()), mask=missing)
 
 
-def training_labels(padded_ids: Column, pad: int) -> Column:
-    """Ids with the pad id set to -100.
+def ignoring(rows: np.ndarray, pad: int) -> np.ndarray:
+    """Labels of padded ids.
 
-    Where pad and end-of-text are one id, real end-of-text tokens are set too.
+    Where pad and end-of-text are one id, real end-of-text tokens are ignored too.
     """
-    return F.transform(
-        padded_ids, lambda one: F.when(one == pad, F.lit(IGNORED_LABEL)).otherwise(one)
-    )
+    return np.where(rows == pad, IGNORED_LABEL, rows).astype(np.int32)
+
+
+def padded_arrays(ids: Column, max_length: int, pad: int) -> Column:
+    """(input_ids, attention_mask, labels) of exactly ``max_length``, from unpadded ids no longer than that."""
+
+    @F.arrow_udf("input_ids array<int>, attention_mask array<int>, labels array<int>")
+    def make(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            parts = []
+            for start in range(0, max(len(lists), 1), _PART):
+                some = lists.slice(start, _PART)
+                rows, filled = _rows_of(some, max_length, pad)
+                arrays = [
+                    _as_lists(one, some.is_null()) for one in (rows, filled.astype(np.int32), ignoring(rows, pad))
+                ]
+                parts.append(pa.StructArray.from_arrays(arrays, ["input_ids", "attention_mask", "labels"]))
+            yield pa.concat_arrays(parts)
+
+    return make.asNondeterministic()(ids)
+
+
+def training_labels(padded_ids: Column, pad: int) -> Column:
+    """Ids with the pad id set to -100."""
+
+    @F.arrow_udf("array<int>")
+    def make(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            labels = ignoring(lists.flatten().to_numpy(zero_copy_only=False), pad)
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(labels), mask=lists.is_null())
+
+    return make(padded_ids)
+
+
+def in_batches(size: int, pad: int, key_type: pa.DataType):
+    """From rows (key, input_ids, bucket) that come by bucket: one row a batch, padded to its longest."""
+
+    def batch(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows).combine_chunks()
+        ids = table["input_ids"].combine_chunks()
+        longest = int(ids.value_lengths().to_numpy(zero_copy_only=False).max(initial=0))
+        matrix, filled = _rows_of(ids, longest, pad)
+        none = pa.array(np.zeros(len(matrix), bool))
+        whole = pa.array([0, len(matrix)], pa.int32())
+        arrays = [
+            pa.ListArray.from_arrays(whole, _as_lists(one, none))
+            for one in (matrix, filled.astype(np.int32), ignoring(matrix, pad))
+        ]
+        keys = pa.ListArray.from_arrays(whole, table["key"].combine_chunks().cast(key_type))
+        columns = [keys, pa.array([longest], pa.int32()), *arrays]
+        return pa.RecordBatch.from_arrays(columns, names=["keys", "length", "input_ids", "attention_mask", "labels"])
+
+    def collate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows, bucket = 0, None
+        for some in batches:
+            buckets = some.column("bucket").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(buckets)) + 1), len(some)]
+            for start, end in zip(cuts, cuts[1:]):
+                if start < end and buckets[start] != bucket:
+                    if held:
+                        yield batch(held)
+                    held, rows, bucket = [], 0, buckets[start]
+                while start < end:
+                    taken = min(size - rows, end - start)
+                    held.append(some.slice(start, taken))
+                    start, rows = start + taken, rows + taken
+                    if rows == size:
+                        yield batch(held)
+                        held, rows = [], 0
+        if held:
+            yield batch(held)
+
+    return collate

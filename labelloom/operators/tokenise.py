@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from labelloom.functions import tokens as tk
 
@@ -42,11 +43,16 @@ def training_rows(
     return rows.select(*keep, "_arrays.*")
 
 
+def padded_rows(df: DataFrame, max_length: int, pad: int) -> DataFrame:
+    """``df`` with ``input_ids`` filled up to ``max_length``, plus ``attention_mask`` and ``labels``."""
+    others = [name for name in df.columns if name != "input_ids"]
+    rows = df.select(*others, tk.padded_arrays(F.col("input_ids"), max_length, pad).alias("_arrays"))
+    return rows.select(*others, "_arrays.*")
+
+
 def pad_mask(df: DataFrame, max_length: int, pad: int) -> DataFrame:
     """``input_ids`` filled up to ``max_length``, and ``attention_mask``."""
-    mask = tk.attention_mask(F.col("input_ids"), max_length)
-    ids = tk.padded(F.col("input_ids"), max_length, pad)
-    return df.withColumns({"attention_mask": mask, "input_ids": ids})
+    return padded_rows(df, max_length, pad).select(*df.columns, "attention_mask")
 
 
 def lm_labels(df: DataFrame, pad: int) -> DataFrame:
@@ -54,6 +60,23 @@ def lm_labels(df: DataFrame, pad: int) -> DataFrame:
     return df.withColumn("labels", tk.training_labels(F.col("input_ids"), pad))
 
 
+def token_batches(df: DataFrame, key: str, size: int, pad: int, bucket: int = 64) -> DataFrame:
+    """Batches as a trainer reads them: keys, length, and ``input_ids``, ``attention_mask`` and ``labels`` as matrices.
+
+    ``df`` has unpadded ``input_ids``. A batch holds at most ``size`` rows, whose
+    lengths lie within the same ``bucket`` tokens, and is padded to the longest of
+    them only. Rows are ordered by length within their task and go nowhere else; a
+    task leaves at most one batch short for each bucket. Rows without ids are left out.
+    """
+    bucketed = F.ceil(F.size("input_ids") / bucket).cast("int").alias("bucket")
+    rows = df.where("input_ids IS NOT NULL").select(F.col(key).alias("key"), "input_ids", bucketed)
+    ordered = rows.sortWithinPartitions("bucket", "key")
+    kind = rows.schema["key"].dataType
+    matrix = ", ".join(f"{name} array<array<int>>" for name in ("input_ids", "attention_mask", "labels"))
+    schema = f"keys array<{kind.simpleString()}>, length int, {matrix}"
+    return ordered.mapInArrow(tk.in_batches(size, pad, to_arrow_type(kind)), schema)
+
+
 def truncation_report(
     df: DataFrame,
     text: str,

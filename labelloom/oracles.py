@@ -267,6 +267,11 @@ FROM raw""",
 SELECT doc_id,
   CAST(list_resize(ids, 2048, 0) AS VARCHAR) AS input_ids,
   CAST(list_transform(range(1, 2049), lambda i: CASE WHEN i <= n THEN 1 ELSE 0 END) AS VARCHAR) AS attention_mask
+FROM tokens""",
+    "token_batches": f"""WITH {_TOKENS}
+SELECT doc_id, len(list_resize(ids, least(n, 2048)))::BIGINT AS n_tokens,
+  coalesce(list_sum(list_resize(ids, least(n, 2048))), 0)::BIGINT AS sum_ids,
+  coalesce(list_sum(list_resize(ids, least(n, 2048))), 0)::BIGINT AS sum_labels, TRUE AS is_close
 FROM tokens""",
     "lm_labels": f"""WITH {_TOKENS}
 SELECT doc_id, CAST(list_transform(list_resize(ids, 2048, 0),

@@ -25,7 +25,7 @@ from labelloom.operators.sampling import (
     sample_exact,
     stratified_split,
 )
-from labelloom.operators.tokenise import training_rows
+from labelloom.operators.tokenise import padded_rows, tokenise
 from labelloom.sources.contracts import read_contracts
 from labelloom.sources.resolve import require_columns, resolve_source
 from labelloom.sources.write import export_split_text, land, with_config, write_config, write_csv
@@ -113,15 +113,17 @@ def prepare_tokens(
     pad: int = 0,
     **columns: object,
 ) -> DataFrame:
-    """Prepare, and write padded token arrays with training labels, one folder for each part.
+    """Prepare, and write token ids, one folder for each part; returned padded, with masks and training labels.
 
-    Arrays have ``settings.max_length`` tokens; ``n_tokens`` is the whole text's
-    number. ``columns`` are those of ``prepare``.
+    What is written takes as much room as there are tokens, at most
+    ``settings.max_length`` a row; padding, masks and labels are made when the rows
+    are read (``padded_rows``, or ``token_batches`` for a trainer). ``n_tokens`` is the
+    whole text's number. ``columns`` are those of ``prepare``.
     """
     prepared = prepare(rows, key, settings, **columns)
-    arrays = training_rows(prepared, "text", settings.max_length, pad, tokenizer, keep=(key, "split"))
-    arrays.write.partitionBy("split").parquet(output)
-    return rows.sparkSession.read.schema(arrays.schema).parquet(output)
+    ids = tokenise(prepared, "text", settings.max_length, tokenizer, keep=(key, "split"))
+    ids.write.partitionBy("split").parquet(output)
+    return padded_rows(rows.sparkSession.read.schema(ids.schema).parquet(output), settings.max_length, pad)
 
 
 def read_and_land(

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from labelloom.functions import prompts as pr
 from labelloom.functions import text as tx
+from labelloom.functions.tokens import CodePoints
 from labelloom.functions.wording import SHORT
 from labelloom.operators import clean as cl
 from labelloom.operators import evaluate as ev
@@ -473,19 +474,40 @@ def tokenise_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", as_text("input_ids"))
 
 
-def _padded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tk.tokenise(table(spark, sf_dir, "documents"), "text", MAX_LENGTH, keep=("doc_id",))
-    return tk.pad_mask(rows, MAX_LENGTH, PAD)
+def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return tk.tokenise(documents, "text", MAX_LENGTH, CodePoints(), keep=("doc_id",))
 
 
 def pad_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _padded(spark, sf_dir).select(
+    return tk.pad_mask(_ids(spark, sf_dir), MAX_LENGTH, PAD).select(
         "doc_id", as_text("input_ids"), as_text("attention_mask")
     )
 
 
 def lm_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tk.lm_labels(_padded(spark, sf_dir), PAD).select("doc_id", as_text("labels"))
+    rows = tk.training_rows(table(spark, sf_dir, "documents"), "text", MAX_LENGTH, PAD, keep=("doc_id",))
+    return rows.select("doc_id", as_text("labels"))
+
+
+def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as it comes in its batch: real tokens, their sum, labels, and whether padding is within a bucket."""
+    batches = tk.token_batches(_ids(spark, sf_dir), "doc_id", 16, PAD)
+    rows = batches.select(
+        "length", F.explode(F.arrays_zip("keys", "input_ids", "attention_mask", "labels")).alias("row")
+    )
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0).cast("bigint"), lambda so_far, one: so_far + one)
+
+    real = total(F.col("row.attention_mask"))
+    return rows.select(
+        F.col("row.keys").alias("doc_id"),
+        real.alias("n_tokens"),
+        total(F.col("row.input_ids")).alias("sum_ids"),
+        (total(F.col("row.labels")) + 100 * (F.col("length") - real)).alias("sum_labels"),
+        (F.col("length") - real < 64).alias("is_close"),
+    )
 
 
 def truncation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -717,6 +739,7 @@ QUERIES: dict[str, Query] = {
     "tokenise_batched": tokenise_batched,
     "pad_mask": pad_mask,
     "lm_labels": lm_labels,
+    "token_batches": token_batches,
     "truncation_report": truncation_report,
     "classify_table": classify_rows,
     "accuracy_all": accuracy_all,

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from labelloom.functions.tokens import CodePoints
 from labelloom.functions.workers import built
 from labelloom.operators import tokenise as tk
+from labelloom.plans.flows import prepare_tokens
 from labelloom.queries import UTF8_BYTES
 
 
@@ -70,3 +71,34 @@ def test_one_pass_gives_what_the_steps_give(spark):
     for tokenizer in (UTF8_BYTES, CodePoints()):
         got = tk.training_rows(rows, "t", 5, 98, tokenizer, keep=("i",))
         assert got.select(*columns).orderBy("i").collect() == steps.select(*columns).orderBy("i").collect()
+
+
+def test_batches_hold_every_row_once(spark):
+    texts = ["x" * (i * 7 % 150) for i in range(400)] + [None, ""]
+    rows = spark.createDataFrame([(f"k{i}", t) for i, t in enumerate(texts)], "i string, t string").repartition(3)
+    ids = tk.tokenise(rows, "t", 100, CodePoints(), keep=("i",))
+    batches = tk.token_batches(ids, "i", 8, 98, bucket=32).collect()
+    seen = {}
+    for b in batches:
+        assert 1 <= len(b["keys"]) <= 8
+        assert b.length == max(map(sum, b.attention_mask))
+        for key, own, mask, labels in zip(b["keys"], b.input_ids, b.attention_mask, b.labels):
+            n = sum(mask)
+            assert len(own) == len(mask) == len(labels) == b.length and b.length - n < 32
+            assert own[n:] == [98] * (b.length - n) and labels[n:] == [-100] * (b.length - n)
+            assert labels[:n] == own[:n]
+            seen[key] = n
+    assert seen == {f"k{i}": min(len(t), 100) for i, t in enumerate(texts) if t is not None}
+    # A task leaves at most one short batch for each of its buckets.
+    assert sum(len(b["keys"]) < 8 for b in batches) <= 3 * 5
+
+
+def test_stored_tokens_take_room_by_their_number(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "code", str(i % 2)) for i in range(40)], "id bigint, code string, label_encoded string")
+    got = prepare_tokens(rows, "id", str(tmp_path / "ids"))
+    stored = spark.read.parquet(str(tmp_path / "ids"))
+    assert set(stored.columns) == {"id", "input_ids", "n_tokens", "split"}
+    for row in stored.collect():
+        assert len(row.input_ids) == min(row.n_tokens, 2048)
+    first = got.first()
+    assert len(first.input_ids) == len(first.attention_mask) == len(first.labels) == 2048
