@@ -340,6 +340,28 @@ test AS (SELECT doc_id, code, label_encoded FROM parted WHERE split = 'test')"""
 # SQL states which rows a trained model must answer, and that it reaches its floor.
 _ORACLES["fit_classifier"] = f"""WITH {_LANGUAGES}
 SELECT doc_id, label_encoded, true AS same_when_loaded, true AS is_class FROM test"""
+_ORACLES["naive_bayes"] = rf"""WITH {_LANGUAGES},
+cut AS (
+  SELECT doc_id, label_encoded AS label, split, code IS NULL AS missing,
+    regexp_extract_all(code, '[^\x20\x09-\x0D]+') AS words
+  FROM parted),
+training AS (SELECT * FROM cut WHERE split = 'train' AND NOT missing),
+classes AS (SELECT label, count(*) AS n, sum(len(words)) AS total FROM training GROUP BY label),
+counts AS (SELECT label, word, count(*) AS n FROM (SELECT label, unnest(words) AS word FROM training) GROUP BY ALL),
+vocabulary AS (SELECT DISTINCT word FROM counts),
+weights AS (
+  SELECT classes.label, vocabulary.word,
+    round(ln((coalesce(counts.n, 0) + 1)::DOUBLE / (total + (SELECT count(*) FROM vocabulary))::DOUBLE) * 1048576)::BIGINT AS weight
+  FROM classes CROSS JOIN vocabulary LEFT JOIN counts ON counts.label = classes.label AND counts.word = vocabulary.word),
+asked AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(words) AS word FROM cut WHERE split = 'test') GROUP BY ALL),
+sums AS (SELECT doc_id, label, sum(n * weight) AS score FROM asked JOIN weights USING (word) GROUP BY ALL),
+scored AS (
+  SELECT cut.doc_id, cut.label AS label_encoded, missing, classes.label,
+    coalesce(score, 0) + round(ln(classes.n::DOUBLE / (SELECT sum(n) FROM classes)::DOUBLE) * 1048576)::BIGINT AS score
+  FROM cut CROSS JOIN classes
+  LEFT JOIN sums ON sums.doc_id = cut.doc_id AND sums.label = classes.label WHERE split = 'test'),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) AS place FROM scored)
+SELECT doc_id, label_encoded, CASE WHEN missing THEN -1 ELSE label END::INT AS prediction FROM best WHERE place = 1"""
 _ORACLES["model_accuracy"] = f"""WITH {_LANGUAGES}
 SELECT coalesce(CAST(label_encoded AS VARCHAR), 'all') AS label, count(*) AS total, count(*) AS answered,
   true AS reaches_floor

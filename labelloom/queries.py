@@ -30,6 +30,7 @@ from labelloom.operators.classify import (
     classify_with_model,
 )
 from labelloom.operators.model import fit_classifier, load_model, save_model, select_model
+from labelloom.operators.naive_bayes import fit_word_counts
 from labelloom.plans.flows import (
     PRESETS,
     Settings,
@@ -619,6 +620,14 @@ def model_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every test row with the class that a model of counts, fitted on the training part, gives it."""
+    rows = _languages(spark, sf_dir)
+    test = sm.part(rows, "test")
+    predicted = fit_word_counts(sm.part(rows, "train")).classify(test, "doc_id", "code")
+    return test.select("doc_id", "label_encoded").join(predicted, "doc_id")
+
+
 def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two candidates compared on rows cut from the training part; the better one on the test part."""
     rows = _languages(spark, sf_dir)
@@ -749,6 +758,7 @@ QUERIES: dict[str, Query] = {
     "classify_stream": classify_arriving,
     "fit_classifier": fit,
     "model_accuracy": model_accuracy,
+    "naive_bayes": naive_bayes,
     "model_selection": model_selection,
     "classify_file_model": classify_file_model,
     "prepare": prepared,
