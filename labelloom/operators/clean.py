@@ -101,13 +101,14 @@ def clean_report(
     domain: Sequence[int] = DOMAIN,
 ) -> DataFrame:
     """One row: rows in, rows dropped by each rule, kept, removed. One scan."""
-    counts = [F.count_if(F.col("reject") == rule).alias(rule) for rule in RULES]
-    return (
-        with_reject(df, code, label, domain)
-        .agg(
-            F.count("*").alias("rows_in"),
-            *counts,
-            F.count_if(F.col("reject").isNull()).alias("kept"),
-        )
-        .withColumn("removed", F.col("rows_in") - F.col("kept"))
-    )
+    return with_reject(df, code, label, domain).agg(*reject_counts())
+
+
+def reject_counts() -> list[Column]:
+    """Aggregates over rows with ``reject``: rows in, dropped by each rule, kept, removed."""
+    return [
+        F.count("*").alias("rows_in"),
+        *[F.count_if(F.col("reject") == rule).alias(rule) for rule in RULES],
+        F.count_if(F.col("reject").isNull()).alias("kept"),
+        F.count_if(F.col("reject").isNotNull()).alias("removed"),
+    ]

@@ -202,6 +202,20 @@ SELECT count(*) AS rows_in,
   count(*) FILTER (WHERE reject IS NOT NULL) AS removed
 FROM judged""",
     "split_sizes": f"WITH {_SPLIT} SELECT split, count(*) AS n FROM parted GROUP BY split",
+    "landing_report": f"""WITH {_JUDGED}
+SELECT count(*) AS rows_in,
+  count(*) FILTER (WHERE reject = 'missing') AS missing,
+  count(*) FILTER (WHERE reject = 'blank') AS blank,
+  count(*) FILTER (WHERE reject = 'bad_label') AS bad_label,
+  count(*) FILTER (WHERE reject = 'out_of_domain') AS out_of_domain,
+  count(*) FILTER (WHERE reject IS NULL) AS kept,
+  count(*) FILTER (WHERE reject IS NOT NULL) AS removed,
+  count(*) AS landed, count(code) AS with_code
+FROM judged""",
+    "preparing_report": f"""WITH {_SPLIT}, {_LINES}
+SELECT split, count(*) AS rows, count(*) * 3 // 16 AS steps,
+  max(length(concat({_LONG_BEFORE}, code, {_text(LONG.after)}, ' ', CAST(label_encoded AS VARCHAR))))::INT AS longest
+FROM parted GROUP BY split""",
     "training_steps": f"""WITH {_SPLIT}
 SELECT split, count(*) AS n, count(*) * 3 // 16 AS steps FROM parted GROUP BY split""",
     "preview": f"WITH {_CONTRACTS} SELECT * FROM contracts ORDER BY doc_id LIMIT 5",

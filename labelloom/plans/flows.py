@@ -7,17 +7,16 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, dataclass
 
 from pyspark.ml import Model
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.functions.prompts import prompt
 from labelloom.functions.tokens import CodePoints, EncodeBatch
 from labelloom.functions.wording import LABEL_NAMES, LONG, SHORT, Wording
 from labelloom.operators.classify import Scorer, classify_table, classify_with_model
-from labelloom.operators.clean import clean, number_of
+from labelloom.operators.clean import clean, number_of, reject_counts, with_reject
 from labelloom.operators.evaluate import accuracy_answered, evaluate
 from labelloom.operators.model import MODEL_SETTINGS, NUM_FEATURES, fit_classifier, save_model
-from labelloom.operators.profile import training_steps
 from labelloom.operators.sampling import (
     cap_per_class,
     eval_subset,
@@ -28,7 +27,14 @@ from labelloom.operators.sampling import (
 from labelloom.operators.tokenise import padded_rows, tokenise
 from labelloom.sources.contracts import read_contracts
 from labelloom.sources.resolve import require_columns, resolve_source
-from labelloom.sources.write import export_split_text, land, with_config, write_config, write_csv
+from labelloom.sources.write import (
+    config_table,
+    export_split_text,
+    land,
+    land_with_figures,
+    write_config,
+    write_csv,
+)
 
 
 @dataclass(frozen=True)
@@ -138,6 +144,29 @@ def read_and_land(
     return land(read_contracts(spark, source, on_bad_lines, encoding, row_id="row_id"), landed)
 
 
+def land_with_report(
+    rows: DataFrame, landed: str, code: str = "code", label: str = "label_encoded", names: Mapping[int, str] = LABEL_NAMES
+) -> tuple[DataFrame, Row]:
+    """All ``rows`` landed as Parquet, and what cleaning will keep and drop of them, from the same scan."""
+    judged = with_reject(require_columns(rows, [code, label]), code, label, tuple(names))
+    return land_with_figures(judged, landed, reject_counts(), drop=("reject",))
+
+
+def prepare_with_report(
+    rows: DataFrame, key: str, landed: str, settings: Settings = Settings(), **columns: object
+) -> tuple[DataFrame, Row]:
+    """Rows of ``prepare`` landed, and rows, steps and longest text of the parts, from the same scan."""
+    prepared = prepare(rows, key, settings, **columns)
+    per_step = settings.per_device_train_batch_size * settings.gradient_accumulation_steps
+    figures = []
+    for name in ("train", "test"):
+        n = F.count_if(F.col("split") == name)
+        steps = F.floor(n * settings.num_train_epochs / per_step).cast("bigint")
+        longest = F.max(F.when(F.col("split") == name, F.length("text")))
+        figures += [n.alias(f"{name}_rows"), steps.alias(f"{name}_steps"), longest.alias(f"{name}_longest")]
+    return land_with_figures(prepared, landed, figures)
+
+
 def train_and_evaluate(
     rows: DataFrame,
     key: str,
@@ -154,18 +183,14 @@ def train_and_evaluate(
     ``output`` folder; the config holds the wording, which later classification
     must share. Each step reads what the one before it wrote.
     """
-    prepared = land(prepare(rows, key, settings, code, label, names), f"{output}/rows")
+    columns = {"code": code, "label": label, "names": names}
+    prepared, report = prepare_with_report(rows, key, f"{output}/rows", settings, **columns)
     export_split_text(prepared, f"{output}/text")
-    steps = training_steps(
-        prepared,
-        settings.num_train_epochs,
-        settings.per_device_train_batch_size,
-        settings.gradient_accumulation_steps,
-    )
+    figures = {"n": report["train_rows"], "steps": report["train_steps"]}
     # The model's own settings are part of the run as well.
     config = asdict(settings) | {"wording": json.dumps(asdict(settings.wording), ensure_ascii=False)}
     config |= {"num_features": NUM_FEATURES, **MODEL_SETTINGS, **model_settings}
-    write_config(with_config(steps.where("split = 'train'").drop("split"), config), f"{output}/config")
+    write_config(config_table(rows.sparkSession, config | figures), f"{output}/config")
     model = fit_classifier(part(prepared, "train"), code, label, **model_settings)
     save_model(model, f"{output}/model")
     test = part(prepared, "test")

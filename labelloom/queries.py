@@ -35,8 +35,10 @@ from labelloom.plans.flows import (
     PRESETS,
     Settings,
     classify_file,
+    land_with_report,
     prepare,
     prepare_tokens,
+    prepare_with_report,
     train_and_evaluate,
 )
 from labelloom.shared import new_path
@@ -328,6 +330,23 @@ def clean_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cl.clean_report(contracts(spark, sf_dir))
 
 
+def landing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contracts landed, and the report that the write itself took, beside the rows read back."""
+    landed, report = land_with_report(contracts(spark, sf_dir), new_path(spark, "landed"))
+    figures = [F.lit(value).alias(name) for name, value in report.asDict().items()]
+    return landed.agg(F.count("*").alias("landed"), F.count("code").alias("with_code")).select(*figures, "landed", "with_code")
+
+
+def preparing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prepared rows landed: rows, steps and longest text of each part, from the write."""
+    _, report = prepare_with_report(contracts(spark, sf_dir), "doc_id", new_path(spark, "prepared"))
+    parts = [
+        F.struct(F.lit(name).alias("split"), *[F.lit(report[f"{name}_{what}"]).alias(what) for what in ("rows", "steps", "longest")])
+        for name in ("train", "test")
+    ]
+    return spark.range(1).select(F.inline(F.array(*parts)))
+
+
 def split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pf.split_sizes(split_contracts(spark, sf_dir))
 
@@ -725,6 +744,8 @@ QUERIES: dict[str, Query] = {
     "label_distribution_table": label_distribution_table,
     "missing_values": missing_values,
     "clean_report": clean_report,
+    "landing_report": landing_report,
+    "preparing_report": preparing_report,
     "split_sizes": split_sizes,
     "training_steps": training_steps,
     "preview": preview,

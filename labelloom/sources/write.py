@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,16 @@ def land(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def land_with_figures(
+    df: DataFrame, path: str, figures: Sequence[Column], drop: Sequence[str] = (), partition: Sequence[str] = ()
+) -> tuple[DataFrame, Row]:
+    """``land``, and aggregates over the rows that the write itself takes; columns in ``drop`` only serve those."""
+    observation = Observation()
+    rows = df.observe(observation, *figures).drop(*drop)
+    rows.write.partitionBy(*partition).parquet(path)
+    return df.sparkSession.read.schema(rows.schema).parquet(path), Row(**observation.get)
+
+
 def export_split_text(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Only ``text``, as Parquet, one folder per part of a split table."""
     df.select("split", "text").write.mode(mode).partitionBy("split").parquet(path)

@@ -36,6 +36,31 @@ def classify_stream(
     return answered.withColumn("name", named)
 
 
+def with_figures(classified: DataFrame, name: str = "classified") -> DataFrame:
+    """The stream, counting as it goes: rows, answered and failed ones of each micro-batch.
+
+    They come with the query's progress (``observedMetrics``) under ``name``; no
+    batch is read again for them.
+    """
+    answered = F.col("prediction") >= 0
+    return classified.observe(
+        name,
+        F.count("*").alias("rows"),
+        F.count_if(answered).alias("answered"),
+        F.count_if(~F.coalesce(answered, F.lit(False))).alias("failed"),
+    )
+
+
+def figures_of(query: StreamingQuery, name: str = "classified") -> dict[str, int]:
+    """The figures of all micro-batches whose progress the query still has, added up."""
+    totals: dict[str, int] = {}
+    for progress in query.recentProgress:
+        found = progress.observedMetrics.get(name)
+        for key, value in found.asDict().items() if found is not None else ():
+            totals[key] = totals.get(key, 0) + value
+    return totals
+
+
 def write_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Start a query that appends everything available now to ``path`` and then ends.
 
