@@ -8,6 +8,7 @@ every query on it.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml import Model
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 
 from labelloom.functions import prompts as pr
 from labelloom.functions import text as tx
+from labelloom.functions import tokens
+from labelloom.functions.budget import TokenizerFile, prompt_within
 from labelloom.functions.tokens import CodePoints
-from labelloom.functions.wording import SHORT
+from labelloom.functions.wording import LONG, SHORT
 from labelloom.operators import clean as cl
 from labelloom.operators import evaluate as ev
 from labelloom.operators import profile as pf
@@ -80,6 +83,17 @@ class Utf8Bytes:
 UTF8_BYTES = Utf8Bytes()
 
 
+@dataclass(frozen=True)
+class FileTokens:
+    """Tokenizer factory: the pieces of a tokenizer file, one number for each token."""
+
+    file: TokenizerFile
+
+    def __call__(self) -> Callable:
+        encode = self.file()
+        return lambda texts: [encode(one)[0] for one in texts]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -441,6 +455,24 @@ def prompt_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", "turn", pr.chat_prompt(F.col("text")).alias("text"))
 
 
+def prompt_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of at most 512 tokens: their tokens, the code points of code in them, and whether the cue is there."""
+    from public_tokenizers import path
+
+    tokenizer = TokenizerFile(path("byte_bpe_50k.json"))
+    text = prompt_within(F.col("code"), 512, tokenizer, F.col("label_encoded"))
+    rows = cleaned(spark, sf_dir).select("doc_id", "code", "label_encoded", text.alias("text"))
+    around = F.length(pr.prompt(F.lit(""), F.col("label_encoded")))
+    cue = F.concat(F.lit(LONG.after + " "), F.col("label_encoded").cast("string"))
+    return rows.select(
+        "doc_id",
+        tokens.token_count(F.col("text"), FileTokens(tokenizer)).alias("n_tokens"),
+        (F.length("text") - around).alias("code_chars"),
+        F.length("code").alias("all_chars"),
+        F.col("text").endswith(cue).alias("has_cue"),
+    )
+
+
 def generated_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user turn as prompt; prompt and following answer together as decoded text."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -762,6 +794,7 @@ QUERIES: dict[str, Query] = {
     "prompt_short": prompt_short,
     "prompt_chat": prompt_chat,
     "prompt_chat_turns": prompt_chat_turns,
+    "prompt_token_budget": prompt_token_budget,
     "generated_part": generated_part,
     "first_label": first_label,
     "first_label_orders": first_label_orders,
