@@ -7,8 +7,9 @@ it with the positions that accept the byte; positions before a wildcard keep
 their bit. So one step moves every pattern of every URL in the batch.
 
 Defined results: a NULL URL, or one without ``://``, has host and path ``""``.
-No rule fits it, and it gets the default verdict. Repeated rows are judged alike;
-an empty table gives an empty result; other columns are not read.
+No rule fits it, and it gets the default verdict. Long URLs are judged whole.
+Repeated rows are judged alike; an empty table gives an empty result; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -22,18 +23,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_LOWER = str.maketrans(_UPPER, _UPPER.lower())
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``name`` is host and path prefix as one string, such as ``example.net/en/``."""
+    """``name`` is host and path prefix as one string, such as ``example.net/en/``.
+
+    Without a ``/`` it is the host, and every path of it. The host counts in lower
+    case. A name holds no ``*``: subdomains and longer paths are always meant.
+    """
 
     name: str
     verdict: str
 
+    def __post_init__(self) -> None:
+        if "*" in self.name or not self.name.partition("/")[0]:
+            raise ValueError(f"not a host and path prefix: {self.name!r}")
+
     def globs(self) -> tuple[str, str]:
         """``*`` stands for bytes other than ``/``, so a subdomain never reaches into a path."""
-        return f"{self.name}**", f"*.{self.name}**"
+        host, _, path = self.name.partition("/")
+        prefix = f"{host.translate(_LOWER)}/{path}"
+        return f"{prefix}**", f"*.{prefix}**"
 
 
 class Globs:

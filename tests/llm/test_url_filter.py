@@ -3,6 +3,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -55,3 +56,14 @@ def test_no_rules_and_no_rows(spark):
     df = spark.createDataFrame([(1, "http://a/b")], "page_id bigint, url string")
     assert tuple(filter_urls(df, ()).first()) == (1, "a", "/b", None, "allow")
     assert filter_urls(df.where("false"), RULES, default="block").collect() == []
+
+
+def test_names_are_hosts_and_paths(spark):
+    rules = (Rule("example.com", "block"), Rule("Example.ORG/En", "block"))
+    urls = ["http://example.community/", "http://a.example.com/x", "http://EXAMPLE.org/En/1", "http://example.org/en"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {r.page_id: r.rule for r in filter_urls(df, rules).collect()}
+    assert got == {0: None, 1: "example.com", 2: "Example.ORG/En", 3: None}
+    for name in ("", "/path", "a.*/", "*.net/"):
+        with pytest.raises(ValueError, match="host and path"):
+            Rule(name, "block")
