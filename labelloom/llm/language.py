@@ -8,12 +8,19 @@ bits are compared with each codeword: the loss of a language is the sum of its
 bits' logistic losses, weighted by how reliable each classifier is, and the least
 loss wins. If another language's loss is close, the row is marked ambiguous.
 
-The classifiers are fitted on a sample of some ``per_language`` rows of each
-language; every row is read in whole.
+Every language is learned, however many there are. The classifiers are fitted on a
+sample of some ``per_language`` rows of each, and at least one; four fifths of it
+are counted, and what the classifiers say about some ``calibration`` rows of the
+rest gives their slopes and reliabilities. Spark sums the n-grams' weights for each
+bit, so the driver gets a number for each hashed n-gram and bit and none for each
+language. Of rows with equal id, text and language the sample has one. Every row is
+read in whole.
 
 Defined results: ``und`` with score 0 for a NULL text and one without a letter;
-with nothing to learn from, for every text. Repeated rows get the same answer; an
-empty table gives an empty result.
+with nothing to learn from, for every text. A long text is read in segments, with
+the same n-grams as in one. Rows with a NULL id are learned from in no fold and
+get an answer. Repeated rows get the same answer; an empty table gives an empty
+result; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -29,15 +36,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import id_fold, per_worker
-from labelloom.shared import stored
+from labelloom.shared import stored, with_group_values
 
 UNKNOWN = "und"
 PER_LANGUAGE = 3_000
-MOST_LANGUAGES = 256
+CALIBRATION = 12_000
 _BITS = 16
 _ORDERS = (1, 2, 3)
 _SEGMENT = 1 << 18
-_CALIBRATION = 12_000
+_LEFT_OUT = 5  # one row in so many is calibrated on and not counted
 
 
 def codewords(n: int, seed: int = 7) -> np.ndarray:
@@ -51,15 +58,27 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
     random = np.random.default_rng(seed)
     length = math.ceil(10 * math.log2(n))
     best, far = None, -1
-    for _ in range(50):
+    for _ in range(50 if n <= 1000 else 3):
         code = random.choice(np.array([-1, 1], np.int8), (n, length))
-        same = code.astype(np.int32) @ code.T.astype(np.int32)
-        distance = int((length - (same - 2 * length * np.eye(n, dtype=np.int32)).max()) // 2)
-        if distance > far and (np.abs(code.sum(axis=0)) < n).all():
+        distance = _least_distance(code)
+        if distance > far and (np.abs(code.sum(axis=0, dtype=np.int64)) < n).all():
             best, far = code, distance
     return best
 
 
+def _least_distance(code: np.ndarray, block: int = 1024) -> int:
+    """The least number of bits that two codewords differ in; whole numbers, so floats are exact."""
+    n, length = code.shape
+    signs = code.astype(np.float32)
+    most = -length
+    for start in range(0, n, block):
+        same = signs[start : start + block] @ signs.T
+        rows = np.arange(len(same))
+        same[rows, start + rows] = -length
+        most = max(most, int(same.max()))
+    return (length - most) // 2
+
+
 def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
@@ -154,53 +173,100 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
     return float(weights[0] / scale), float(weights[1])
 
 
+def _sampled(df: DataFrame, text: str, lang: str, key: str, per_language: int) -> DataFrame:
+    """Some ``per_language`` rows of each language, chosen by hash: _text, _lang, _left (not to be counted), _place."""
+    rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(text).alias("_text"), F.col(lang).alias("_lang"), F.xxhash64(F.col(key), F.col(text)).alias("_row")
+    )
+    place = F.pmod(F.xxhash64("_row", F.lit("language")), F.lit(1 << 40)) / float(1 << 40)
+    rows = rows.withColumn("_place", place)
+    counts = stored(rows.groupBy("_lang").agg(F.count("*").alias("_rows"), F.min("_place").alias("_least")), "languages")
+    near = with_group_values(rows, "_lang", counts.withColumnRenamed("_lang", "_group"))
+    # The first row of a language is always in, and counted, so that every language is learned.
+    first = F.col("_place") == F.col("_least")
+    chosen = near.where(first | (F.col("_place") < F.lit(per_language) / F.col("_rows")))
+    left = ~first & (F.pmod(F.xxhash64("_row", F.lit("left")), F.lit(_LEFT_OUT)) == 0)
+    once = chosen.select("_text", "_lang", "_row", "_place", left.alias("_left")).dropDuplicates(["_lang", "_row"])
+    return stored(once.drop("_row"), "language-sample")
+
+
+def _summed_bits(shares: DataFrame, words: np.ndarray, floor: float = 1e-6) -> np.ndarray:
+    """Weight of each hashed n-gram for each bit.
+
+    ``shares`` has the number of a language, a code and its share among the
+    language's; the share of a side is the mean of its languages'. Tasks add
+    them up before anything is shuffled.
+    """
+    n_bits = words.shape[1]
+    ones = words > 0
+    wanted = np.array([ones.sum(axis=0), (~ones).sum(axis=0)])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for language, code, share in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if code not in sides:
+                    sides[code] = np.zeros((2, n_bits))
+                sides[code][0][ones[language]] += share
+                sides[code][1][~ones[language]] += share
+        for code, sums in sides.items():
+            bits = pa.array(np.arange(n_bits, dtype=np.int32))
+            columns = [pa.array(np.full(n_bits, code, np.int32)), bits, pa.array(sums[0]), pa.array(sums[1])]
+            yield pa.RecordBatch.from_arrays(columns, names=["_code", "_bit", "_one", "_zero"])
+
+    schema = "_code int, _bit int, _one double, _zero double"
+    summed = shares.select("_number", "_code", "_part").mapInArrow(added, schema).groupBy("_code", "_bit")
+    table = summed.agg(F.sum("_one").alias("_one"), F.sum("_zero").alias("_zero")).toArrow()
+    sides = np.zeros((2, 1 << _BITS, n_bits))
+    at = table.column("_code").to_numpy(), table.column("_bit").to_numpy()
+    sides[0][at], sides[1][at] = table.column("_one").to_numpy(), table.column("_zero").to_numpy()
+    sides /= wanted[:, None, :]
+    return np.log((sides[0] + floor) / (sides[1] + floor)).astype(np.float32)
+
+
 def fit_languages(
     df: DataFrame,
     text: str = "text",
     lang: str = "lang",
     key: str = "doc_id",
     per_language: int = PER_LANGUAGE,
-    most_languages: int = MOST_LANGUAGES,
+    calibration: int = CALIBRATION,
 ) -> Code | None:
-    """Classifiers from the rows of ``df`` with a language; none if there are no languages.
-
-    Of each of the ``most_languages`` commonest languages some ``per_language``
-    rows are read, chosen by hash of their key.
-    """
-    rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(text).alias("_text"), F.col(lang).alias("_lang"), F.col(key).alias("_id")
-    )
-    counts = rows.groupBy("_lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_lang")
-    common = stored(counts.limit(most_languages), "languages")
-    languages = sorted(row[0] for row in common.select("_lang").collect())
-    place = F.pmod(F.xxhash64(F.col("_id"), F.lit("language")), F.lit(1 << 40)) / float(1 << 40)
-    chosen = rows.join(F.broadcast(common), "_lang").where(place < F.lit(per_language) / F.col("_n"))
-    sample = stored(chosen.select("_text", "_lang", "_id"), "language-sample")
-    shares = sample.select("_text", "_lang").mapInArrow(_counted, "_lang string, _code int, _share double")
-    summed = shares.groupBy("_lang", "_code").agg(F.sum("_share").alias("_share")).collect()
-    languages = [one for one in languages if any(row[0] == one for row in summed)]
+    """Classifiers from the rows of ``df`` with a language; none if there are no languages."""
+    sample = _sampled(df, text, lang, key, per_language)
+    counted = sample.where(~F.col("_left")).select("_text", "_lang")
+    shares = counted.mapInArrow(_counted, "_lang string, _code int, _share double")
+    shares = stored(shares.groupBy("_lang", "_code").agg(F.sum("_share").alias("_share")), "language-ngrams")
+    totals = stored(shares.groupBy("_lang").agg(F.sum("_share").alias("_total"), F.count("*").alias("_rows")), "totals")
+    languages = sorted(row[0] for row in totals.select("_lang").collect())
     if not languages:
         return None
-    number = {one: i for i, one in enumerate(languages)}
-    table = np.zeros((len(languages), 1 << _BITS))
-    for language, code, share in summed:
-        table[number[language], code] = share
-    table /= table.sum(axis=1, keepdims=True)
     words = codewords(len(languages))
     n_bits = words.shape[1]
-    floor = 1e-6
-    weights = np.empty((1 << _BITS, n_bits), np.float32)
-    for bit in range(n_bits):
-        ones, zeros = (table[words[:, bit] == side].mean(axis=0) for side in (1, -1))
-        weights[:, bit] = np.log((ones + floor) / (zeros + floor))
+    weights = np.zeros((1 << _BITS, 0), np.float32)
+    if n_bits:
+        pairs = pa.table({"_group": languages, "_number": np.arange(len(languages), dtype=np.int32)})
+        numbers = df.sparkSession.createDataFrame(pairs)
+        groups = stored(totals.withColumnRenamed("_lang", "_group").join(numbers, "_group"), "language-numbers")
+        parts = with_group_values(shares, "_lang", groups).withColumn("_part", F.col("_share") / F.col("_total"))
+        weights = _summed_bits(parts, words)
     code = Code(languages, words, weights, np.ones(n_bits), np.zeros(n_bits), np.ones(n_bits))
     if n_bits:
-        _calibrate(code, sample)
+        _calibrate(code, sample, calibration)
     return code
 
 
-def _calibrate(code: Code, sample: DataFrame) -> None:
-    """Slope, offset and reliability of each bit, from the sample's own rows."""
+def _calibrate(code: Code, sample: DataFrame, calibration: int) -> None:
+    """Slope, offset and reliability of each bit, from some ``calibration`` rows of the sample.
+
+    Those were not counted, unless the sample is so small that all were.
+    """
+    left = sample.where("_left")
+    n = left.count()
+    if not n:
+        left, n = sample, sample.count()
+    mark = F.pmod(F.xxhash64("_place", F.lit("calibrate")), F.lit(1 << 40)) / float(1 << 40)
+    some = left.where(mark < calibration / n).orderBy("_lang", "_place").select("_text", "_lang")
 
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,7 +274,6 @@ def _calibrate(code: Code, sample: DataFrame) -> None:
             lists = pa.array([None if v is None else v.tolist() for v in values], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(1), lists], names=["_lang", "_raw"])
 
-    some = sample.orderBy(F.xxhash64("_id"), "_id").limit(_CALIBRATION).select("_text", "_lang")
     read = some.mapInArrow(raw, "_lang string, _raw array<double>").where("_raw IS NOT NULL").collect()
     number = {one: i for i, one in enumerate(code.languages)}
     read = [row for row in read if row[0] in number]
@@ -256,13 +321,14 @@ def identify_languages(
     folds: int = 4,
     held_out: int = 2,
     per_language: int = PER_LANGUAGE,
+    calibration: int = CALIBRATION,
 ) -> DataFrame:
     """``key``, held_out, lang_pred, score and ambiguous of every row.
 
     Rows whose id falls into the held-out fold are not learned from.
     """
     fold = id_fold(F.col(key), folds)
-    code = fit_languages(df.where(fold != held_out), text, lang, key, per_language)
+    code = fit_languages(df.where(fold != held_out), text, lang, key, per_language, calibration)
     return df.select(
         F.col(key).alias("_key"),
         F.coalesce(fold == held_out, F.lit(False)).alias("held_out"),

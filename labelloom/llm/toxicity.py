@@ -21,13 +21,16 @@ mark that closes the quotation, over sentences within it, or else to the end of
 the sentence. A mark opens if one that closes it follows in the same line.
 
 The fit uses a sample of at most ``sample`` labelled rows, those of the first ids
-in hash order. Of an id's repeated rows the one with the least hash of its text is
-learned from; every row is scored.
+in hash order that have both a label and a row. Of an id's repeated rows the one
+with the least hash of its text is learned from; every row is scored. No feature
+is left out for being rare: which ones count is up to how unlikely they are.
 
 Defined results: a NULL text is scored as an empty one, which gets the score of a
-text without harmful clauses; repeated rows get the same score; an empty table
-gives an empty result; without labels the word lists and weights of the module
-hold. Labels of NULL are left out; of several labels of an id the largest counts.
+text without harmful clauses; a long text is read in whole; repeated rows get the
+same score; an empty table gives an empty result; without labels the word lists
+and weights of the module hold. Labels of NULL are left out; of several labels of
+an id the largest counts. Other columns, whatever their names, play no part in a
+score, and ``drop_toxic`` carries them along.
 """
 
 from __future__ import annotations
@@ -237,6 +240,12 @@ def _surprise(toxic: np.ndarray, rows: np.ndarray, base: float) -> np.ndarray:
     return np.where(share > base, rows * divergence, 0.0)
 
 
+def _surprise_column(share: Column, rows: Column, base: float) -> Column:
+    """``_surprise`` of a share above ``base``, as a column."""
+    share = F.least(F.greatest(share, F.lit(1e-12)), F.lit(1 - 1e-12))
+    return rows * (share * F.log(share / base) + (1 - share) * F.log((1 - share) / (1 - base)))
+
+
 def _lexicon(counts: list[tuple[str, float, float]], base: float, tried: float = 1e6) -> dict[str, float]:
     """Weights of the features (name, toxic rows, rows) that chance would not give once in ``tried`` features.
 
@@ -290,7 +299,9 @@ def _sample_rows(df: DataFrame, labels: DataFrame, key: str, text: str, label: s
     """At most ``sample`` labelled rows, one of each id: _text, _toxic, _fold."""
     one = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
     one = one.groupBy(F.col(key).alias("_id")).agg(F.max(label).alias("_toxic"))
-    chosen = one.orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    # Labels may be those of a larger corpus: only ids that have a row here are counted against the bound.
+    present = df.select(F.col(key).alias("_id")).distinct()
+    chosen = one.join(present, "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(sample)
     texts = df.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     # A label is one of an id, so each id has one row, or its repeated rows would outweigh the others. Tasks pick
     # theirs before the shuffle, so however often an id is there, a task sends one text of it.
@@ -334,7 +345,6 @@ def fit_grammar(
     text: str = "text",
     label: str = "toxic",
     sample: int = SAMPLE,
-    most_features: int = 20_000,
 ) -> Grammar:
     """A grammar from the rows of ``df`` that ``labels`` has a label for."""
     rows = _sample_rows(df, labels, key, text, label, sample)
@@ -363,7 +373,11 @@ def fit_grammar(
     sums = stored(sums, "feature-counts")
     tried = float(sums.where("n0 + n1 >= 3").count())
     telling = sums.where((F.col("t0") + F.col("t1") >= 3) & (share > min(0.5, 3 * base)))
-    found = telling.orderBy(F.desc(F.col("t0") + F.col("t1")), "_feature").limit(most_features).collect()
+    # Of all features tried, chance gives this much surprise to the square root of their number. What is no
+    # surprise at all neither enters a lexicon nor holds up a beginning that does.
+    surprise = _surprise_column(share, F.col("n0") + F.col("n1"), min(max(base, 0.01), 0.5))
+    listed = F.col("_feature").isin(sorted(INSULTS))
+    found = telling.where((surprise >= math.log(max(tried, 2.0)) / 2) | listed).orderBy("_feature").collect()
     lexicons = [
         _lexicon([(r[0], r[1 + 2 * f], r[2 + 2 * f]) for r in found if r[2 + 2 * f] > 0], base, tried)
         for f in (0, 1)

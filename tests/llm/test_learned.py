@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
+from itertools import product
 
 import numpy as np
 import pytest
@@ -66,6 +68,76 @@ def test_composition_reaches_every_kind():
     assert all(0 <= state < len(table) for row in table for state in row)
 
 
+def run_apart(tags):
+    """Kinds of the clauses of a tag sequence, from five machines that run side by side and know nothing of a table."""
+    insult, intent, threat, target, scope, inside, after = "none", False, False, False, 0, False, False
+    kinds = []
+    for tag in tags:
+        if tag >= tx._SOFT:
+            if threat and target:
+                kinds.append(tx.THREAT)
+            elif inside or after:
+                kinds.append(tx.REPORTED)
+            elif insult == "negated":
+                kinds.append(tx.NEGATED)
+            else:
+                kinds.append(tx.AIMED if target else tx.PLAIN)
+            insult, intent, threat, target, scope = "none", False, False, False, 0
+            if tag == tx._OPEN and after:
+                inside, after = True, False
+            elif tag == tx._CLOSE:
+                inside = after = False
+            elif tag == tx._END:
+                after = False
+            continue
+        negated = scope > 0
+        if tag == tx._HARM:
+            insult = "negated" if negated or insult == "negated" else "plain"
+        threat = threat or (tag == tx._THREAT and intent and not negated)
+        intent = intent or tag == tx._INTENT
+        target = target or tag == tx._TARGET
+        scope = 4 if tag == tx._NEG else max(0, scope - 1)
+        if tag == tx._REPORT and insult == "none" and not inside:
+            after = True
+    return kinds
+
+
+def run_composed(tags):
+    table, kinds = tx.composed()
+    state, out = 0, []
+    for tag in tags:
+        if tag >= tx._SOFT:
+            out.append(kinds[state])
+        state = table[state][tag]
+    return out
+
+
+def test_composition_equals_machines_side_by_side():
+    for tags in product(range(tx._END + 1), repeat=4):
+        assert run_composed([*tags, tx._END]) == run_apart([*tags, tx._END]), tags
+    draw = random.Random(1)
+    for _ in range(3000):
+        tags = [draw.randrange(tx._END + 1) for _ in range(draw.randint(5, 30))]
+        assert run_composed(tags) == run_apart(tags), tags
+
+
+def test_surprise_in_columns(spark):
+    pairs = [(t, n) for n in (3.0, 10.0, 200.0) for t in (0.6 * n, 0.9 * n, n)]
+    df = spark.createDataFrame(pairs, "t double, n double")
+    got = [r[0] for r in df.select(tx._surprise_column(F.col("t") / F.col("n"), F.col("n"), 0.1)).collect()]
+    toxic, rows = np.array(pairs).T
+    assert np.allclose(got, tx._surprise(toxic, rows, 0.1))
+
+
+def test_labels_of_a_larger_corpus_leave_the_sample_full(spark):
+    docs, labels = corpus(600)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, x string")
+    wide = spark.createDataFrame(labels + [(10_000 + i, i % 2) for i in range(60_000)], "doc_id bigint, toxic int")
+    own = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    found = [sorted(tx._sample_rows(df, one, "doc_id", "text", "toxic", 500).collect()) for one in (wide, own)]
+    assert len(found[0]) == 500 and found[0] == found[1]
+
+
 def test_beginnings_need_several_words():
     words = [("idiotic", 90.0, 90.0), ("idi*", 90.0, 90.0), ("zorba", 30.0, 30.0), ("zorbo", 30.0, 31.0), ("zor*", 60.0, 61.0), ("zorb*", 60.0, 61.0), ("the", 90.0, 900.0)]
     lexicon = tx._lexicon(words, 0.1, 1000)
@@ -188,6 +260,66 @@ def test_languages_few_or_none(spark):
     assert lg.identify_languages(df.where("false")).collect() == []
 
 
+def test_every_language_is_learned(spark):
+    draw = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéèñçøå"
+    rows = []
+    for name in range(300):
+        parts = ["".join(draw.choices(letters, k=4)) for _ in range(6)]
+        rows += [(len(rows) + i, " ".join(draw.choices(parts, k=30)), f"l{name:03}") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    code = lg.fit_languages(df)
+    assert code.languages == sorted({name for *_, name in rows})
+    got = {r.doc_id: r for r in lg.identify_languages(df).collect()}
+    held = [(got[i].lang_pred, name) for i, _, name in rows if got[i].held_out]
+    assert len(held) > 600 and np.mean([a == b for a, b in held]) > 0.95
+
+
+def test_a_language_of_one_repeated_row_is_learned(spark):
+    rows = language_rows(300) + [(5001, "zzyzx qoppa wau", "yy", "x")] * 500
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, x string")
+    sample = lg._sampled(df, "text", "lang", "doc_id", 20).collect()
+    assert sum(r._lang == "yy" for r in sample) == 1 and not [r for r in sample if r._lang == "yy"][0]._left
+    assert "yy" in lg.fit_languages(df, per_language=20).languages
+
+
+@pytest.mark.parametrize("n", [2, 5, 9])
+def test_decoding_against_plain_python(n):
+    draw = np.random.default_rng(n)
+    words = lg.codewords(n)
+    bits = words.shape[1]
+    names = [f"l{i}" for i in range(n)]
+    code = lg.Code(
+        names, words, draw.normal(size=(1 << lg._BITS, bits)).astype(np.float32),
+        draw.uniform(0.5, 3, bits), draw.normal(size=bits), draw.uniform(0.01, 1, bits),
+    )
+    for text in ("ein Wort", "une phrase, 12", "x", "ñandú " * 50):
+        ngrams = [int(one) for codes in lg.ngram_codes(text) for one in codes]
+        mean = [sum(float(code.weights[g][b]) for g in ngrams) / len(ngrams) for b in range(bits)]
+        losses = []
+        for word in words.tolist():
+            margins = [min(30.0, max(-30.0, m * s + o)) for m, s, o in zip(mean, code.slopes, code.offsets)]
+            losses.append(sum(r * math.log1p(math.exp(-w * m)) for w, m, r in zip(word, margins, code.reliability)))
+        order = sorted(range(n), key=losses.__getitem__)
+        likely = [math.exp(losses[order[0]] - loss) for loss in losses]
+        best, score, ambiguous = code.decode(code.raw(text))
+        assert best == order[0] and score == pytest.approx(1 / sum(likely))
+        assert ambiguous == (losses[order[1]] - losses[order[0]] < math.log(2))
+
+
+def test_weights_of_bits_against_plain_sums(spark):
+    draw = random.Random(3)
+    words = lg.codewords(9)
+    shares = [(i, code, draw.random()) for i in range(9) for code in draw.sample(range(1 << lg._BITS), 40)]
+    df = spark.createDataFrame(shares, "_number int, _code int, _part double").repartition(5)
+    got = lg._summed_bits(df, words)
+    sides = np.zeros((2, 1 << lg._BITS, words.shape[1]))
+    for i, code, share in shares:
+        for bit, sign in enumerate(words[i].tolist()):
+            sides[0 if sign > 0 else 1, code, bit] += share / (words[:, bit] == sign).sum()
+    assert np.allclose(got, np.log((sides[0] + 1e-6) / (sides[1] + 1e-6)), atol=1e-5)
+
+
 def test_ngrams_do_not_depend_on_segments(monkeypatch):
     text = "Ein langer Text, 12 mal é " * 30
     whole = np.sort(np.concatenate(list(lg.ngram_codes(text))))
