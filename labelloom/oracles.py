@@ -382,6 +382,14 @@ SELECT coalesce(CAST(label_encoded AS VARCHAR), 'all') AS label, count(*) AS tot
 FROM test GROUP BY ROLLUP (label_encoded)"""
 _ORACLES["model_selection"] = f"""WITH {_LANGUAGES}
 SELECT count(*) AS total, true AS reaches_floor FROM test"""
+# The validation part is cut from each class by the same rule as the test part, so its size is stated too.
+_ORACLES["train_epochs"] = f"""WITH {_LANGUAGES},
+sizes AS (
+  SELECT count(*) FILTER (WHERE split = 'train') AS fitted, ceil(0.2 * count(*) FILTER (WHERE split = 'train')) AS judged
+  FROM parted)
+SELECT epoch::INT AS epoch, (fitted - judged)::BIGINT AS rows, judged::BIGINT AS validation_rows,
+  true AS falls, true AS below_chance, true AS reaches_floor
+FROM sizes, range(1, 5) AS epochs (epoch)"""
 _ORACLES["classify_file_model"] = f"""WITH {_LANGUAGES}
 SELECT doc_id, code, label_encoded, true AS is_class FROM test"""
 _ORACLES["train_and_evaluate"] = f"""WITH {_LABELLED},

@@ -7,6 +7,7 @@ every query on it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -32,6 +33,7 @@ from labelloom.operators.classify import (
     classify_table,
     classify_with_model,
 )
+from labelloom.operators.epochs import train_by_epochs
 from labelloom.operators.model import fit_classifier, load_model, save_model, select_model
 from labelloom.operators.naive_bayes import fit_word_counts
 from labelloom.plans.flows import (
@@ -696,6 +698,27 @@ def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def train_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures after each epoch of a training that was broken off after the first and went on from its checkpoint."""
+    languages = _languages(spark, sf_dir)
+    rows = sm.stratified_split(sm.part(languages, "train"), 0.2, SEED, "label_encoded", "doc_id", step="validation")
+    folder = new_path(spark, "epochs")
+    for epochs in (1, 4):
+        trained = train_by_epochs(
+            sm.part(rows, "train"), sm.part(rows, "test"), folder, "doc_id", epochs=epochs, num_features=1 << 12
+        )
+    predicted = sm.part(languages, "test").withColumn("prediction", trained.model.classify(F.col("code")))
+    reaches_floor = (ev.accuracy_all(predicted).first().percent or 0) >= LEAST_ACCURACY
+    chance = math.log(4)
+    before = [chance + 0.01, *(one.train_loss for one in trained.epochs)]
+    figures = [
+        (one.epoch, one.rows, one.validation_rows, one.train_loss < last, one.validation_loss < chance, reaches_floor)
+        for one, last in zip(trained.epochs, before)
+    ]
+    schema = "epoch int, rows bigint, validation_rows bigint, falls boolean, below_chance boolean, reaches_floor boolean"
+    return spark.createDataFrame(figures, schema)
+
+
 def classify_file_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The test part as a CSV file, classified by a fitted model into another."""
     rows = _languages(spark, sf_dir)
@@ -814,6 +837,7 @@ QUERIES: dict[str, Query] = {
     "model_accuracy": model_accuracy,
     "naive_bayes": naive_bayes,
     "model_selection": model_selection,
+    "train_epochs": train_epochs,
     "classify_file_model": classify_file_model,
     "prepare": prepared,
     "prepare_tokens": tokens_prepared,
