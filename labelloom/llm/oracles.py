@@ -95,17 +95,17 @@ FROM placed LEFT JOIN met USING (uid)
 """
 
 _TOP_K = """
-WITH whole AS (
-    SELECT DISTINCT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS vector
+WITH whole AS MATERIALIZED (
+    SELECT row_number() OVER () AS row, vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS vector
     FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
         AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)
 ), ranked AS (
     SELECT asked.vec_id AS query_id, other.vec_id AS vec_id,
         list_inner_product(asked.vector, other.vector)::BIGINT AS score,
-        row_number() OVER (PARTITION BY asked.vec_id
+        row_number() OVER (PARTITION BY asked.row
             ORDER BY list_inner_product(asked.vector, other.vector) DESC, other.vec_id)::INTEGER AS rank
-    FROM whole asked JOIN whole other ON asked.vec_id % 50 = 0 AND asked.vec_id <> other.vec_id
+    FROM whole asked JOIN whole other ON asked.vec_id % 50 = 0 AND asked.row <> other.row
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """

@@ -328,11 +328,12 @@ def test_ngrams_do_not_depend_on_segments(monkeypatch):
     monkeypatch.setattr(lg, "_SEGMENT", len(whole))
 
 
-def brute_top(vectors, queries, k):
+def brute_top(rows, k):
     out = []
-    for q in queries:
-        scored = [(-sum(a * b for a, b in zip(vectors[q], v)), i) for i, v in vectors.items() if i != q]
-        out += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(sorted(scored)[:k])]
+    for at, (q, asked) in enumerate(rows):
+        if q % 50 == 0:
+            scored = [(-sum(a * b for a, b in zip(asked, v)), i) for place, (i, v) in enumerate(rows) if place != at]
+            out += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(sorted(scored)[:k])]
     return sorted(out)
 
 
@@ -361,18 +362,46 @@ def test_reading_stops_early():
     assert lists.depths[0] <= 4096 // 8
 
 
-def test_top_k_in_blocks(spark):
+@pytest.mark.parametrize("group", [2, 50])
+def test_top_k_in_blocks(spark, group):
     draw = np.random.default_rng(4)
-    vectors = {i: draw.integers(-600, 600, 9).tolist() for i in range(700)}
-    vectors |= {i: vectors[0] for i in (701, 702, 750)}
-    rows = [(i, [x / 256 for x in v], "x") for i, v in vectors.items()]
+    vectors = [(i, draw.integers(-600, 600, 9).tolist()) for i in range(700)]
+    vectors += [(i, vectors[0][1]) for i in (701, 702, 750)]
+    vectors += vectors[:3] + [vectors[50]] * 8 + [(50, [1] * 9)]  # rows alike, and one id with two vectors
+    rows = [(i, [x / 256 for x in v], "x") for i, v in vectors]
     odd = [(800, None), (850, [1.0, None]), (900, [float("nan")] * 9), (950, [float("inf")]), (None, [1.0] * 9)]
-    rows += [(k, v, "x") for k, v in odd] + rows[:2] + [(1000, [2.5], "x"), (1050, [], "x")]
-    vectors |= {1000: [640], 1050: []}
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, score string")
-    got = tk.top_k(df.repartition(3), F.col("vec_id") % 50 == 0, candidates=100, queries=7, group=2).collect()
-    filled = {i: v + [0] * (9 - len(v)) for i, v in vectors.items()}
-    assert sorted(map(tuple, got)) == brute_top(filled, [i for i in filled if i % 50 == 0], 5)
+    rows += [(k, v, "x") for k, v in odd] + [(1000, [2.5], "x"), (1050, [], "x")]
+    vectors += [(1000, [640]), (1050, [])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, _row string")
+    got = tk.top_k(df.repartition(3), F.col("vec_id") % 50 == 0, candidates=100, queries=7, group=group).collect()
+    filled = [(i, v + [0] * (9 - len(v))) for i, v in vectors]
+    assert sorted(map(tuple, got)) == brute_top(filled, 5)
+
+
+def test_scouts_set_a_bar_that_no_best_lies_below():
+    draw = np.random.default_rng(2)
+    vectors = draw.integers(-300, 300, (3000, 16))
+    blocks = [(np.arange(s, s + 1000), np.arange(s, s + 1000), vectors[s : s + 1000]) for s in (0, 1000, 2000)]
+    rows = np.arange(0, 3000, 7)
+    bars = tk.first_bars(blocks, (rows, rows, vectors[rows]), 5)
+    for row, bar in zip(rows, bars):
+        others = np.delete(vectors @ vectors[row], row)
+        assert np.sort(others)[0] <= bar <= np.sort(others)[-5]
+    assert tk.first_bars([(rows[:5], rows[:5], vectors[:5])], (rows[:1], rows[:1], vectors[:1]), 5) == [None]
+
+
+def test_bars_leave_less_than_half_to_read():
+    """From the first block on, on vectors as the given ones: 64 dimensions, normal components."""
+    draw = np.random.default_rng(3)
+    vectors = np.floor(256 * draw.normal(size=(8192, 64))).astype(np.int64)
+    rows = np.arange(8192)
+    blocks = [(rows[s : s + 4096], rows[s : s + 4096], vectors[s : s + 4096]) for s in (0, 4096)]
+    asked = (rows[:200], rows[:200], vectors[:200])
+    bars = tk.first_bars(blocks, asked, 5)
+    first = tk.SortedLists(blocks[0][1], blocks[0][2])
+    for i in range(200):
+        first.best(vectors[i], 5, (bars[i], 0), i)
+    assert np.mean(first.depths) < 4096 / 2
 
 
 def test_top_k_with_few_or_no_rows(spark):
