@@ -3,23 +3,29 @@
 Best fit over bins of variable capacity: pieces, the longest first, go where the
 least room is left over; where they fit nowhere, a bin is opened, of the length
 that costs least. At the end every bin shrinks to the cheapest permitted length
-that holds its contents. What length is best to open depends on all pieces
-together: big bins fill well, small ones cost little. So the lengths are optimised
-jointly: the packing is made once for each choice of the length to open by
-preference, and the cheapest stays.
+that holds its contents. What a length costs depends on what will lie beside the
+piece: big bins fill well, small ones cost little. So each opening tries every
+permitted length on the pieces still to come, and takes the one with the least
+cost for each word held. That looks ahead one bin at a time, so the packings with
+one length opened by preference throughout are made too, and of all the cheapest
+stays.
 
 Documents longer than the longest length are cut into pieces of it, and the rest.
 Pieces are dealt by hash into shards of some 20,000; each is packed by itself, in
 one task. The shards grow in number with the table and never in size, and leave
-at most a few unfilled bins each.
+at most a few unfilled bins each. Rows alike in key and size give the same pieces,
+so they are counted and numbered, and nothing depends on where a row lay: the same
+table gives the same sequences however it is partitioned.
 
 Defined results: a document of size 0 (a NULL text, or one without words) is in
-no sequence, and has one row with NULL there; repeated rows are packed each; an
-empty table gives an empty result.
+no sequence, and has one row with NULL there; repeated rows are packed each, rows
+without a key as well; a text of any length is packed whole; an empty table gives
+an empty result. Columns other than key and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -27,12 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import UID, word_count
+from labelloom.llm.common import word_count
 from labelloom.shared import stored
 
 LENGTHS = (512, 1024, 2048, 4096)
 SHARD_PIECES = 20_000
 
+#: Rows alike in key and size that are numbered in one go.
+_COPIES = 1 << 16
+
 _PLACED = "sequence bigint, capacity bigint, position bigint"
 
 
@@ -41,47 +50,89 @@ def sequence_costs(lengths: Sequence[int], quadratic: float = 1 / 16384) -> dict
     return {n: n + quadratic * n * n for n in lengths}
 
 
+class Waiting:
+    """How many pieces of each size are still to come."""
+
+    def __init__(self, sizes: Sequence[int]) -> None:
+        self.counts = Counter(sizes)
+        self.sizes = 0  # bit s is set if a piece of size s waits
+        for size in self.counts:
+            self.sizes |= 1 << size
+
+    def take(self, size: int) -> None:
+        self.counts[size] -= 1
+        if not self.counts[size]:
+            self.sizes ^= 1 << size
+
+    def filling(self, room: int) -> int:
+        """The words that fit into ``room`` if the largest piece that fits goes in, again and again."""
+        left, sizes = room, self.sizes
+        while sizes := sizes & ((2 << left) - 1):
+            size = sizes.bit_length() - 1
+            left -= size * min(self.counts[size], left // size)
+            sizes ^= 1 << size
+        return room - left
+
+
+def least_cost(size: int, costs: Mapping[int, float], waiting: Waiting) -> int:
+    """The length to open for a piece: least cost for each word it would hold; ties go to the longer one."""
+    prices = {}
+    lengths = sorted(costs)
+    for length in lengths:
+        if length >= size:
+            held = size + waiting.filling(length - size)
+            prices[length] = min(costs[n] for n in lengths if n >= held) / held
+    return min(prices, key=lambda n: (prices[n], -n))
+
+
 def best_fit(
-    sizes: Sequence[int], costs: Mapping[int, float], preferred: int
+    sizes: Sequence[int], costs: Mapping[int, float], preferred: int | None = None
 ) -> tuple[list[int], list[int], float]:
     """Bin of each size (longest first), final capacity of each bin, and the cost of all.
 
-    A new bin has the preferred length, or, for a size beyond it, the length
-    that costs least for each of its places; ties go to the longer one.
+    The length of a new bin is the ``least_cost`` one for the pieces to come. With
+    ``preferred`` it is that, or, for a size beyond it, the length that costs least
+    for each of its places; ties go to the longer one.
     """
     lengths = sorted(costs)
     rooms: dict[int, list[int]] = {}  # bins by the room they have
-    waiting = 0  # bit r is set if a bin has room r
-    capacities: list[int] = []
+    open_ = 0  # bit r is set if a bin has room r
+    waiting = Waiting(sizes) if preferred is None else None
     used: list[int] = []
     places: list[int] = []
     for size in sizes:
-        fitting = waiting >> size
+        if waiting:
+            waiting.take(size)
+        fitting = open_ >> size
         if fitting:
             room = size + (fitting & -fitting).bit_length() - 1
             bin_ = rooms[room].pop()
             if not rooms[room]:
-                waiting ^= 1 << room
+                open_ ^= 1 << room
         else:
-            allowed = [n for n in lengths if n >= size]
-            room = preferred if preferred >= size else min(allowed, key=lambda n: (costs[n] / n, -n))
+            if waiting:
+                room = least_cost(size, costs, waiting)
+            elif preferred >= size:
+                room = preferred
+            else:
+                room = min((n for n in lengths if n >= size), key=lambda n: (costs[n] / n, -n))
             bin_ = len(used)
-            capacities.append(room)
             used.append(0)
         places.append(bin_)
         used[bin_] += size
         if room > size:
             rooms.setdefault(room - size, []).append(bin_)
-            waiting |= 1 << (room - size)
+            open_ |= 1 << (room - size)
     final = [min((n for n in lengths if n >= total), key=costs.__getitem__) for total in used]
     return places, final, sum(costs[n] for n in final)
 
 
 def _packed(costs: Mapping[int, float]):
     def pack(shard: pa.Table) -> pa.Table:
-        shard = shard.sort_by([("_length", "descending"), ("_key", "ascending"), (UID, "ascending"), ("_piece", "ascending")])
+        order = ("_length", "descending"), ("_key", "ascending"), ("_size", "ascending"), ("_copy", "ascending")
+        shard = shard.sort_by([*order, ("_piece", "ascending")])
         sizes = shard["_length"].to_pylist()
-        tries = (best_fit(sizes, costs, preferred) for preferred in sorted(costs))
+        tries = (best_fit(sizes, costs, preferred) for preferred in (None, *sorted(costs)))
         places, capacities, _ = min(tries, key=lambda one: one[2])
         filled = [0] * len(capacities)
         positions = []
@@ -120,34 +171,36 @@ def pack(
     """
     costs = dict(costs or sequence_costs(lengths))
     longest = max(costs)
-    sizes = stored(
-        df.select(
-            F.col(key).alias("_key"),
-            word_count(F.col(text)).alias("_size"),
-            F.monotonically_increasing_id().alias(UID),
-        ),
-        "sizes",
-    )
+    size = word_count(F.col(text)).alias("_size")
+    counted = df.select(F.col(key).alias("_key"), size).groupBy("_key", "_size").agg(F.count("*").alias("_n"))
+    sizes = stored(counted, "sizes")
+    # Of many rows alike, each task numbers a stretch.
+    stretch = F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_n - 1) div {_COPIES}"))).alias("_stretch")
+    spread = sizes.select("*", stretch).repartition("_key", "_size", "_stretch")
+    start = F.col("_stretch") * _COPIES
+    end = F.least(start + _COPIES, F.col("_n")) - 1
+    rows = spread.select("_key", "_size", F.explode(F.sequence(start, end)).alias("_copy"))
     last = F.expr(f"(_size - 1) div {longest}")
-    pieces = sizes.where("_size > 0").select(
-        "_key", UID, "_size", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("_piece")
+    pieces = rows.where("_size > 0").select(
+        "_key", "_size", "_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("_piece")
     )
     first = F.col("_piece") * longest
-    n_pieces = sizes.agg(F.sum(F.expr(f"(_size + {longest - 1}) div {longest}"))).first()[0] or 0
+    n_pieces = sizes.agg(F.sum(F.expr(f"_n * ((_size + {longest - 1}) div {longest})"))).first()[0] or 0
     shards = max(1, -(-n_pieces // shard_pieces))
     dealt = pieces.select(
         "_key",
-        UID,
+        "_size",
+        "_copy",
         "_piece",
         first.alias("_first"),
         F.least(F.col("_size") - first, F.lit(longest)).alias("_length"),
-        F.pmod(F.xxhash64("_key", UID, "_piece"), F.lit(shards)).alias("_shard"),
+        F.pmod(F.xxhash64("_key", "_size", "_copy", "_piece"), F.lit(shards)).alias("_shard"),
     )
     kind = sizes.schema["_key"].dataType.simpleString()
     schema = f"_key {kind}, _piece bigint, _first bigint, _length bigint, {_PLACED}"
     placed = dealt.groupBy("_shard").applyInArrow(_packed(costs), schema)
     none, zero = F.lit(None).cast("bigint"), F.lit(0).cast("bigint")
-    empty = sizes.where("_size = 0").select(
+    empty = rows.where("_size = 0").select(
         "_key",
         zero.alias("_piece"),
         zero.alias("_first"),

@@ -136,19 +136,36 @@ def test_cutting_keeps_the_text_before(spark):
 COSTS = pk.sequence_costs((8, 16, 32))
 
 
+def brute_opening(one, later, costs):
+    """The length whose bin, filled up from the pieces to come, costs least for each word."""
+    prices = []
+    for length in costs:
+        held = one
+        for other in later if length >= one else ():
+            held += other if held + other <= length else 0
+        if length >= one:
+            prices.append((min(costs[n] for n in costs if n >= held) / held, -length))
+    return -min(prices)[1]
+
+
 def brute_best_fit(sizes, costs, preferred):
     bins = []
-    for one in sizes:
+    for at, one in enumerate(sizes):
         fits = [b for b in bins if b[0] - sum(b[1]) >= one]
         if fits:
             min(fits, key=lambda b: b[0] - sum(b[1]))[1].append(one)
         else:
-            room = preferred if preferred >= one else min((n for n in costs if n >= one), key=lambda n: (costs[n] / n, -n))
+            if preferred is None:
+                room = brute_opening(one, sizes[at + 1 :], costs)
+            elif preferred >= one:
+                room = preferred
+            else:
+                room = min((n for n in costs if n >= one), key=lambda n: (costs[n] / n, -n))
             bins.append((room, [one]))
     return sum(costs[min(n for n in costs if n >= sum(b[1]))] for b in bins)
 
 
-@given(st.lists(st.integers(1, 32), max_size=60), st.sampled_from([8, 16, 32]))
+@given(st.lists(st.integers(1, 32), max_size=60), st.sampled_from([None, 8, 16, 32]))
 def test_best_fit(sizes, preferred):
     sizes = sorted(sizes, reverse=True)
     places, capacities, cost = pk.best_fit(sizes, COSTS, preferred)
@@ -238,3 +255,28 @@ def test_mixed_rows_are_in_schedule_order(spark, tmp_path):
         words = sum(n for _, n in stretch)
         for source in "abc":
             assert abs(sum(n for own, n in stretch if own == source) / words - shares[source]) < 0.05
+
+
+def test_one_packing_opens_bins_of_several_lengths():
+    """No single length opened by preference does as well as a choice for each bin."""
+    costs = pk.sequence_costs((8, 16, 32), 1 / 64)
+    sizes = [20, 20, 12, 12] + [5] * 3 + [3] * 3 + [8] * 4
+    sizes.sort(reverse=True)
+    alone = [pk.best_fit(sizes, costs, n)[2] for n in costs]
+    _, capacities, cost = pk.best_fit(sizes, costs)
+    assert len(set(capacities)) > 1 and cost <= min(alone)
+
+
+def test_sequences_do_not_depend_on_partitions(spark, monkeypatch):
+    draw = random.Random(6)
+    rows = [(i, "w " * draw.choice([0, 1, 3, 7, 9, 31, 33, 100]), "s") for i in range(200)]
+    rows += [(7, "twice here", "s")] * 90 + [(None, "no id", "s")] * 3 + [(8, "w " * 70, "s"), (8, "w " * 7, "s")]
+    df = documents(spark, rows)
+
+    def packed(df):
+        return sorted(map(str, pk.pack(df, lengths=(8, 16, 32), shard_pieces=50).collect()))
+
+    once = packed(df.coalesce(1))
+    assert packed(df.orderBy("text").repartition(5)) == once
+    monkeypatch.setattr(pk, "_COPIES", 16)
+    assert packed(df.repartition(3)) == once
