@@ -51,6 +51,26 @@ def per_worker(name: object, make: Callable[[], Any]) -> Any:
     return objects[name]
 
 
+#: Bytes of the input that one bucket of a landed table holds, about.
+BUCKET_BYTES = 512 * 1024 * 1024
+_UNKNOWN = 1 << 60
+
+
+def bucket_count(df: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
+    """Buckets for the rows of ``df``: by the bytes of the tables it reads, as Spark's statistics have them.
+
+    At least as many as a shuffle has partitions, at most as many as the session
+    allows. Every task fills one bucket, so more of them are no more files.
+    """
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    read = sum(size for size in sizes if size < _UNKNOWN)
+    least = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    return min(max(least, -(-read // bucket_bytes)), most)
+
+
 class Landed:
     """A table written once, whose rows can then be picked without moving them.
 
@@ -67,7 +87,7 @@ class Landed:
         self.schema = df.schema
         path = new_path(spark, name)
         self.table = f"{name.replace('-', '_')}_{uuid4().hex}"
-        buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        buckets = bucket_count(df)
         whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
         numbered = df.select(whole.alias(ROW), *[c.alias(n) for n, c in extra.items()])
         numbered = numbered.withColumn(UID, F.monotonically_increasing_id())

@@ -12,6 +12,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from labelloom.llm import common
 from labelloom.llm import exact_dedup as ed
 from labelloom.llm import simhash as sh
 from tests.conftest import plan
@@ -85,6 +86,25 @@ def test_large_group_is_one_message_of_each_partition(spark):
     ]
 
 
+def test_buckets_grow_with_the_input(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "rows")
+    spark.range(20_000).select(F.col("id").alias("doc_id"), F.md5(F.col("id").cast("string")).alias("text")).write.parquet(path)
+    size = sum(f.stat().st_size for f in (tmp_path / "rows").glob("*.parquet"))
+    df, least = spark.read.parquet(path), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert common.bucket_count(df) == max(8, least)
+    assert 40 <= common.bucket_count(df, size // 40) <= 41
+    assert common.bucket_count(df.join(df.withColumnRenamed("text", "t"), "doc_id"), size // 40) <= 82
+    assert common.bucket_count(df, 1) == 100_000
+    assert common.bucket_count(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), 1) <= 100_000
+    monkeypatch.setattr(common.bucket_count, "__defaults__", (size // 40,))
+    landed = common.Landed(df, {}, "many-buckets")
+    described = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE FORMATTED {landed.table}").collect()}
+    assert 40 <= int(described["Num Buckets"]) <= 41
+    assert landed.whole(landed.rows).count() == 20_000
+    landed.close()
+    assert ed.drop_exact_copies(df).count() == 20_000
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert ed.exact_groups(df).collect() == [] and ed.drop_exact_copies(df).collect() == []
