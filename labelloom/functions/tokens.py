@@ -29,6 +29,19 @@ def code_points(text: Column, max_length: int) -> Column:
     return F.slice(ids, F.lit(1), F.length(kept))
 
 
+_PART = 256  # rows made into Python objects or padded arrays at a time
+
+
+def _parts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The same rows, few at a time: what is made of them, padded at that, is larger than they are.
+
+    A worker hands on the arrays of each part before it makes the next one's.
+    """
+    for rows in batches:
+        for start in range(0, len(rows), _PART):
+            yield rows.slice(start, _PART)
+
+
 def _counts(texts: pa.Array, ids: Sequence[Sequence[int]]) -> pa.Array:
     """Tokens of each text; NULL for a missing text, which has no ``ids``."""
     there = texts.is_valid().to_numpy(zero_copy_only=False)
@@ -56,7 +69,7 @@ def encoded(text: Column, factory: Callable[[], EncodeBatch], max_length: int) -
     @F.arrow_udf("input_ids array<int>, n_tokens int")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode_batch = built(factory)
-        for texts in batches:
+        for texts in _parts(batches):
             ids = encode_batch(texts.drop_null().to_pylist())
             kept = _lists(texts, [one[:max_length] for one in ids])
             yield pa.StructArray.from_arrays([kept, _counts(texts, ids)], ["input_ids", "n_tokens"])
@@ -77,9 +90,6 @@ class CodePoints:
         return hash(CodePoints)
 
 
-_PART = 256  # rows made into padded arrays at a time
-
-
 def training_arrays(
     text: Column, factory: Callable[[], EncodeBatch], max_length: int, pad: int
 ) -> Column:
@@ -112,7 +122,7 @@ def token_count(text: Column, factory: Callable[[], EncodeBatch] | None = None)
     @F.arrow_udf("int")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode_batch = built(factory)
-        for texts in batches:
+        for texts in _parts(batches):
             yield _counts(texts, encode_batch(texts.drop_null().to_pylist()))
 
     return count.asNondeterministic()(text)
@@ -140,21 +150,16 @@ def ignoring(rows: np.ndarray, pad: int) -> np.ndarray:
     return np.where(rows == pad, IGNORED_LABEL, rows).astype(np.int32)
 
 
-def padded_arrays(ids: Column, max_length: int, pad: int) -> Column:
+def padded_arrays(ids: Column, max_length: int, pad: int, labels: bool = True) -> Column:
     """(input_ids, attention_mask, labels) of exactly ``max_length``, from unpadded ids no longer than that."""
+    names = ["input_ids", "attention_mask", "labels"][: 3 if labels else 2]
 
-    @F.arrow_udf("input_ids array<int>, attention_mask array<int>, labels array<int>")
+    @F.arrow_udf(", ".join(f"{name} array<int>" for name in names))
     def make(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for lists in batches:
-            parts = []
-            for start in range(0, max(len(lists), 1), _PART):
-                some = lists.slice(start, _PART)
-                rows, filled = _rows_of(some, max_length, pad)
-                arrays = [
-                    _as_lists(one, some.is_null()) for one in (rows, filled.astype(np.int32), ignoring(rows, pad))
-                ]
-                parts.append(pa.StructArray.from_arrays(arrays, ["input_ids", "attention_mask", "labels"]))
-            yield pa.concat_arrays(parts)
+        for some in _parts(batches):
+            rows, filled = _rows_of(some, max_length, pad)
+            matrices = [rows, filled.astype(np.int32)] + ([ignoring(rows, pad)] if labels else [])
+            yield pa.StructArray.from_arrays([_as_lists(one, some.is_null()) for one in matrices], names)
 
     return make.asNondeterministic()(ids)
 
@@ -164,7 +169,7 @@ def training_labels(padded_ids: Column, pad: int) -> Column:
 
     @F.arrow_udf("array<int>")
     def make(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for lists in batches:
+        for lists in _parts(batches):
             counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             labels = ignoring(lists.flatten().to_numpy(zero_copy_only=False), pad)

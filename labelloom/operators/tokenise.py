@@ -45,14 +45,19 @@ def training_rows(
 
 def padded_rows(df: DataFrame, max_length: int, pad: int) -> DataFrame:
     """``df`` with ``input_ids`` filled up to ``max_length``, plus ``attention_mask`` and ``labels``."""
+    return _padded(df, max_length, pad, labels=True)
+
+
+def _padded(df: DataFrame, max_length: int, pad: int, labels: bool) -> DataFrame:
     others = [name for name in df.columns if name != "input_ids"]
-    rows = df.select(*others, tk.padded_arrays(F.col("input_ids"), max_length, pad).alias("_arrays"))
-    return rows.select(*others, "_arrays.*")
+    arrays = tk.padded_arrays(F.col("input_ids"), max_length, pad, labels)
+    return df.select(*others, arrays.alias("_arrays")).select(*others, "_arrays.*")
 
 
 def pad_mask(df: DataFrame, max_length: int, pad: int) -> DataFrame:
     """``input_ids`` filled up to ``max_length``, and ``attention_mask``."""
-    return padded_rows(df, max_length, pad).select(*df.columns, "attention_mask")
+    rows = _padded(df, max_length, pad, labels=False)
+    return rows.select(*df.columns, "attention_mask")
 
 
 def lm_labels(df: DataFrame, pad: int) -> DataFrame:

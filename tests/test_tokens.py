@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from labelloom.functions import tokens
 from labelloom.functions.tokens import CodePoints
 from labelloom.functions.workers import built
 from labelloom.operators import tokenise as tk
@@ -73,6 +75,44 @@ def test_one_pass_gives_what_the_steps_give(spark):
         assert got.select(*columns).orderBy("i").collect() == steps.select(*columns).orderBy("i").collect()
 
 
+def made_by(monkeypatch, column, batches):
+    """What a column's function hands on in a worker, array by array."""
+    functions = []
+
+    class Udf:
+        def __init__(self, function):
+            functions.append(function)
+
+        def asNondeterministic(self):  # noqa: N802
+            return self
+
+        def __call__(self, *columns):
+            return None
+
+    with monkeypatch.context() as patch:
+        patch.setattr(tokens.F, "arrow_udf", lambda kind: Udf)
+        column()
+    return list(functions[0](iter(batches)))
+
+
+def test_padded_arrays_are_handed_on_in_parts(monkeypatch):
+    ids = pa.array([[i, i] for i in range(1, 1001)] + [None], pa.list_(pa.int32()))
+    for labels in (True, False):
+        parts = made_by(monkeypatch, lambda: tokens.padded_arrays(None, 3, 0, labels), [ids, ids.slice(5, 7)])
+        assert max(map(len, parts)) <= 256
+        rows = [row for part in parts for row in part.to_pylist()]
+        assert len(rows) == 1008 and rows[999]["input_ids"] == [1000, 1000, 0]
+        assert rows[1000]["input_ids"] is None and rows[1001]["input_ids"] == [6, 6, 0]
+        assert ("labels" in rows[0]) is labels
+
+
+def test_tokens_are_handed_on_in_parts(monkeypatch):
+    texts = pa.array([str(i) for i in range(1000)] + [None])
+    for column in (lambda: tokens.encoded(None, UTF8_BYTES, 9), lambda: tokens.token_count(None, UTF8_BYTES)):
+        parts = made_by(monkeypatch, column, [texts])
+        assert max(map(len, parts)) <= 256 and sum(map(len, parts)) == 1001
+
+
 def test_batches_hold_every_row_once(spark):
     texts = ["x" * (i * 7 % 150) for i in range(400)] + [None, ""]
     rows = spark.createDataFrame([(f"k{i}", t) for i, t in enumerate(texts)], "i string, t string").repartition(3)
