@@ -98,11 +98,8 @@ def training_arrays(
     @F.arrow_udf("input_ids array<int>, attention_mask array<int>, labels array<int>, n_tokens int")
     def make(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode_batch = built(factory)
-        for texts in batches:
-            yield pa.concat_arrays(
-                [_padded(texts.slice(start, _PART), encode_batch) for start in range(0, len(texts), _PART)]
-                or [_padded(texts, encode_batch)]
-            )
+        for texts in _parts(batches):
+            yield _padded(texts, encode_batch)
 
     def _padded(texts: pa.Array, encode_batch: EncodeBatch) -> pa.StructArray:
         ids = encode_batch(texts.drop_null().to_pylist())

@@ -113,6 +113,14 @@ def test_tokens_are_handed_on_in_parts(monkeypatch):
         assert max(map(len, parts)) <= 256 and sum(map(len, parts)) == 1001
 
 
+def test_training_arrays_are_handed_on_in_parts(monkeypatch):
+    texts = pa.array([str(i) for i in range(1000)] + [None])
+    parts = made_by(monkeypatch, lambda: tokens.training_arrays(None, UTF8_BYTES, 4, 0), [texts])
+    assert max(map(len, parts)) <= 256
+    rows = [row for part in parts for row in part.to_pylist()]
+    assert len(rows) == 1001 and rows[999]["labels"] == [57, 57, 57, -100] and rows[1000]["labels"] is None
+
+
 def test_batches_hold_every_row_once(spark):
     texts = ["x" * (i * 7 % 150) for i in range(400)] + [None, ""]
     rows = spark.createDataFrame([(f"k{i}", t) for i, t in enumerate(texts)], "i string, t string").repartition(3)
