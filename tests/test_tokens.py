@@ -121,6 +121,21 @@ def test_training_arrays_are_handed_on_in_parts(monkeypatch):
     assert len(rows) == 1001 and rows[999]["labels"] == [57, 57, 57, -100] and rows[1000]["labels"] is None
 
 
+class FewAtATime:
+    def __call__(self):
+        def encode(texts):
+            assert len(texts) <= 256
+            return [list(one.encode()) for one in texts]
+
+        return encode
+
+
+def test_prepared_tokens_are_made_few_at_a_time(spark, tmp_path):
+    rows = spark.range(3000).selectExpr("id", "'code' code", "string(id % 2) label_encoded").coalesce(1)
+    got = prepare_tokens(rows, "id", str(tmp_path / "ids"), tokenizer=FewAtATime())
+    assert got.where("size(labels) = 2048").count() == 3000
+
+
 def test_batches_hold_every_row_once(spark):
     texts = ["x" * (i * 7 % 150) for i in range(400)] + [None, ""]
     rows = spark.createDataFrame([(f"k{i}", t) for i, t in enumerate(texts)], "i string, t string").repartition(3)
