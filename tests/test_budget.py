@@ -103,6 +103,20 @@ def test_words_learnt_together_are_as_if_alone(text):
         assert found == LIBRARY_PIECES[NAMES[0]](word) and by_words.counts[word] == len(found[0])
 
 
+@pytest.mark.parametrize("code", ["日本語の文章、" * 3000, "a1+b2;" * 3000, "some words " * 50 + "a1+b2;" * 3000])
+def test_code_without_spaces_is_not_tried_from_its_end(code):
+    asked = []
+
+    def encode(text):
+        asked.append(len(text))
+        return LIBRARY_PIECES[NAMES[0]](text)
+
+    kept = longest_fit(_ByWords(encode), "Which?\n", code, "\nAnswer:", 100)
+    assert sum(asked) < 60_000
+    short = code[:1000]
+    assert kept == by_hand(NAMES[0], "Which?\n", short, "\nAnswer:", 100) < 900
+
+
 def test_prompts_of_a_table(spark):
     name, wording = NAMES[0], Wording(before="Which?\n{labels}\n", after="\nAnswer:")
     codes = [None, "", "short", "word " * 400, "x" * 3000, "é🙂" * 300, "a\n  b\n" * 200]
