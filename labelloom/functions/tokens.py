@@ -30,6 +30,7 @@ def code_points(text: Column, max_length: int) -> Column:
 
 
 _PART = 256  # rows made into Python objects or padded arrays at a time
+_PART_BYTES = 1 << 22  # and as many bytes, unless one row alone has more
 
 
 def _parts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -39,7 +40,17 @@ def _parts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """
     for rows in batches:
         for start in range(0, len(rows), _PART):
-            yield rows.slice(start, _PART)
+            yield from _halves(rows.slice(start, _PART))
+
+
+def _halves(rows: pa.Array) -> Iterator[pa.Array]:
+    """The same rows in order, halved until a part is one row or within ``_PART_BYTES``."""
+    if len(rows) < 2 or rows.nbytes <= _PART_BYTES:
+        yield rows
+        return
+    middle = len(rows) // 2
+    yield from _halves(rows.slice(0, middle))
+    yield from _halves(rows.slice(middle))
 
 
 def _counts(texts: pa.Array, ids: Sequence[Sequence[int]]) -> pa.Array:

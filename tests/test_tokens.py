@@ -121,6 +121,26 @@ def test_training_arrays_are_handed_on_in_parts(monkeypatch):
     assert len(rows) == 1001 and rows[999]["labels"] == [57, 57, 57, -100] and rows[1000]["labels"] is None
 
 
+def test_long_texts_reach_the_tokenizer_few_at_a_time(monkeypatch):
+    texts = ["a" * 1_000_000, "", None, "b" * 300_000] * 10 + ["c" * 6_000_000, "d"]
+    calls = []
+
+    def factory():
+        return lambda some: calls.append([len(one) for one in some]) or [range(len(one)) for one in some]
+
+    for column in (
+        lambda: tokens.encoded(None, factory, 3),
+        lambda: tokens.token_count(None, factory),
+        lambda: tokens.training_arrays(None, factory, 3, 0),
+    ):
+        calls.clear()
+        parts = made_by(monkeypatch, column, [pa.array(texts), pa.array(texts).slice(1, 2)])
+        assert all(len(some) == 1 or sum(some) <= 1 << 22 for some in calls)
+        rows = [row for part in parts for row in part.to_pylist()]
+        counts = [row["n_tokens"] if isinstance(row, dict) else row for row in rows]
+        assert counts == [None if one is None else len(one) for one in [*texts, *texts[1:3]]]
+
+
 class FewAtATime:
     def __call__(self):
         def encode(texts):
